@@ -46,6 +46,11 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.coalesce(F.round(ratio, digits), F.lit(0.0))
 
 
+def stable_round(c: Column, digits: int) -> Column:
+    """Half-up rounding that ignores noise beyond the sixth decimal."""
+    return F.round(c.cast("decimal(20,6)"), digits).cast("double")
+
+
 def as_timestamp(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
     """Wall-clock timestamp; text that does not parse becomes null."""
     col = as_column(c)

@@ -80,6 +80,20 @@ def rolling_rows(
     return windowed.filter(F.col("_block") == F.col("_home")).drop("_home", "_block", "_pos")
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """1-based row number within each group, whatever the group size.
+
+    A group is contiguous in the total order, so its number is the distance to the
+    group's first position, which is a map-side combined minimum.
+    """
+    indexed = with_position(df, [*keys, *order], "_pos")
+    starts = indexed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
+    return (
+        indexed.join(starts, list(keys)).withColumn(name, F.col("_pos") - F.col("_start") + 1)
+        .drop("_pos", "_start")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
