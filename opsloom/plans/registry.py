@@ -64,9 +64,9 @@ VIEW_SQL = {
              ELSE o_orderkey END AS order_id,
         CASE WHEN o_orderkey % 53 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS customer_id,
         CASE WHEN o_orderkey % 37 = 0 THEN -o_totalprice ELSE o_totalprice END AS unit_price,
-        CASE WHEN o_orderkey % 41 = 0 THEN 150.0 WHEN o_orderkey % 43 = 0 THEN -5.0
+        CASE WHEN o_orderkey % 47 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 150.0 WHEN o_orderkey % 43 = 0 THEN -5.0
              ELSE CAST(o_orderkey % 30 AS DOUBLE) END::DOUBLE AS discount_pct,
-        CASE WHEN o_orderkey % 5 = 0 THEN upper(base) WHEN o_orderkey % 5 = 1 THEN lower(base) || ' ' ELSE base END AS status,
+        CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 5 = 0 THEN upper(base) WHEN o_orderkey % 5 = 1 THEN lower(base) || ' ' ELSE base END AS status,
         CASE WHEN o_orderkey % 29 = 0 THEN 'not_a_date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date
         FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'Processing' ELSE 'Delayed' END AS base
               FROM orders)""",

@@ -176,9 +176,9 @@ class OperationsViews:
             F.when(key % 101 == 0, F.lit(None)).when(key % 103 == 1, key - 1).otherwise(key).alias("order_id"),
             F.when(key % 53 == 0, F.col("o_custkey") + 10000000).otherwise(F.col("o_custkey")).alias("customer_id"),
             F.when(key % 37 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("unit_price"),
-            F.when(key % 41 == 0, F.lit(150.0)).when(key % 43 == 0, F.lit(-5.0))
+            F.when(key % 47 == 0, F.lit(None)).when(key % 41 == 0, F.lit(150.0)).when(key % 43 == 0, F.lit(-5.0))
             .otherwise((key % 30).cast("double")).alias("discount_pct"),
-            F.when(key % 5 == 0, F.upper(base)).when(key % 5 == 1, F.concat(F.lower(base), F.lit(" ")))
+            F.when(key % 4 == 3, F.lit(None)).when(key % 5 == 0, F.upper(base)).when(key % 5 == 1, F.concat(F.lower(base), F.lit(" ")))
             .otherwise(base).alias("status"),
             F.when(key % 29 == 0, "not_a_date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("order_date"),
         )
