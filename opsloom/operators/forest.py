@@ -6,16 +6,21 @@ samples, ranks, distributes the trees and finds the threshold.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordering import exact_quantiles, first_per_group
+from opsloom.operators.ordering import exact_quantiles
 from opsloom.session import cut_lineage
 
+# Workers get the fitting and scoring code with the task: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 SAMPLE_ROWS = 256
 POOL_ROWS = TREES * SAMPLE_ROWS
@@ -62,7 +67,7 @@ def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> Da
     """One group of at most ``SAMPLE_ROWS`` rows per tree; nodes as rows."""
     names = list(columns)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         tree = int(key[0])
         rows = pdf.sort_values("_hash", kind="stable")[names].to_numpy(dtype=float)
         nodes = _grow(rows, np.random.default_rng([seed, tree]))
@@ -70,20 +75,31 @@ def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> Da
         out.insert(0, "tree", tree)
         return out
 
-    return sample.groupBy("tree").applyInPandas(fit, NODE_SCHEMA)
+    # a fixed partition number keeps AQE from packing all trees into one task
+    parts = min(TREES, sample.sparkSession.sparkContext.defaultParallelism)
+    return sample.repartition(parts, "tree").groupBy("tree").applyInPandas(fit, NODE_SCHEMA)
 
 
 def draw_samples(values: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """``SAMPLE_ROWS`` rows per tree out of a pool of ``POOL_ROWS`` rows, by hash order.
+    """``SAMPLE_ROWS`` distinct rows per tree out of a pool of ``POOL_ROWS`` rows, by hash order.
 
     The pool is a top-k over a row hash, so the sample does not grow with the data.
+    It is shuffled as often as needed and dealt out: each shuffle serves as many
+    trees as it has full hands, so no tree holds a row twice.
     """
     pool = values.select(*columns, F.xxhash64(F.lit(seed), "record_id", *columns).alias("_hash")) \
         .orderBy("_hash", *columns).limit(POOL_ROWS)
     pinned = cut_lineage(pool)
-    spread = pinned.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    shuffled = spread.withColumn("_draw", F.xxhash64(F.lit(seed), "tree", "_hash"))
-    return first_per_group(shuffled, ["tree"], [F.col("_draw"), F.col("_hash")], SAMPLE_ROWS)
+    size = pinned.count()  # at most POOL_ROWS
+    hand = max(min(SAMPLE_ROWS, size), 1)
+    hands = max(size // hand, 1)
+    rounds = -(-trees // hands)
+    spread = pinned.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    # a window group is one shuffle of the pool: at most POOL_ROWS rows
+    order = Window.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "_hash"), "_hash")
+    dealt = spread.withColumn("_slot", F.floor((F.row_number().over(order) - 1) / hand))
+    return dealt.filter(F.col("_slot") < hands).withColumn(
+        "tree", (F.col("_round") * hands + F.col("_slot")).cast("int")).filter(F.col("tree") < trees)
 
 
 def _model(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
@@ -126,6 +142,10 @@ def score_rows(values: DataFrame, nodes: DataFrame, columns: Sequence[str]) -> D
             yield pdf
 
     schema = values.withColumn("score", F.lit(0.0)).schema
+    parallel = values.sparkSession.sparkContext.defaultParallelism
+    if values.rdd.getNumPartitions() < parallel:
+        # a small input in few files: spread the Python work; large inputs stay where they are
+        values = values.repartition(parallel)
     return values.mapInPandas(score, schema)
 
 

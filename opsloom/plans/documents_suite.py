@@ -1 +1,255 @@
+"""Documents, search and PII as registered queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opsloom.functions import pii
+from opsloom.functions.text import ENGLISH_STOP_WORDS, SPACE_CLASS
+from opsloom.operators import documents as doc
+from opsloom.operators import search as se
+from opsloom.plans.policies import HYBRID_QUESTIONS, POLICIES, QUESTIONS
+from opsloom.plans.registry import VIEW_SQL, query
+from opsloom.session import cut_lineage
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rows(pairs: dict[str, str], a: str, b: str) -> str:
+    return " UNION ALL ".join(f"SELECT {_literal(k)} AS {a}, {_literal(t)} AS {b}" for k, t in pairs.items())
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{SPACE_CLASS}+'), lambda w: w <> '')"
+
+
+def chunk_views(prefix: str, corpus: str) -> None:
+    """Section, page and chunk views over a corpus (doc_id, text)."""
+    VIEW_SQL[f"v_{prefix}_sections"] = f"""
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_index, section_text,
+          CASE WHEN regexp_extract(section_text, '^#{{1,3}}\\s+(.+)', 1) <> '' THEN {_strip("regexp_extract(section_text, '^#{1,3}\\s+(.+)', 1)")}
+            ELSE 'General' END AS section_title
+        FROM (SELECT doc_id, i, {_strip('part')} AS section_text FROM (
+          SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
+            SELECT doc_id, string_split(regexp_replace(text, '\\n(#{{1,3}}\\s)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM ({corpus}))))
+        WHERE section_text <> ''"""
+    VIEW_SQL[f"v_{prefix}_pages"] = f"""
+        SELECT doc_id, section_title, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, start) AS page_number,
+          w[start + 1 : start + 400] AS page_words
+        FROM (SELECT doc_id, section_index, section_title, w, unnest(range(0, greatest(len(w), 1), 400)) AS start
+          FROM (SELECT *, {_words('section_text')} AS w FROM v_{prefix}_sections))"""
+    VIEW_SQL[f"v_{prefix}_chunks"] = f"""
+        SELECT doc_id, page_number, section_title, array_to_string(c, ' ') AS content, CAST(len(c) AS INTEGER) AS token_count,
+          row_number() OVER (PARTITION BY doc_id ORDER BY page_number, start) - 1 AS chunk_index,
+          doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, start) - 1) AS chunk_id
+        FROM (SELECT *, CASE WHEN len(page_words) <= 250 THEN page_words ELSE page_words[start + 1 : start + 250] END AS c
+          FROM (SELECT *, unnest(CASE WHEN len(page_words) <= 250 THEN [0] ELSE range(0, len(page_words), 210) END) AS start
+            FROM v_{prefix}_pages))"""
+
+
+# Every document gets two headers, so that sections occur in the testdata.
+_HEADED = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Preface ' || lang || chr(10) || '# About ' || source || chr(10) || text || chr(10) || '## Notes' || chr(10) || n_chars || ' characters' AS text FROM documents"
+_CORPUS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL " + _rows(POLICIES, "doc_id", "text")
+chunk_views("headed", _HEADED)
+chunk_views("corpus", _CORPUS)
+
+
+def headed(v):
+    number = F.col("n_chars").cast("string")
+    return v.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(
+        F.lit("Preface "), "lang", F.lit("\n# About "), "source", F.lit("\n"), "text", F.lit("\n## Notes\n"), number,
+        F.lit(" characters")).alias("text"))
+
+
+def corpus(v):
+    policies = v.spark.createDataFrame(list(POLICIES.items()), "doc_id string, text string")
+    return v.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(policies)
+
+
+@query("doc_sections", "SELECT doc_id, CAST(section_index AS INTEGER) AS section_index, section_title, section_text FROM v_headed_sections")
+def _(v):
+    # positions count the kept sections only, on both sides
+    return doc.split_sections(headed(v))
+
+
+@query("doc_pages", "SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, section_title, array_to_string(page_words, ' ') AS page_text FROM v_headed_pages")
+def _(v):
+    return doc.paginate(headed(v))
+
+
+@query("doc_chunks", "SELECT chunk_id, CAST(page_number AS INTEGER) AS page_number, section_title, content, token_count FROM v_headed_chunks")
+def _(v):
+    return doc.chunk_documents(headed(v)).select("chunk_id", "page_number", "section_title", "content", "token_count")
+
+
+@query("doc_stats", """SELECT doc_id, CAST(max(page_number) AS INTEGER) AS total_pages, count(*) AS total_chunks,
+    CAST(sum(token_count) AS BIGINT) AS token_count FROM v_headed_chunks GROUP BY 1""")
+def _(v):
+    return doc.document_stats(doc.chunk_documents(headed(v)))
+
+
+@query("doc_citations", """SELECT chunk_id, 'Source: doc-' || doc_id || '.txt' || chr(10) || 'Page: ' || page_number || chr(10)
+    || 'Section: ' || section_title AS citation FROM v_headed_chunks""")
+def _(v):
+    name = F.concat(F.lit("doc-"), "doc_id", F.lit(".txt"))
+    return doc.chunk_documents(headed(v)).select(
+        "chunk_id", doc.citation(name, F.col("page_number"), F.col("section_title")).alias("citation"))
+
+
+@query("doc_reindex", "SELECT chunk_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM v_headed_chunks h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.doc_id")
+def _(v):
+    stored = doc.chunk_documents(headed(v)).withColumn("version", F.lit("old"))
+    english = v.raw("documents").filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("doc_id"))
+    fresh = doc.chunk_documents(headed(v).join(english, "doc_id", "left_semi")).withColumn("version", F.lit("new"))
+    return doc.replace_documents(stored, fresh).select("chunk_id", "version")
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS) + "]"
+
+
+def _term_rows(source: str, key: str, text: str) -> str:
+    return f"""SELECT {key}, term, count(*) AS tf FROM (
+        SELECT {key}, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM (
+          SELECT {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w)) AS k
+          FROM ({source}))) GROUP BY 1, 2"""
+
+
+def index_views(prefix: str) -> None:
+    VIEW_SQL[f"v_{prefix}_tf"] = _term_rows(f"SELECT chunk_id, content FROM v_{prefix}_chunks", "chunk_id", "content")
+    VIEW_SQL[f"v_{prefix}_idf"] = f"""SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM v_{prefix}_chunks)) / (1.0::DOUBLE + count(*))) + 1 AS idf
+        FROM v_{prefix}_tf GROUP BY term"""
+    VIEW_SQL[f"v_{prefix}_postings"] = f"""SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight
+        FROM (SELECT chunk_id, tf.term, tf * idf AS w FROM v_{prefix}_tf tf JOIN v_{prefix}_idf i ON i.term = tf.term)"""
+
+
+index_views("corpus")
+
+
+def _search_sql(questions: str, k: int) -> str:
+    return f"""
+    WITH q AS ({_term_rows(questions, "query_id", "query")}),
+    qw AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qweight
+      FROM (SELECT query_id, q.term, tf * idf AS w FROM q JOIN v_corpus_idf i ON i.term = q.term)),
+    s AS (SELECT query_id, chunk_id, sum(weight * qweight) AS score FROM v_corpus_postings p JOIN qw ON qw.term = p.term GROUP BY 1, 2)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank,
+      round(score, 3) AS score FROM s WHERE score > 0.05 QUALIFY rank <= {k}"""
+
+
+def corpus_index(v):
+    chunks = cut_lineage(doc.chunk_documents(corpus(v)))
+    postings, vocabulary = se.build_index(chunks)
+    return chunks, postings, vocabulary
+
+
+def questions(v, asked):
+    return v.spark.createDataFrame(list(asked.items()), "query_id string, query string")
+
+
+@query("search_vocabulary", "SELECT term, df, round(idf, 6) AS idf FROM v_corpus_idf")
+def _(v):
+    return corpus_index(v)[2].withColumn("idf", F.round("idf", 6))
+
+
+@query("search_index_weights", "SELECT chunk_id, count(*) AS terms, round(sum(weight), 4) AS total_weight, round(max(weight), 6) AS top_weight FROM v_corpus_postings GROUP BY 1")
+def _(v):
+    return corpus_index(v)[1].groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total_weight"), F.round(F.max("weight"), 6).alias("top_weight"))
+
+
+@query("search_policy_questions", _search_sql(_rows(QUESTIONS, "query_id", "query"), 3))
+def _(v):
+    _, postings, vocabulary = corpus_index(v)
+    return se.search(postings, vocabulary, questions(v, QUESTIONS), k=3)
+
+
+@query("search_top_citations", f"""
+    SELECT query_id, doc_id AS filename, 'Source: ' || doc_id || chr(10) || 'Page: ' || page_number || chr(10) || 'Section: ' || section_title AS citation
+    FROM ({_search_sql(_rows(QUESTIONS, "query_id", "query"), 1)}) h JOIN v_corpus_chunks c ON c.chunk_id = h.chunk_id""")
+def _(v):
+    chunks, postings, vocabulary = corpus_index(v)
+    hits = se.search(postings, vocabulary, questions(v, QUESTIONS), k=1)
+    names = corpus(v).select("doc_id", F.col("doc_id").alias("filename"))
+    return se.search_results(hits, chunks, names).select("query_id", "filename", "citation")
+
+
+@query("search_benchmark_passages", _search_sql("SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark", 4))
+def _(v):
+    _, postings, vocabulary = corpus_index(v)
+    asked = v.raw("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    return se.search(postings, vocabulary, asked, k=4)
+
+
+def _top_hit(question: str) -> str:
+    return f"""(SELECT h.chunk_id, c.doc_id AS policy, c.content FROM ({_search_sql(f"SELECT 'q' AS query_id, {_literal(question)} AS query", 1)}) h
+        JOIN v_corpus_chunks c ON c.chunk_id = h.chunk_id)"""
+
+
+def _policy_hit(v, question):
+    """The best passage as a one-row scalar: (policy, content)."""
+    chunks, postings, vocabulary = corpus_index(v)
+    hits = se.search(postings, vocabulary, questions(v, {"q": question}), k=1)
+    found = hits.join(chunks, "chunk_id").select(F.struct(F.col("doc_id").alias("policy"), "content").alias("hit"))
+    return found.scalar()
+
+
+@query("hybrid_overdue_accounts", f"""
+    SELECT customer_id, overdue, open_balance, (SELECT policy FROM {_top_hit(HYBRID_QUESTIONS["overdue_accounts"])}) AS policy
+    FROM (SELECT customer_id, count(*) AS overdue, CAST(sum(CAST(unpaid_amount AS DECIMAL(18,2))) AS DOUBLE) AS open_balance
+      FROM v_invoices WHERE lower(status) = 'overdue' GROUP BY 1)""")
+def _(v):
+    overdue = v.invoices.filter(F.lower("status") == "overdue").groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("overdue"), F.sum(F.col("unpaid_amount").cast("decimal(18,2)")).cast("double").alias("open_balance"))
+    return overdue.withColumn("policy", _policy_hit(v, HYBRID_QUESTIONS["overdue_accounts"]).getField("policy"))
+
+
+@query("hybrid_large_orders", f"""
+    SELECT order_id, total_amount, (SELECT policy FROM {_top_hit(HYBRID_QUESTIONS["large_orders"])}) AS policy
+    FROM v_orders WHERE total_amount > 5000""")
+def _(v):
+    large = v.orders.filter(F.col("total_amount") > 5000).select("order_id", "total_amount")
+    return large.withColumn("policy", _policy_hit(v, HYBRID_QUESTIONS["large_orders"]).getField("policy"))
+
+
+def _number_sql(text: str, kind: str) -> str:
+    p = pii.PATTERNS[kind]
+    return (f"array_to_string(list_transform(regexp_split_to_array({text}, '{p}'), lambda x, i: "
+            f"CASE WHEN i = 1 THEN x ELSE '[{kind}_' || (i - 1) || ']' || x END), '')")
+
+
+VIEW_SQL["v_redacted"] = f"""SELECT doc_id, text, source, e, p, s, {_number_sql('s', 'CC')} AS redacted FROM (
+    SELECT *, {_number_sql('p', 'SSN')} AS s FROM (SELECT *, {_number_sql('e', 'PHONE')} AS p FROM (
+      SELECT *, {_number_sql('text', 'EMAIL')} AS e FROM documents)))"""
+
+
+@query("pii_redact", "SELECT doc_id, redacted FROM v_redacted")
+def _(v):
+    return v.raw("documents").select("doc_id", pii.redact(F.col("text")).alias("redacted"))
+
+
+@query("pii_token_map", "SELECT doc_id, " + " || ".join(
+    f"array_to_string(list_transform(regexp_extract_all({t}, '{pii.PATTERNS[k]}'), lambda x, i: '[{k}_' || i || ']=' || x || ';'), '')"
+    for k, t in (("EMAIL", "text"), ("PHONE", "e"), ("SSN", "p"), ("CC", "s"))) + " AS tokens FROM v_redacted")
+def _(v):
+    mapped = v.raw("documents").select("doc_id", pii.token_map(F.col("text")).alias("m"))
+    entries = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";")))
+    return mapped.select("doc_id", F.array_join(entries, "").alias("tokens"))
+
+
+@query("pii_restore", "SELECT doc_id, text AS restored FROM documents")
+def _(v):
+    staged = v.raw("documents").select("doc_id", pii.redact(F.col("text")).alias("r"), pii.token_map(F.col("text")).alias("m"))
+    return staged.select("doc_id", pii.restore(F.col("r"), F.col("m")).alias("restored"))
+
+
+@query("pii_report", "SELECT source, " + ", ".join(
+    f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {k.lower()}" for k, p in pii.PATTERNS.items())
+    + " FROM documents GROUP BY 1")
+def _(v):
+    return v.raw("documents").groupBy("source").agg(*[
+        F.sum(F.size(pii.pii_matches(F.col("text"), k))).alias(k.lower()) for k in pii.PATTERNS])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows.
+    """Write ``df`` to the shared checkpoint folder and continue from the written table.
 
     Needed where two later branches must see the same partition layout, and so
-    that a lost executor costs a re-read instead of a recomputation.
+    that a lost executor costs a re-read instead of a recomputation. Parquet keeps
+    column pruning and gives the planner real sizes, which a checkpointed RDD does not.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
