@@ -102,8 +102,8 @@ def _flat_sparkline(current: Column) -> Column:
         for i in range(5)])
 
 
-def _trends(df: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """Previous value and sparkline of metrics that share a table and a time axis, one row each."""
+def _trend_row(df: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """Previous values and sparklines of metrics that share a time axis, as one struct row."""
     spark = df.sparkSession
     axis = metrics[0]
     points = (
@@ -112,11 +112,10 @@ def _trends(df: DataFrame, metrics: list[Metric]) -> DataFrame:
     )
     # time points can be as many as rows (microsecond stamps): positions come from a range-partitioned sort
     indexed = with_position(points, ["_t"], "_pos")
-    n = indexed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    placed = indexed.withColumn("_n", n)
+    placed = indexed.withColumn("_n", indexed.agg(F.count(F.lit(1)).alias("n")).scalar())
     in_first_half = F.col("_pos") < F.floor(F.col("_n") / 2)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / SPARKLINE_POINTS))
-    aggregates = [F.count(F.lit(1)).alias("_points")]
+    aggregates = [F.count(F.lit(1)).alias("points")]
     for m in metrics:
         half = F.when(in_first_half, F.col(m.code))
         aggregates.append((F.sum(half) if "sum" in m.aggregation else F.avg(half)).alias(f"prev_{m.code}"))
@@ -125,21 +124,15 @@ def _trends(df: DataFrame, metrics: list[Metric]) -> DataFrame:
             F.col("_pos") % step == 0,
             F.struct("_pos", F.substring(F.col("_t").cast("string"), 1, 10).alias("label"),
                      F.coalesce(F.round(m.code, 2), F.lit(0.0)).alias("value"))))).alias(f"spark_{m.code}"))
-    wide = placed.agg(*aggregates)
-    rows = F.array(*[
-        F.struct(
-            F.lit(m.code).alias("code"),
-            F.when(F.col("_points") > 1, F.coalesce(F.round(f"prev_{m.code}", 2), F.lit(0.0)))
-            .otherwise(F.lit(0.0)).alias("previous_value"),
-            F.when(F.col("_points") > 1, F.transform(
-                f"spark_{m.code}", lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"))))
-            .alias("sparkline"),
-        ) for m in metrics])
-    return wide.select(F.inline(rows))
+    return placed.agg(F.struct(*aggregates).alias("trend"))
 
 
 def kpi_board(tables: dict[str, DataFrame], metrics: list[Metric]) -> DataFrame:
-    """All metrics, one row each. Each source table is aggregated once for all its metrics."""
+    """All metrics, one row each.
+
+    Each source table is aggregated once for the current values of all its metrics;
+    the trends of a time axis come in as one scalar row, so nothing is joined.
+    """
     by_table: dict[str, list[Metric]] = defaultdict(list)
     for metric in metrics:
         if metric.source_table not in tables:
@@ -149,39 +142,43 @@ def kpi_board(tables: dict[str, DataFrame], metrics: list[Metric]) -> DataFrame:
     for table, group in by_table.items():
         df = tables[table]
         wide = df.agg(*[F.round(F.coalesce(_checked(df.sparkSession, m), F.lit(0.0)), 2).alias(m.code) for m in group])
-        current = wide.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(m.code).alias("code"), F.lit(m.name).alias("name"), F.lit(m.owner).cast("string").alias("owner"),
-                F.lit(m.target_value).cast("double").alias("target_value"),
-                F.lit(m.time_column is not None).alias("_timed"),
-                F.col(m.code).alias("current_value"), status_of(m, F.col(m.code)).alias("status"),
-            ) for m in group])))
         axes: dict[tuple, list[Metric]] = defaultdict(list)
         for m in group:
             if m.time_column is not None:
                 axes[(m.time_column, m.grain)].append(m)
-        if axes:
-            trends = reduce(DataFrame.unionByName, [_trends(df, ms) for ms in axes.values()])
-            current = current.join(trends, "code", "left")
-        else:
-            current = current.withColumns({
-                "previous_value": F.lit(None).cast("double"),
-                "sparkline": F.lit(None).cast("array<struct<label:string,value:double>>")})
-        parts.append(current)
+        trend_of = {}
+        for i, sharing in enumerate(axes.values()):
+            wide = wide.withColumn(f"_trend{i}", _trend_row(df, sharing).scalar())
+            trend_of.update({m.code: F.col(f"_trend{i}") for m in sharing})
+        parts.append(wide.select(F.inline(F.array(*[_board_row(m, trend_of.get(m.code)) for m in group]))))
     board = reduce(DataFrame.unionByName, parts)
-    now = F.col("current_value")
-    previous = F.when(F.col("_timed"), F.coalesce("previous_value", F.lit(0.0))).otherwise(now)
-    return board.withColumn("previous_value", previous).select(
+    now, previous = F.col("current_value"), F.col("previous_value")
+    return board.select(
         "code", "name", "owner", "target_value", "current_value", "previous_value",
-        F.round(now - F.col("previous_value"), 2).alias("abs_change"),
-        F.when(F.col("previous_value") != 0,
-               F.round(F.try_divide(now - F.col("previous_value"), F.abs("previous_value")) * 100, 2))
-        .otherwise(0.0).alias("pct_change"),
+        F.round(now - previous, 2).alias("abs_change"),
+        F.when(previous != 0, F.round(F.try_divide(now - previous, F.abs(previous)) * 100, 2)).otherwise(0.0).alias("pct_change"),
         "status",
-        F.coalesce("sparkline", _flat_sparkline(now)).alias("sparkline"),
+        F.coalesce(F.transform("points", lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"))),
+                   _flat_sparkline(now)).alias("sparkline"),
     )
 
 
+def _board_row(m: Metric, trend: Column | None) -> Column:
+    """A metric without a time axis is its own previous value; one with a single point has 0."""
+    current = F.col(m.code)
+    point_type = "array<struct<_pos:bigint,label:string,value:double>>"
+    if trend is None:
+        previous, points = current, F.lit(None).cast(point_type)
+    else:
+        enough = trend.getField("points") > 1
+        previous = F.when(enough, F.coalesce(F.round(trend.getField(f"prev_{m.code}"), 2), F.lit(0.0))).otherwise(0.0)
+        points = F.when(enough, trend.getField(f"spark_{m.code}")).cast(point_type)
+    return F.struct(
+        F.lit(m.code).alias("code"), F.lit(m.name).alias("name"), F.lit(m.owner).cast("string").alias("owner"),
+        F.lit(m.target_value).cast("double").alias("target_value"), current.alias("current_value"),
+        previous.alias("previous_value"), status_of(m, current).alias("status"), points.alias("points"))
+
+
 def evaluate_metric(df: DataFrame, metric: Metric) -> DataFrame:
     return kpi_board({metric.source_table: df}, [metric])
 
