@@ -1 +1,74 @@
+"""Streaming flows as registered queries: the testdata files as file streams, run to the end."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opsloom.operators import rules
+from opsloom.plans.registry import query
+from opsloom.plans.rules_suite import AS_OF, score_sql
+from opsloom.streaming import flows
+
+
+def _stream(v, table: str):
+    return flows.read_folder_stream(v.spark, v.directory, v.raw(table).schema, f"{table}.parquet")
+
+
+def _finish(v, name: str, df, target=None):
+    folder = flows.run_folder(v.spark, name)
+    flows.incremental_refresh(df, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return v.spark.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+@query("stream_incremental_refresh", "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
+def _(v):
+    stored = _finish(v, "refresh", _stream(v, "events"))
+    return stored.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+# A window appears once the watermark (latest event minus an hour) has passed its end.
+_CLOSED = "ends <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query("stream_daily_kpi", f"""
+    SELECT strftime(starts, '%Y-%m-%d') AS day, event_type, n, total FROM (
+      SELECT date_trunc('day', ts) AS starts, date_trunc('day', ts) + INTERVAL 1 DAY AS ends, event_type, count(*) AS n,
+        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL) WHERE {_CLOSED}""")
+def _(v):
+    formulas = {"n": F.count(F.lit(1)), "total": F.sum(F.col("value").cast("decimal(18,2)")).cast("double")}
+    stored = _finish(v, "daily", flows.windowed_kpi(_stream(v, "events"), "ts", formulas, keys=["event_type"]))
+    return stored.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+@query("stream_sliding_kpi", f"""
+    SELECT strftime(starts, '%Y-%m-%d %H:%M') AS starts, n FROM (
+      SELECT starts, starts + INTERVAL 6 HOUR AS ends, count(*) AS n FROM (
+        SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * ((extract('hour' FROM ts) % 2) + 2 * k) AS starts
+        FROM events, range(3) AS r(k)) GROUP BY 1) WHERE {_CLOSED}""")
+def _(v):
+    stored = _finish(v, "sliding", flows.windowed_kpi(
+        _stream(v, "events"), "ts", {"n": F.count(F.lit(1))}, "6 hours", "2 hours"))
+    return stored.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("starts"), "n")
+
+
+@query("stream_dedupe_events", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def _(v):
+    stored = _finish(v, "dedupe", flows.dedupe_events(_stream(v, "events").select("event_id", "ts"), ["event_id"], "ts"))
+    return stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("stream_continuous_rules", f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, {score_sql("30.0", "o_totalprice",
+      f"greatest(0, date_sub('day', o_orderdate, TIMESTAMP '{AS_OF}'))", "0.0")} AS priority_score, 'OPEN' AS status
+    FROM orders WHERE o_orderstatus = 'P'""")
+def _(v):
+    orders = _stream(v, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("total_amount"))
+    rule = rules.Rule("Pending orders", "order", "orders", "HIGH", (rules.Condition("status", "equals", "p"),))
+    folder = flows.run_folder(v.spark, "rules")
+    store = flows.ExceptionStore(v.spark, f"{folder}/exceptions")
+    run = flows.continuous_rules(orders, [rule], AS_OF, store, f"{folder}/checkpoint")
+    run.awaitTermination()
+    return store.read(flows.last_batch(run) + 1).select("entity_id", "priority_score", "status")
