@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import money_sum, stable_round
@@ -46,18 +46,24 @@ def morning_review(scores: DataFrame, board: DataFrame, exceptions: DataFrame, s
     return combined.select("data_health_score", *fields)
 
 
-def report_sections(period: str, generated_at: str, board: DataFrame, exceptions: DataFrame, actions: DataFrame,
-                    sla: DataFrame, include: tuple[str, ...] = ("kpis", "exceptions", "actions", "sla")) -> dict[str, DataFrame]:
-    """The report's sections; write them with :func:`opsloom.sources.files.write_report`."""
-    sections = {
-        "kpis": board,
-        "exceptions": exceptions.filter(F.col("status") == "OPEN").select(
-            "exception_id", "title", "severity", "entity_type", "financial_impact", "priority_score", "status"),
-        "actions": actions.select("action_id", "title", "priority", "owner", "status", "action_type"),
-        "sla": sla,
-    }
-    metadata = sla.sparkSession.createDataFrame([(period, generated_at)], "period string, generated_at string")
-    return {"metadata": metadata, **{name: df for name, df in sections.items() if name in include}}
+def report_sections(spark: SparkSession, period: str, generated_at: str, board: DataFrame | None = None,
+                    exceptions: DataFrame | None = None, actions: DataFrame | None = None,
+                    sla: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The report's sections; a part that is not given is left out.
+
+    Write them with :func:`opsloom.sources.files.write_report`.
+    """
+    sections = {"metadata": spark.createDataFrame([(period, generated_at)], "period string, generated_at string")}
+    if board is not None:
+        sections["kpis"] = board
+    if exceptions is not None:
+        sections["exceptions"] = exceptions.filter(F.col("status") == "OPEN").select(
+            "exception_id", "title", "severity", "entity_type", "financial_impact", "priority_score", "status")
+    if actions is not None:
+        sections["actions"] = actions.select("action_id", "title", "priority", "owner", "status", "action_type")
+    if sla is not None:
+        sections["sla"] = sla
+    return sections
 
 
 def executive_summary(scores: DataFrame, exceptions: DataFrame, actions: DataFrame, sla: DataFrame) -> DataFrame:

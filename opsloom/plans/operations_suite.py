@@ -402,6 +402,5 @@ def _(v):
 @query("report_exceptions_section", """
     SELECT title, severity, entity_type, financial_impact, priority_score, status FROM v_exceptions""")
 def _(v):
-    scores, board, found, sla = _review_parts(v)
-    sections = rv.report_sections("Current", AS_OF, board, found, _actions(v).withColumn("action_type", F.lit("create_task")), sla)
+    sections = rv.report_sections(v.spark, "Current", AS_OF, exceptions=_exceptions(v))
     return sections["exceptions"].drop("exception_id")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.sources.tables import nan_to_null, normalize_columns
+from opsloom.sources.tables import nan_to_null, normalize_columns, normalized_names
 
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_LINES = 20
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines into the same, largest number of fields."""
-    lines = [r.value for r in spark.read.text(path).limit(SNIFF_LINES).collect() if r.value.strip()]
+def _first_lines(spark: SparkSession, path: str) -> list[str]:
+    return [r.value for r in spark.read.text(path).limit(SNIFF_LINES).collect() if r.value.strip()]
+
+
+def _delimiter_of(lines: list[str]) -> str:
     best, best_fields = ",", 1
     for delimiter in DELIMITERS:
         counts = {line.count(delimiter) for line in lines}
@@ -26,12 +29,26 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return best
 
 
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter that splits the first lines into the same, largest number of fields."""
+    return _delimiter_of(_first_lines(spark, path))
+
+
 def read_csv_table(spark: SparkSession, path: str, delimiter: str | None = None,
                    schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header. Give ``schema`` for large files: inference reads them twice."""
-    reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path))
+    """CSV with header. Give ``schema`` for large files: inference reads them twice.
+
+    Names come from the header line itself, as Spark renames headers that differ only by case.
+    """
+    lines = _first_lines(spark, path)
+    separator = delimiter or _delimiter_of(lines)
+    reader = spark.read.option("header", True).option("sep", separator)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return normalize_columns(nan_to_null(reader.csv(path)))
+    df = reader.csv(path)
+    header = next(csv.reader(lines[:1], delimiter=separator), [])
+    if schema is None and len(header) == len(df.columns):
+        df = df.toDF(*normalized_names(header))
+    return nan_to_null(normalize_columns(df))
 
 
 def _leaf_columns(schema: T.StructType, parents: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
@@ -81,7 +98,8 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    text = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit(""))
+    replacement = F.lit("\ufffd")  # what invalid bytes turn into
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), replacement, F.lit(""))
     return raw.select(
         name.alias("filename"),
         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_type"),
