@@ -142,10 +142,6 @@ def score_rows(values: DataFrame, nodes: DataFrame, columns: Sequence[str]) -> D
             yield pdf
 
     schema = values.withColumn("score", F.lit(0.0)).schema
-    parallel = values.sparkSession.sparkContext.defaultParallelism
-    if values.rdd.getNumPartitions() < parallel:
-        # a small input in few files: spread the Python work; large inputs stay where they are
-        values = values.repartition(parallel)
     return values.mapInPandas(score, schema)
 
 

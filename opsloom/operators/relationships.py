@@ -38,16 +38,27 @@ def candidate_relationships(catalog: DataFrame) -> DataFrame:
     return union.groupBy(*EDGE).agg(F.min_by("confidence", "rule").alias("confidence"))
 
 
-def _overlaps(tables: dict[str, DataFrame], edges: list) -> DataFrame:
-    """Distinct source keys of each edge and how many exist in the target, in one shuffle."""
-    sides = []
-    for i, e in enumerate(edges):
-        for table, column, is_source in ((e.source_table, e.source_column, 1), (e.target_table, e.target_column, 0)):
-            key = F.col(f"`{column}`").cast("string")
-            sides.append(tables[table].select(
-                F.lit(i).alias("_edge"), key.alias("_key"), F.lit(is_source).alias("_source")))
-    present = reduce(DataFrame.unionByName, sides).filter(F.col("_key").isNotNull())
-    per_key = present.groupBy("_edge", "_key").agg(
+def _overlaps(spark: SparkSession, tables: dict[str, DataFrame], edges: list) -> DataFrame:
+    """Distinct source keys of each edge and how many exist in the target.
+
+    Every table is scanned once for all its key columns, and the distinct keys of a
+    column are found once however many edges use it.
+    """
+    columns: list[tuple[str, str]] = sorted(
+        {(e.source_table, e.source_column) for e in edges} | {(e.target_table, e.target_column) for e in edges})
+    number = {column: i for i, column in enumerate(columns)}
+    scans = []
+    for table in sorted({t for t, _ in columns}):
+        cells = F.array(*[
+            F.struct(F.lit(number[(table, c)]).alias("_column"), F.col(f"`{c}`").cast("string").alias("_key"))
+            for t, c in columns if t == table])
+        scans.append(tables[table].select(F.inline(cells)))
+    keys = reduce(DataFrame.unionByName, scans).filter(F.col("_key").isNotNull()).distinct()
+    uses = [(number[(e.source_table, e.source_column)], i, 1) for i, e in enumerate(edges)]
+    uses += [(number[(e.target_table, e.target_column)], i, 0) for i, e in enumerate(edges)]
+    # catalog metadata: two rows per edge
+    used = spark.createDataFrame(uses, "_column int, _edge int, _source int")
+    per_key = keys.join(F.broadcast(used), "_column").groupBy("_edge", "_key").agg(
         F.max("_source").alias("_in_source"), F.max(1 - F.col("_source")).alias("_in_target"))
     return per_key.filter(F.col("_in_source") == 1).groupBy("_edge").agg(
         F.count(F.lit(1)).alias("source_distinct"), F.sum("_in_target").alias("overlap"))
@@ -62,7 +73,7 @@ def discover_relationships(spark: SparkSession, tables: dict[str, DataFrame]) ->
         "_edge int, source_table string, source_column string, target_table string, target_column string, confidence double")
     if not edges:
         return numbered.drop("_edge").withColumn("is_verified", F.lit(False))
-    joined = numbered.join(_overlaps(tables, edges), "_edge", "left")
+    joined = numbered.join(_overlaps(spark, tables, edges), "_edge", "left")
     ratio = F.col("overlap") / F.col("source_distinct")
     base = F.col("confidence")
     adjusted = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opsloom.operators import anomaly as ad
 from opsloom.operators.forest import isolation_forest_anomalies
 from opsloom.plans.registry import query
+from opsloom.sources.tables import spread_scan
 
 FLAT = ["table_name", "column_name", "method", "observed_value", "expected_min", "expected_max", "deviation",
         "deviation_percentage", "record_id", "date"]
@@ -81,7 +82,7 @@ def _(v):
 
 @query("anomaly_isolation_forest")
 def _(v):
-    found = isolation_forest_anomalies(v.raw("lineitem").select(
+    found = isolation_forest_anomalies(spread_scan(v.raw("lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), "l_quantity", "l_extendedprice",
         "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")
     return found.select(*FLAT[:8], "record_id", F.col("details").getItem("anomaly_score").alias("anomaly_score"))

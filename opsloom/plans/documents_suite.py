@@ -11,6 +11,7 @@ from opsloom.operators import search as se
 from opsloom.plans.policies import HYBRID_QUESTIONS, POLICIES, QUESTIONS
 from opsloom.plans.registry import VIEW_SQL, query
 from opsloom.session import cut_lineage
+from opsloom.sources.tables import spread_scan
 
 
 def _literal(text: str) -> str:
@@ -60,16 +61,20 @@ chunk_views("headed", _HEADED)
 chunk_views("corpus", _CORPUS)
 
 
+def documents(v):
+    return spread_scan(v.raw("documents"))
+
+
 def headed(v):
     number = F.col("n_chars").cast("string")
-    return v.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(
+    return documents(v).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(
         F.lit("Preface "), "lang", F.lit("\n# About "), "source", F.lit("\n"), "text", F.lit("\n## Notes\n"), number,
         F.lit(" characters")).alias("text"))
 
 
 def corpus(v):
     policies = v.spark.createDataFrame(list(POLICIES.items()), "doc_id string, text string")
-    return v.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(policies)
+    return documents(v).select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(policies)
 
 
 @query("doc_sections", "SELECT doc_id, CAST(section_index AS INTEGER) AS section_index, section_title, section_text FROM v_headed_sections")
@@ -105,7 +110,7 @@ def _(v):
 @query("doc_reindex", "SELECT chunk_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM v_headed_chunks h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.doc_id")
 def _(v):
     stored = doc.chunk_documents(headed(v)).withColumn("version", F.lit("old"))
-    english = v.raw("documents").filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("doc_id"))
+    english = documents(v).filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("doc_id"))
     fresh = doc.chunk_documents(headed(v).join(english, "doc_id", "left_semi")).withColumn("version", F.lit("new"))
     return doc.replace_documents(stored, fresh).select("chunk_id", "version")
 
@@ -229,21 +234,21 @@ VIEW_SQL["v_redacted"] = f"""SELECT doc_id, text, source, e, p, s, {_number_sql(
 
 @query("pii_redact", "SELECT doc_id, redacted FROM v_redacted")
 def _(v):
-    return v.raw("documents").select("doc_id", pii.redact(F.col("text")).alias("redacted"))
+    return documents(v).select("doc_id", pii.redact(F.col("text")).alias("redacted"))
 
 
 @query("pii_token_map", "SELECT doc_id, " + " || ".join(
     f"array_to_string(list_transform(regexp_extract_all({t}, '{pii.PATTERNS[k]}'), lambda x, i: '[{k}_' || i || ']=' || x || ';'), '')"
     for k, t in (("EMAIL", "text"), ("PHONE", "e"), ("SSN", "p"), ("CC", "s"))) + " AS tokens FROM v_redacted")
 def _(v):
-    mapped = v.raw("documents").select("doc_id", pii.token_map(F.col("text")).alias("m"))
+    mapped = documents(v).select("doc_id", pii.token_map(F.col("text")).alias("m"))
     entries = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";")))
     return mapped.select("doc_id", F.array_join(entries, "").alias("tokens"))
 
 
 @query("pii_restore", "SELECT doc_id, text AS restored FROM documents")
 def _(v):
-    staged = v.raw("documents").select("doc_id", pii.redact(F.col("text")).alias("r"), pii.token_map(F.col("text")).alias("m"))
+    staged = documents(v).select("doc_id", pii.redact(F.col("text")).alias("r"), pii.token_map(F.col("text")).alias("m"))
     return staged.select("doc_id", pii.restore(F.col("r"), F.col("m")).alias("restored"))
 
 
@@ -251,5 +256,5 @@ def _(v):
     f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {k.lower()}" for k, p in pii.PATTERNS.items())
     + " FROM documents GROUP BY 1")
 def _(v):
-    return v.raw("documents").groupBy("source").agg(*[
+    return documents(v).groupBy("source").agg(*[
         F.sum(F.size(pii.pii_matches(F.col("text"), k))).alias(k.lower()) for k in pii.PATTERNS])

@@ -111,6 +111,18 @@ def refresh_source(spark: SparkSession, table: str, fresh: DataFrame) -> DataFra
     ).withColumn("row_diff", F.col("current_rows") - F.col("previous_rows"))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    A small table may be one unsplittable file; CPU-heavy text or Python work on it
+    would then run in one task. Scans that already have enough partitions, as any
+    large one does, stay where they are. Use on plain scans only: the partition
+    count of a plan with shuffles is not known before it runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def list_sources(sources: DataFrame, workspace_id: str | None = None) -> DataFrame:
     if workspace_id is None:
         return sources

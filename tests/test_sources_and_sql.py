@@ -113,7 +113,7 @@ def test_cte_names_are_not_tables(spark, orders_view):
     "ALTER TABLE orders ADD COLUMN x INT", "CREATE TABLE t AS SELECT 1", "TRUNCATE TABLE orders", "SELECT 1; DROP TABLE orders",
     "SELECT 1; SELECT 2", "/*c*/ DROP VIEW orders", "SHOW TABLES", "SET a=b", "CACHE TABLE orders", "SELECT * FROM nowhere",
     "WITH w AS (SELECT 1) INSERT INTO orders SELECT * FROM w", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING csv SELECT 1",
-    "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT * FROM", "SELEC 1",
+    "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT java_method('java.lang.System', 'exit', 0)", "SELEC 1",
     "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`", "EXPLAIN DROP TABLE orders", "DESCRIBE orders"])
 def test_unsafe_statements_are_refused(spark, orders_view, sql):
     with pytest.raises(UnsafeSqlError):
