@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.columns import stable_round
 from opsloom.operators.ordering import first_per_group
-from opsloom.operators.profile import value_counts
+from opsloom.operators.profile import few_valued_columns, value_counts
 
 MIN_SEGMENTS, MAX_SEGMENTS = 2, 20
 TOP_SEGMENTS = 3
@@ -34,7 +34,7 @@ def investigation_target(problem: str, tables: Sequence[str]) -> tuple[str, str]
 def _dimension_counts(df: DataFrame, metric: str | None) -> DataFrame:
     """(dimension, ordinal, segment, volume) of columns with 2 to 20 distinct values, and the row total."""
     columns = [c for c in df.columns if c != metric and c not in NOT_DIMENSIONS]
-    counts = value_counts(df, columns)
+    counts = value_counts(df, few_valued_columns(df, columns, MAX_SEGMENTS))
     suitable = counts.groupBy("column_name").agg(F.count("value").alias("_distinct"), F.sum("n").alias("_total")) \
         .filter(F.col("_distinct").between(MIN_SEGMENTS, MAX_SEGMENTS))
     ordinal = F.lit(None).cast("int")

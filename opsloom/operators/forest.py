@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TREES = 100
 SAMPLE_ROWS = 256
 POOL_ROWS = TREES * SAMPLE_ROWS
+THINNING = 4
 CONTAMINATION = 0.05
 MIN_ROWS = 15
 SEED = 42
@@ -69,7 +70,7 @@ def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> Da
 
     def fit(key, pdf):
         tree = int(key[0])
-        rows = pdf.sort_values("_hash", kind="stable")[names].to_numpy(dtype=float)
+        rows = pdf.sort_values("_draw", kind="stable")[names].to_numpy(dtype=float)
         nodes = _grow(rows, np.random.default_rng([seed, tree]))
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth", "sample"])
         out.insert(0, "tree", tree)
@@ -81,14 +82,19 @@ def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> Da
 
 
 def draw_samples(values: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """``SAMPLE_ROWS`` distinct rows per tree out of a pool of ``POOL_ROWS`` rows, by hash order.
-
-    The pool is a top-k over a row hash, so the sample does not grow with the data.
-    It is shuffled as often as needed and dealt out: each shuffle serves as many
-    trees as it has full hands, so no tree holds a row twice.
+    """``SAMPLE_ROWS`` different rows per tree out of a random pool of ``POOL_ROWS`` rows.
+
+    The table is thinned to a few times the pool size before the top-k, so neither
+    the sample nor the rows that reach the top-k task grow with the data. The draw is
+    by row, not by content, so many equal rows count as often as they occur; over a
+    plain scan it is repeatable. The pool is shuffled as often as needed and dealt
+    out: each shuffle serves as many trees as it has full hands, so no tree holds a
+    row twice.
     """
-    pool = values.select(*columns, F.xxhash64(F.lit(seed), "record_id", *columns).alias("_hash")) \
-        .orderBy("_hash", *columns).limit(POOL_ROWS)
+    n = values.agg(F.count(F.lit(1)).alias("n")).scalar()
+    thinned = values.select(*columns, F.rand(seed).alias("_draw")).filter(
+        F.col("_draw") * n <= F.lit(float(THINNING * POOL_ROWS)))
+    pool = thinned.orderBy("_draw", *columns).limit(POOL_ROWS)
     pinned = cut_lineage(pool)
     size = pinned.count()  # at most POOL_ROWS
     hand = max(min(SAMPLE_ROWS, size), 1)
@@ -96,7 +102,7 @@ def draw_samples(values: DataFrame, columns: Sequence[str], trees: int = TREES,
     rounds = -(-trees // hands)
     spread = pinned.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     # a window group is one shuffle of the pool: at most POOL_ROWS rows
-    order = Window.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "_hash"), "_hash")
+    order = Window.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "_draw"), "_draw")
     dealt = spread.withColumn("_slot", F.floor((F.row_number().over(order) - 1) / hand))
     return dealt.filter(F.col("_slot") < hands).withColumn(
         "tree", (F.col("_round") * hands + F.col("_slot")).cast("int")).filter(F.col("tree") < trees)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,64 +19,87 @@ TOP_K = 4
 FREQUENT_SHARES = 1000
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """postings: key, term, weight (tf * idf); norms: key, norm; vocabulary: term, df, idf.
+
+    Weights are kept raw: only the chunks a query hits are divided by their norm,
+    so building the index needs no join of all postings with the norms.
+    """
+
+    postings: DataFrame
+    norms: DataFrame
+    vocabulary: DataFrame
+    key: str = "chunk_id"
+
+    def unit_postings(self) -> DataFrame:
+        """key, term and weight scaled to unit length per chunk."""
+        return self.postings.join(self.norms, self.key).select(
+            self.key, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+
+
 def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """(key, term, tf) of single terms and neighbour pairs; each text is tokenised once."""
-    tokenised = texts.select(F.col(key), kept_terms(F.col(text), stop_words).alias("_kept"))
+    """(key, term, tf) of single terms and neighbour pairs; each text is tokenised once.
+
+    The texts are partitioned by key before they are taken apart: the count per
+    (key, term) then needs no shuffle of the many more terms. The partition number is
+    given, as AQE would pack the texts into few tasks by their size before they grow.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokenised = texts.select(key, text).repartition(parts, key).select(key, kept_terms(F.col(text), stop_words).alias("_kept"))
     exploded = tokenised.select(key, F.explode(with_pairs(F.col("_kept"))).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
-                stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(postings: key, term, weight with unit length per chunk; vocabulary: term, df, idf).
+                stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> SearchIndex:
+    """TF-IDF index; its tables are written out, as every search reads them again.
 
-    The term counts are written out once, as four later steps read them. Save the
-    two results as tables when they serve more than one search.
     Postings meet the vocabulary in two joins: the at most 1,000 terms that hold a
     large share of all postings are broadcast, so no shuffle partition gets a hot
     term, and the rest is an ordinary join.
     """
     tf = cut_lineage(term_counts(chunks, key, text, stop_words))
     n = chunks.select(F.count(F.lit(1)).alias("n")).scalar()
-    document_frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = document_frequency.withColumn("idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-    postings_total = document_frequency.agg(F.sum("df").alias("t")).scalar()
-    marked = vocabulary.withColumn("_hot", F.col("df") * FREQUENT_SHARES >= postings_total)
-    hot = marked.filter("_hot").select("term", "idf")
+    frequencies = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = cut_lineage(frequencies.withColumn(
+        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
+    total = vocabulary.agg(F.sum("df").alias("t")).scalar()
+    marked = vocabulary.withColumn("_hot", F.col("df") * FREQUENT_SHARES >= total)
+    hot = marked.filter("_hot").select("term", F.col("idf").alias("_hot_idf"))
     cold = marked.filter("NOT _hot").select("term", "idf")
-    with_hot = tf.join(F.broadcast(hot.withColumnRenamed("idf", "_hot_idf")), "term", "left")
-    raw = (
-        with_hot.filter(F.col("_hot_idf").isNotNull()).select(key, "term", (F.col("tf") * F.col("_hot_idf")).alias("_w"))
-        .unionByName(with_hot.filter(F.col("_hot_idf").isNull()).join(cold, "term").select(
-            key, "term", (F.col("tf") * F.col("idf")).alias("_w")))
-    )
-    # a chunk has a bounded number of terms
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    postings = raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
-    return postings, vocabulary
+    with_hot = tf.join(F.broadcast(hot), "term", "left")
+    frequent = with_hot.filter(F.col("_hot_idf").isNotNull()).select(
+        key, "term", (F.col("tf") * F.col("_hot_idf")).alias("weight"))
+    rest = with_hot.filter(F.col("_hot_idf").isNull()).join(cold, "term").select(
+        key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    postings = cut_lineage(frequent.unionByName(rest))
+    norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return SearchIndex(postings, norms, vocabulary, key)
 
 
 def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str = "query_id", text: str = "query",
                   stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Unit-length term weights of each query; terms outside the vocabulary do not count."""
     tf = term_counts(queries, query_id, text, stop_words)
+    # queries hold few of the terms, so their side is small whatever the vocabulary
     raw = tf.join(vocabulary, "term").select(query_id, "term", (F.col("tf") * F.col("idf")).alias("_w"))
     norms = raw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return raw.join(norms, query_id).select(query_id, "term", (F.col("_w") / F.col("_norm")).alias("query_weight"))
 
 
-def search(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id",
-           min_score: float = MIN_SCORE, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
+def search(index: SearchIndex, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
+           stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
     """The ``k`` best chunks per query with score and rank; ties by chunk key.
 
     The whole batch of queries is one join on terms and one map-side combined sum.
     """
-    weights = query_weights(queries, vocabulary, stop_words=stop_words)
-    scored = (
-        postings.join(weights, "term").groupBy("query_id", key)
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("_score"))
-        .filter(F.col("_score") > min_score)
-    )
+    key = index.key
+    weights = query_weights(queries, index.vocabulary, stop_words=stop_words)
+    dots = index.postings.join(weights, "term").groupBy("query_id", key).agg(
+        F.sum(F.col("weight") * F.col("query_weight")).alias("_dot"))
+    scored = dots.join(index.norms, key).withColumn("_score", F.col("_dot") / F.col("norm")).filter(
+        F.col("_score") > min_score)
     # rank by the score at nine digits, so noise of the summation order cannot swap equal chunks
     ranked = first_per_group(scored, ["query_id"], [F.desc(F.round("_score", 9)), F.col(key)], k, "rank")
     return ranked.select("query_id", key, "rank", F.round("_score", 3).alias("score"))

@@ -148,8 +148,7 @@ def _search_sql(questions: str, k: int) -> str:
 
 def corpus_index(v):
     chunks = cut_lineage(doc.chunk_documents(corpus(v)))
-    postings, vocabulary = se.build_index(chunks)
-    return chunks, postings, vocabulary
+    return chunks, se.build_index(chunks)
 
 
 def questions(v, asked):
@@ -158,36 +157,36 @@ def questions(v, asked):
 
 @query("search_vocabulary", "SELECT term, df, round(idf, 6) AS idf FROM v_corpus_idf")
 def _(v):
-    return corpus_index(v)[2].withColumn("idf", F.round("idf", 6))
+    return corpus_index(v)[1].vocabulary.withColumn("idf", F.round("idf", 6))
 
 
 @query("search_index_weights", "SELECT chunk_id, count(*) AS terms, round(sum(weight), 4) AS total_weight, round(max(weight), 6) AS top_weight FROM v_corpus_postings GROUP BY 1")
 def _(v):
-    return corpus_index(v)[1].groupBy("chunk_id").agg(
+    return corpus_index(v)[1].unit_postings().groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total_weight"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
 @query("search_policy_questions", _search_sql(_rows(QUESTIONS, "query_id", "query"), 3))
 def _(v):
-    _, postings, vocabulary = corpus_index(v)
-    return se.search(postings, vocabulary, questions(v, QUESTIONS), k=3)
+    _, index = corpus_index(v)
+    return se.search(index, questions(v, QUESTIONS), k=3)
 
 
 @query("search_top_citations", f"""
     SELECT query_id, doc_id AS filename, 'Source: ' || doc_id || chr(10) || 'Page: ' || page_number || chr(10) || 'Section: ' || section_title AS citation
     FROM ({_search_sql(_rows(QUESTIONS, "query_id", "query"), 1)}) h JOIN v_corpus_chunks c ON c.chunk_id = h.chunk_id""")
 def _(v):
-    chunks, postings, vocabulary = corpus_index(v)
-    hits = se.search(postings, vocabulary, questions(v, QUESTIONS), k=1)
+    chunks, index = corpus_index(v)
+    hits = se.search(index, questions(v, QUESTIONS), k=1)
     names = corpus(v).select("doc_id", F.col("doc_id").alias("filename"))
     return se.search_results(hits, chunks, names).select("query_id", "filename", "citation")
 
 
 @query("search_benchmark_passages", _search_sql("SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark", 4))
 def _(v):
-    _, postings, vocabulary = corpus_index(v)
+    _, index = corpus_index(v)
     asked = v.raw("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return se.search(postings, vocabulary, asked, k=4)
+    return se.search(index, asked, k=4)
 
 
 def _top_hit(question: str) -> str:
@@ -197,8 +196,8 @@ def _top_hit(question: str) -> str:
 
 def _policy_hit(v, question):
     """The best passage as a one-row scalar: (policy, content)."""
-    chunks, postings, vocabulary = corpus_index(v)
-    hits = se.search(postings, vocabulary, questions(v, {"q": question}), k=1)
+    chunks, index = corpus_index(v)
+    hits = se.search(index, questions(v, {"q": question}), k=1)
     found = hits.join(chunks, "chunk_id").select(F.struct(F.col("doc_id").alias("policy"), "content").alias("hit"))
     return found.scalar()
 

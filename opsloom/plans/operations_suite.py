@@ -173,8 +173,8 @@ def _(v):
 def _(v):
     problem = "Why did refund approvals above the threshold increase?"
     table, metric = dr.investigation_target(problem, ["orders", "invoices"])
-    chunks, postings, vocabulary = corpus_index(v)
-    hit = se.search(postings, vocabulary, questions(v, {"q": problem}), k=1).join(chunks, "chunk_id").select(
+    chunks, index = corpus_index(v)
+    hit = se.search(index, questions(v, {"q": problem}), k=1).join(chunks, "chunk_id").select(
         F.struct("doc_id", dr.policy_snippet(F.col("content")).alias("snippet")).alias("h")).scalar()
     return dr.attribute_drivers(v.table(table), table, metric).withColumns({
         "policy": hit.getField("doc_id"), "policy_snippet": hit.getField("snippet")})

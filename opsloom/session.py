@@ -21,6 +21,8 @@ def build_session(app_name: str = "opsloom", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a hot join key even where that costs a shuffle for a later aggregation
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.ui.enabled", "false")
         # call-site capture costs milliseconds per Column call, which adds up in wide plans
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

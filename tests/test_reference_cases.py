@@ -255,9 +255,9 @@ def test_policies_answer_their_questions(spark):
     docs = spark.createDataFrame(list(POLICIES.items()), "doc_id string, text string")
     chunks = doc.chunk_documents(docs)
     assert chunks.count() >= 8
-    postings, vocabulary = se.build_index(chunks)
+    index = se.build_index(chunks)
     asked = spark.createDataFrame(list(QUESTIONS.items()), "query_id string, query string")
-    hits = se.search_results(se.search(postings, vocabulary, asked, k=3), chunks,
+    hits = se.search_results(se.search(index, asked, k=3), chunks,
                              docs.select("doc_id", F.col("doc_id").alias("filename")))
     top = {r.query_id: r for r in hits.filter("rank = 1").collect()}
     expected = {
