@@ -24,9 +24,10 @@ def _(v):
 
 
 @query("analytics_group_median", """
-    SELECT customer_id, quantile_cont(total_amount, 0.5) AS total_amount_median FROM v_orders GROUP BY 1""")
+    SELECT customer_id, round(quantile_cont(total_amount, 0.5), 4) AS total_amount_median FROM v_orders GROUP BY 1""")
 def _(v):
-    return an.group_by_analysis(v.orders, ["customer_id"], {"total_amount": ["median"]})
+    medians = an.group_by_analysis(v.orders, ["customer_id"], {"total_amount": ["median"]})
+    return medians.withColumn("total_amount_median", F.round("total_amount_median", 4))
 
 
 @query("analytics_pivot", """

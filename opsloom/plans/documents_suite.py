@@ -142,7 +142,7 @@ def _search_sql(questions: str, k: int) -> str:
     qw AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qweight
       FROM (SELECT query_id, q.term, tf * idf AS w FROM q JOIN v_corpus_idf i ON i.term = q.term)),
     s AS (SELECT query_id, chunk_id, sum(weight * qweight) AS score FROM v_corpus_postings p JOIN qw ON qw.term = p.term GROUP BY 1, 2)
-    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank,
+    SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank,
       round(score, 3) AS score FROM s WHERE score > 0.05 QUALIFY rank <= {k}"""
 
 

@@ -152,7 +152,7 @@ def _(v):
     return dr.candidate_dimensions(v.orders, "order_id")
 
 
-_DRIVERS = """SELECT dimension, row_number() OVER (PARTITION BY dimension ORDER BY volume DESC, segment) AS rank, segment, volume,
+_DRIVERS = """SELECT dimension, CAST(row_number() OVER (PARTITION BY dimension ORDER BY volume DESC, segment) AS INTEGER) AS rank, segment, volume,
     round(volume::DOUBLE / total * 100, 1) AS share_percentage, ordinal = (SELECT min(ordinal) FROM v_dimensions) AS is_primary
     FROM v_dimensions QUALIFY rank <= 3"""
 

@@ -76,7 +76,7 @@ def _(v):
 
 
 @query("profile_top_categories", _union(
-    f"""SELECT '{c}' AS column_name, value, n, row_number() OVER (ORDER BY n DESC, value) AS rank
+    f"""SELECT '{c}' AS column_name, value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank
         FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v_dirty_orders WHERE {c} IS NOT NULL GROUP BY 1)
         QUALIFY rank <= 5""" for c in ("status", "order_date")))
 def _(v):

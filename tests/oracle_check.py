@@ -1,4 +1,7 @@
-"""Run registered queries against DuckDB: ``python tests/oracle_check.py [--sf DIR] [name-part ...]``."""
+"""Run registered queries against DuckDB: ``python tests/oracle_check.py [--plain] [--sf DIR] [name-part ...]``.
+
+``--plain`` uses a session with Spark's default settings.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import duckdb  # noqa: E402
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from opsloom.session import build_session  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -67,12 +72,17 @@ def compare(spark_df, con, sql):
 
 def main(argv):
     sf_dir = "/root/testdata/sf0.01"
+    plain = bool(argv) and argv[0] == "--plain"
+    argv = argv[1:] if plain else argv
     if argv and argv[0] == "--sf":
         sf_dir, argv = argv[1], argv[2:]
     entry = importlib.import_module("__spark_entry__")
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not argv or any(part in n for part in argv)]
-    spark = build_session("oracle-check", "local[8]", 8)
+    if plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session("oracle-check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
     failed = []
