@@ -46,9 +46,14 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.coalesce(F.round(ratio, digits), F.lit(0.0))
 
 
-def stable_round(c: Column, digits: int) -> Column:
-    """Half-up rounding that ignores noise beyond the sixth decimal."""
-    return F.round(c.cast("decimal(20,6)"), digits).cast("double")
+def stable_round(c: ColumnOrName, digits: int) -> Column:
+    """Half-up rounding that ignores noise beyond the sixth decimal.
+
+    Values too large for that many decimals are rounded as they are.
+    """
+    value = as_column(c)
+    exact = F.round(value.try_cast("decimal(20,6)"), digits).cast("double")
+    return F.coalesce(exact, F.round(value.cast("double"), digits))
 
 
 def as_timestamp(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import anomaly as ad
 from opsloom.operators.forest import isolation_forest_anomalies
-from opsloom.plans.registry import query
+from opsloom.plans.registry import query, sround
 from opsloom.sources.tables import spread_scan
 
 FLAT = ["table_name", "column_name", "method", "observed_value", "expected_min", "expected_max", "deviation",
@@ -15,9 +15,9 @@ FLAT = ["table_name", "column_name", "method", "observed_value", "expected_min",
 
 def _z_sql(table: str, view: str, column: str, key: str, date: str | None, threshold: float) -> str:
     return f"""
-    SELECT '{table}' AS table_name, '{column}' AS column_name, 'z_score' AS method, round(x, 2) AS observed_value,
-      round(m - {threshold} * s, 2) AS expected_min, round(m + {threshold} * s, 2) AS expected_max, round(x - m, 2) AS deviation,
-      CASE WHEN m = 0 THEN 0 ELSE round(round(x - m, 2) / abs(m) * 100, 2) END AS deviation_percentage,
+    SELECT '{table}' AS table_name, '{column}' AS column_name, 'z_score' AS method, {sround('x', 2)} AS observed_value,
+      {sround(f'm - {threshold} * s', 2)} AS expected_min, {sround(f'm + {threshold} * s', 2)} AS expected_max, {sround('x - m', 2)} AS deviation,
+      CASE WHEN m = 0 THEN 0 ELSE {sround(sround('x - m', 2) + ' / abs(m) * 100', 2)} END AS deviation_percentage,
       CAST({key} AS VARCHAR) AS record_id, {f"CAST({date} AS VARCHAR)" if date else "CAST(NULL AS VARCHAR)"} AS date
     FROM (SELECT *, CAST({column} AS DOUBLE) AS x FROM {view}),
          (SELECT avg({column}) AS m, stddev_samp({column}) AS s, count({column}) AS n FROM {view})
@@ -32,8 +32,8 @@ def _(v):
 _PLAIN_EVENTS = ["event_id", "event_type", "value", "ts"]
 
 
-@query("anomaly_zscore_by_group", """
-    SELECT event_type, CAST(event_id AS VARCHAR) AS record_id, round(value, 2) AS observed_value, round(value - m, 2) AS deviation
+@query("anomaly_zscore_by_group", f"""
+    SELECT event_type, CAST(event_id AS VARCHAR) AS record_id, {sround('value', 2)} AS observed_value, {sround('value - m', 2)} AS deviation
     FROM events JOIN (SELECT event_type AS g, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1) ON g = event_type
     WHERE abs(value - m) / s >= 3""")
 def _(v):
@@ -43,11 +43,11 @@ def _(v):
 
 def _iqr_sql(table: str, view: str, column: str, key: str, date: str, k: float) -> str:
     return f"""
-    SELECT '{table}' AS table_name, '{column}' AS column_name, 'iqr' AS method, round(x, 2) AS observed_value, lo AS expected_min,
-      hi AS expected_max, round(CASE WHEN x > hi THEN x - q3 ELSE x - q1 END, 2) AS deviation,
-      round(round(CASE WHEN x > hi THEN x - q3 ELSE x - q1 END, 2) / abs(q3) * 100, 2) AS deviation_percentage,
+    SELECT '{table}' AS table_name, '{column}' AS column_name, 'iqr' AS method, {sround('x', 2)} AS observed_value, lo AS expected_min,
+      hi AS expected_max, {sround('CASE WHEN x > hi THEN x - q3 ELSE x - q1 END', 2)} AS deviation,
+      {sround(sround('CASE WHEN x > hi THEN x - q3 ELSE x - q1 END', 2) + ' / abs(q3) * 100', 2)} AS deviation_percentage,
       CAST({key} AS VARCHAR) AS record_id, {date} AS date
-    FROM (SELECT *, CAST({column} AS DOUBLE) AS x FROM {view}), (SELECT q1, q3, round(q1 - {k} * (q3 - q1), 2) AS lo, round(q3 + {k} * (q3 - q1), 2) AS hi
+    FROM (SELECT *, CAST({column} AS DOUBLE) AS x FROM {view}), (SELECT q1, q3, {sround(f'q1 - {k} * (q3 - q1)', 2)} AS lo, {sround(f'q3 + {k} * (q3 - q1)', 2)} AS hi
       FROM (SELECT quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.75) AS q3 FROM {view}))
     WHERE q1 <> q3 AND (x < lo OR x > hi)"""
 
@@ -60,9 +60,9 @@ def _(v):
 def _rolling_sql(table: str, view: str, column: str, key: str, date: str, group: str = "") -> str:
     over = f"(PARTITION BY {group} " if group else "("
     return f"""
-    SELECT '{table}' AS table_name, '{column}' AS column_name, 'rolling_deviation' AS method, round(x, 2) AS observed_value,
-      round(m - 2 * s, 2) AS expected_min, round(m + 2 * s, 2) AS expected_max, round(x - m, 2) AS deviation,
-      round((x - m) / abs(m) * 100, 2) AS deviation_percentage, CAST({key} AS VARCHAR) AS record_id, strftime({date}, '%Y-%m-%d') AS date
+    SELECT '{table}' AS table_name, '{column}' AS column_name, 'rolling_deviation' AS method, {sround('x', 2)} AS observed_value,
+      {sround('m - 2 * s', 2)} AS expected_min, {sround('m + 2 * s', 2)} AS expected_max, {sround('x - m', 2)} AS deviation,
+      {sround('(x - m) / abs(m) * 100', 2)} AS deviation_percentage, CAST({key} AS VARCHAR) AS record_id, strftime({date}, '%Y-%m-%d') AS date
     FROM (SELECT *, {column} AS x, avg({column}) OVER w AS m, stddev_samp({column}) OVER w AS s, count(*) OVER w AS n FROM {view}
       WINDOW w AS {over} ORDER BY {date}, CAST({key} AS VARCHAR) ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
     WHERE n >= 3 AND s > 0 AND abs(x - m) > 2.5 * s"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.functions.columns import as_of_literal, complete_days, lowered, money, money_avg, money_sum, percent
+from opsloom.functions.columns import as_of_literal, complete_days, lowered, money, money_avg, money_sum, percent, stable_round
 
 
 def status_is(value: str):
@@ -76,7 +76,7 @@ def top_customers(orders: DataFrame, customers: DataFrame, k: int, completed_onl
 def delays_by_carrier(shipments: DataFrame) -> DataFrame:
     return (
         shipments.filter(F.col("delay_days") > 0).groupBy("carrier")
-        .agg(F.count(F.lit(1)).alias("delay_count"), F.round(F.avg("delay_days"), 1).alias("avg_delay"))
+        .agg(F.count(F.lit(1)).alias("delay_count"), stable_round(F.avg("delay_days"), 1).alias("avg_delay"))
         .orderBy(F.desc("delay_count"), "carrier")
     )
 
@@ -106,7 +106,7 @@ def tickets_past_deadline(tickets: DataFrame, as_of: str) -> DataFrame:
 def satisfaction_by_priority(tickets: DataFrame) -> DataFrame:
     return (
         tickets.filter(F.col("satisfaction_score").isNotNull()).groupBy("priority")
-        .agg(F.round(F.avg("satisfaction_score"), 2).alias("avg_csat")).orderBy("avg_csat", "priority")
+        .agg(stable_round(F.avg("satisfaction_score"), 2).alias("avg_csat")).orderBy("avg_csat", "priority")
     )
 
 
@@ -128,9 +128,9 @@ def delivery_by_shipping_method(orders: DataFrame, shipments: DataFrame) -> Data
     joined = orders.join(per_order, "order_id", "left")
     since_epoch = F.datediff("order_date", F.lit("1970-01-01").cast("date"))
     return joined.groupBy("shipping_method").agg(
-        F.round(money_avg("total_amount"), 2).alias("avg_order_value"),
+        stable_round(money_avg("total_amount"), 2).alias("avg_order_value"),
         F.sum("_n").alias("closed_shipments"),
-        F.round(F.sum(F.col("_days") - F.col("_n") * since_epoch) / F.sum("_n"), 2).alias("avg_days"),
+        stable_round(F.sum(F.col("_days") - F.col("_n") * since_epoch) / F.sum("_n"), 2).alias("avg_days"),
     )
 
 
@@ -184,13 +184,13 @@ def customers_over_limit(customers: DataFrame, invoices: DataFrame) -> DataFrame
 
 
 def average_order_value(orders: DataFrame) -> DataFrame:
-    return orders.agg(F.round(money_avg("total_amount"), 2).alias("aov"), F.count(F.lit(1)).alias("total_orders"))
+    return orders.agg(stable_round(money_avg("total_amount"), 2).alias("aov"), F.count(F.lit(1)).alias("total_orders"))
 
 
 def monthly_order_value(orders: DataFrame) -> DataFrame:
     return (
         orders.filter(status_is("delivered")).groupBy(F.date_format("order_date", "yyyy-MM").alias("month"))
-        .agg(F.round(money_avg("total_amount"), 2).alias("aov"), F.count(F.lit(1)).alias("total_orders"))
+        .agg(stable_round(money_avg("total_amount"), 2).alias("aov"), F.count(F.lit(1)).alias("total_orders"))
         .orderBy("month")
     )
 
@@ -214,7 +214,7 @@ def multi_line_orders(items: DataFrame, more_than: int = 2, k: int | None = None
 def customers_by_tier(customers: DataFrame) -> DataFrame:
     return (
         customers.groupBy("tier")
-        .agg(F.count(F.lit(1)).alias("cust_count"), F.round(money_avg("credit_limit"), 2).alias("avg_limit"))
+        .agg(F.count(F.lit(1)).alias("cust_count"), stable_round(money_avg("credit_limit"), 2).alias("avg_limit"))
         .orderBy(F.desc("cust_count"), "tier")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.plans import business_questions as bq
-from opsloom.plans.registry import query
+from opsloom.plans.registry import query, sround
 
 AS_OF = "2001-09-01 00:00:00"
 TICKETS_AS_OF = "2024-01-31 00:00:00"
@@ -86,8 +86,8 @@ def _(v):
     return bq.top_customers(v.orders, v.customers, 10, completed_only=True)
 
 
-@query("bq06_delays_by_carrier", """
-    SELECT carrier, count(*) AS delay_count, round(avg(delay_days), 1) AS avg_delay
+@query("bq06_delays_by_carrier", f"""
+    SELECT carrier, count(*) AS delay_count, {sround('avg(delay_days)', 1)} AS avg_delay
     FROM v_shipments WHERE delay_days > 0 GROUP BY carrier""")
 def _(v):
     return bq.delays_by_carrier(v.shipments)
@@ -116,8 +116,8 @@ def _(v):
     return bq.tickets_past_deadline(v.support_tickets, TICKETS_AS_OF)
 
 
-@query("bq08_satisfaction_by_priority", """
-    SELECT priority, round(avg(satisfaction_score), 2) AS avg_csat FROM v_support_tickets
+@query("bq08_satisfaction_by_priority", f"""
+    SELECT priority, {sround('avg(satisfaction_score)', 2)} AS avg_csat FROM v_support_tickets
     WHERE satisfaction_score IS NOT NULL GROUP BY priority""")
 def _(v):
     return bq.satisfaction_by_priority(v.support_tickets)
@@ -135,8 +135,8 @@ def _(v):
              sum(date_diff('day', order_date, actual_delivery)) AS days
         FROM v_orders o LEFT JOIN (SELECT order_id, actual_delivery FROM v_shipments WHERE actual_delivery IS NOT NULL) s
           ON o.order_id = s.order_id GROUP BY ALL)
-    SELECT shipping_method, round({davg('total_amount')}, 2) AS avg_order_value,
-           CAST(sum(n) AS BIGINT) AS closed_shipments, round(CAST(sum(days) AS DOUBLE) / sum(n), 2) AS avg_days
+    SELECT shipping_method, {sround(davg('total_amount'), 2)} AS avg_order_value,
+           CAST(sum(n) AS BIGINT) AS closed_shipments, {sround('CAST(sum(days) AS DOUBLE) / sum(n)', 2)} AS avg_days
     FROM per_order GROUP BY shipping_method""")
 def _(v):
     return bq.delivery_by_shipping_method(v.orders, v.shipments)
@@ -188,13 +188,13 @@ def _(v):
 
 
 @query("bq13_average_order_value", f"""
-    SELECT round({davg('total_amount')}, 2) AS aov, count(*) AS total_orders FROM v_orders""")
+    SELECT {sround(davg('total_amount'), 2)} AS aov, count(*) AS total_orders FROM v_orders""")
 def _(v):
     return bq.average_order_value(v.orders)
 
 
 @query("bq13b_monthly_order_value", f"""
-    SELECT strftime(order_date, '%Y-%m') AS month, round({davg('total_amount')}, 2) AS aov, count(*) AS total_orders
+    SELECT strftime(order_date, '%Y-%m') AS month, {sround(davg('total_amount'), 2)} AS aov, count(*) AS total_orders
     FROM v_orders WHERE status = 'Delivered' GROUP BY 1""")
 def _(v):
     return bq.monthly_order_value(v.orders)
@@ -221,7 +221,7 @@ def _(v):
 
 
 @query("bq16_customers_by_tier", f"""
-    SELECT tier, count(*) AS cust_count, round({davg('credit_limit')}, 2) AS avg_limit FROM v_customers GROUP BY tier""")
+    SELECT tier, count(*) AS cust_count, {sround(davg('credit_limit'), 2)} AS avg_limit FROM v_customers GROUP BY tier""")
 def _(v):
     return bq.customers_by_tier(v.customers)
 

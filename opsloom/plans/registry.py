@@ -100,6 +100,11 @@ def with_views(sql: str) -> str:
     return f"WITH {views},\n{body[own_ctes.end():]}" if own_ctes else f"WITH {views}\n{body}"
 
 
+def sround(x: str, digits: int) -> str:
+    """SQL for ``stable_round``."""
+    return f"CAST(round(CAST({x} AS DECIMAL(20,6)), {digits}) AS DOUBLE)"
+
+
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[OperationsViews], DataFrame]):
         if name in _BUILDERS:
