@@ -71,6 +71,19 @@ def test_first_per_group_limits_before_the_shuffle(spark, skewed):
     assert limited.count() == sum(min(3, n) for n in skewed.groupby("k").size())
 
 
+def test_rule_filters_reach_the_scan(spark):
+    from opsloom.operators.rules import Condition, Rule, evaluate_table_rules
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    big = Rule("big", "order", "orders", "HIGH", (
+        Condition("o_totalprice", "gt", 400000), Condition("o_orderdate", "after", "2000-01-01")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = evaluate_table_rules(orders, [big], "2001-01-01")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThan(o_totalprice,400000.0)" in pushed
+
+
 def test_interval_join_equals_brute_force(spark):
     points = [(i, f"2024-01-{1 + i % 28:02d} 0{i % 10}:00:00") for i in range(200)]
     spans = [(j, f"2023-12-{10 + j:02d} 00:00:00", f"2024-0{1 + j % 3}-15 12:00:00") for j in range(10)]
