@@ -11,7 +11,8 @@ from opsloom.streaming import flows
 
 
 def _stream(v, table: str):
-    return flows.read_folder_stream(v.spark, v.directory, v.raw(table).schema, f"{table}.parquet")
+    # as a glob, the path may be one file or a folder of part files
+    return flows.read_folder_stream(v.spark, f"{v.directory}/{table}.parque[t]", v.raw(table).schema)
 
 
 def _finish(v, name: str, df, target=None):

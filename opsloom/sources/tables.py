@@ -48,11 +48,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def load_tables(spark: SparkSession, directory: str, names: list[str] | None = None,
                 register: bool = True) -> dict[str, DataFrame]:
-    """Read ``<directory>/<name>.parquet`` for each name and register temp views."""
+    """Read ``<directory>/<name>.parquet`` (a file or a folder) for each name and register temp views."""
     if names is None:
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet") \
-            .load(directory).select("path").collect()  # file names only
-        names = sorted(PurePath(r.path).stem for r in listed)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+            .option("pathGlobFilter", "*.parquet").load(directory)
+        found = files.select(F.regexp_extract("path", r"([^/]+)\.parquet(?:/|$)", 1).alias("name")).distinct()
+        names = sorted(r.name for r in found.collect())  # table names
     tables = {n: spark.read.parquet(f"{directory}/{n}.parquet") for n in names}
     if register:
         for name, df in tables.items():
