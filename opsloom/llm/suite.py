@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from opsloom.llm.bpe import encode_decode
+from opsloom.llm.cover_dedup import remove_repeated_windows
+from opsloom.llm.longest_match import token_counts
 from opsloom.llm.ngram_join import jaccard_components
 from opsloom.llm.tables import table
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _sha256(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_windows(table(spark, sf_dir, "documents"), size=50)
+    return found.select("doc_id", "n_words", "n_removed", _sha256("kept_text").alias("kept_sha256"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+    return found.select("doc_id", "n_tokens", _sha256("ids").alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
