@@ -270,7 +270,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     # one row per different set of a cluster; its blocks are dealt by hash
     members = cut_lineage(classes.join(clusters, F.col("set_a") == F.col("node")).select("cluster", "rep"))
     blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    packed = (docs.join(members, F.col("doc_id") == F.col("rep")).select("cluster", "rep", "text")
+    # a merge join at every size: members grow with the documents
+    packed = (docs.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "rep", "text")
               .mapInArrow(_sets(size), "cluster long, rep long, elements binary").dropDuplicates(["cluster", "rep"]))
     placed = packed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiled = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
