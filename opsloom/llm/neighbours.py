@@ -1,8 +1,9 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space (operator 8).
 
-A bounded sample of labelled documents is turned into weighted byte-trigram vectors, reduced by a truncated singular
-value decomposition and broadcast. Every document is projected into the same space and compared with every sample vector
-in blocks of exact cosine products; the nearest ones vote with their similarity.
+A bounded sample of labelled documents is turned into weighted vectors of byte trigrams, trigrams of kinds of bytes and
+word repetition, reduced by a truncated singular value decomposition and broadcast. Every document is projected into the
+same space and compared with every sample vector in blocks of exact cosine products; the nearest ones vote with their
+similarity.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.tables import fold
-from opsloom.llm.words import slices, text_bytes
+from opsloom.llm.words import slices, split_words, text_bytes
 
 #: Hashed features of a text, and latent dimensions.
 FEATURES, RANK = 2048, 48
@@ -24,20 +25,44 @@ SAMPLE = 3000
 NEIGHBOURS = 15
 
 
-def trigram_weights(texts: pa.Array) -> np.ndarray:
-    """Logarithmic counts of hashed byte trigrams, a row for each text."""
+#: Steps of the share of words that repeat the word before, one feature each, and the weight of such a feature.
+REPEATS = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
+REPEAT_WEIGHT = 12.0
+#: Kinds of bytes: capitals, other letters and digits are one each, every other sign is its own.
+KIND = np.arange(256, dtype=np.uint32)
+KIND[65:91], KIND[97:123], KIND[128:], KIND[48:58] = 65, 97, 97, 48
+
+
+def _hashed_trigrams(data: np.ndarray, width: int) -> np.ndarray:
+    gram = data[:-2] * np.uint32(65536) + data[1:-1] * np.uint32(256) + data[2:]
+    return (((gram * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(width)).astype(np.int64)
+
+
+def text_features(texts: pa.Array) -> np.ndarray:
+    """A row for each text: logarithmic counts of hashed byte trigrams and of trigrams of kinds of bytes, and the step of
+    the share of repeated words."""
     data, bounds = text_bytes(texts)
-    n = len(texts)
-    if len(data) < 3:
-        return np.zeros((n, FEATURES), np.float32)
-    wide = data.astype(np.uint32)
-    gram = wide[:-2] * np.uint32(65536) + wide[1:-1] * np.uint32(256) + wide[2:]
-    bucket = ((gram * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)  # 11 bits
-    sizes = np.diff(bounds)
-    row = np.repeat(np.arange(n), sizes)
-    inside = np.arange(len(gram)) + 2 < bounds[1:][row[:len(gram)]]
-    counts = np.bincount((row[:len(gram)] * FEATURES + bucket)[inside], minlength=n * FEATURES)
-    return np.log1p(counts.reshape(n, FEATURES).astype(np.float32))
+    n, half = len(texts), FEATURES // 2
+    found = np.zeros((n, FEATURES), np.float32)
+    if len(data) >= 3:
+        wide, row = data.astype(np.uint32), np.repeat(np.arange(n), np.diff(bounds))[:-2]
+        inside = np.arange(len(row)) + 2 < bounds[1:][row]
+        for at, width, values in ((0, half, wide), (half, half - len(REPEATS), KIND[data])):
+            bucket = (row * width + _hashed_trigrams(values, width))[inside]
+            counts = np.bincount(bucket, minlength=n * width).reshape(n, width)
+            found[:, at:at + width] = np.log1p(counts.astype(np.float32))
+    words = split_words(texts)
+    hashes, counts = words.hashes(), words.counts
+    same = np.zeros(len(hashes) + 1, np.int64)
+    if len(hashes) > 1:
+        again = hashes[1:] == hashes[:-1]
+        again[words.first[(words.first > 0) & (words.first < len(hashes))] - 1] = False
+        same[2:] = np.cumsum(again)
+    share = (same[words.first[1:]] - same[words.first[:-1]]) / np.maximum(counts, 1)
+    step = np.searchsorted(REPEATS, share, side="left")
+    rows = np.flatnonzero(counts > 0)
+    found[rows, FEATURES - len(REPEATS) + np.minimum(step[rows], len(REPEATS) - 1)] = REPEAT_WEIGHT
+    return found
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,7 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     def features(batches):
         for batch in batches:
             for part in slices(batch):
-                weights = trigram_weights(part.column("text")).astype(np.float16)
+                weights = text_features(part.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("of"), part.column("label"),
                                                   pa.array([w.tobytes() for w in weights], pa.binary())], ["of", "label", "features"])
 
@@ -117,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                score = [space.value.scores(trigram_weights(block.column("text")), neighbours)
+                score = [space.value.scores(text_features(block.column("text")), neighbours)
                          for block in (part.slice(a, 256) for a in range(0, part.num_rows, 256))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.concatenate(score))], ["doc_id", "score"])
 
