@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom.llm.bpe import encode_decode
 from opsloom.llm.cover_dedup import remove_repeated_windows
+from opsloom.llm.decontaminate import contaminated
 from opsloom.llm.longest_match import token_counts
 from opsloom.llm.neighbours import quality_scores
 from opsloom.llm.ngram_join import jaccard_components
@@ -44,12 +45,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
