@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom.llm.words import U64, Rolling, mix, signed, slices, split_words
 from opsloom.session import cut_lineage
@@ -195,29 +196,34 @@ def _kept(batches):
                                           pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeated_windows(docs: DataFrame, size: int = 50, period: int | None = None) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, size: int = 50, period: int | None = None, rows: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of each document: the words left when each word is removed that a window
     of ``size`` words covers whose words also start in a document with a smaller doc_id.
 
     ``docs`` has doc_id and text; other columns are not read. Windows are judged on the input, words are compared
     unchanged, kept words are joined by one space. Null and empty texts have no words. Documents with fewer than ``size``
     words keep all. Rows with null doc_id keep all their words and are no one's earlier copy. Rows that share a doc_id do
-    not remove from each other; what is removed from one of them is removed from all. Texts are taken whole.
+    not remove from each other; what is removed from one of them is removed from all. Texts are taken whole. With ``rows``
+    there is a further column ``row``, the input row with all its columns.
     """
     period = period or period_for(size)
     # without nulls in the key, both joins below read the same shuffle of the texts
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
-                        F.col("text").cast("string").alias("text"))
+                        F.col("text").cast("string").alias("text"),
+                        *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if rows else []))
+    whole = ["row"] if rows else []
     anchors = keyed.filter("NOT no_id AND text IS NOT NULL").select("doc", "text").mapInArrow(_anchors(size, period), ROWS)
     ranges = cut_lineage(anchors.repartition("key").sortWithinPartitions("key", "u", "doc").mapInArrow(_removed(True), RANGES))
     by_doc = lambda df, fine: df.groupBy("doc").agg(  # noqa: E731  as many as a document's words at most
         F.collect_list(F.struct("lo", "hi", *fine)).alias("ranges"), F.max("fine").alias("any_fine"))
     asked = by_doc(ranges, ["fine"]).filter("any_fine").select(F.col("doc").alias("of"), "ranges")
     texts = keyed.repartition("doc")
-    windows = (texts.join(asked, F.col("doc") == F.col("of")).filter("NOT no_id").select("doc", "text", "ranges")
+    windows = (texts.join(asked, F.col("doc") == F.col("of")).filter("NOT no_id").select("doc", "text", "ranges", *whole)
                .mapInArrow(_windows(size), ROWS))
     more = windows.repartition("key").sortWithinPartitions("key", "u", "doc").mapInArrow(_removed(False), RANGES)
     gone = by_doc(ranges.filter("NOT fine").unionByName(more), []).select(F.col("doc").alias("of"), "ranges")
-    return (texts.join(gone, (F.col("doc") == F.col("of")) & ~F.col("no_id"), "left")
-            .select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "text", "ranges")
-            .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string"))
+    found = (texts.join(gone, (F.col("doc") == F.col("of")) & ~F.col("no_id"), "left")
+             .select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), *whole, "text", "ranges"))
+    kept = T.StructType([f for f in found.schema if f.name not in ("text", "ranges")]
+                        + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return found.mapInArrow(_kept, kept)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.tables import filter_rows
 from opsloom.llm.words import U64, slices, split_words, word_windows
 
 SHINGLE = 5
@@ -141,28 +143,62 @@ class Items:
         return found
 
 
+def _found(batches, items: Items, threshold: float):
+    """(slice, row, matches) of each row with a match, and (slice, -1, {}) after each slice."""
+    for batch in batches:
+        for part in slices(batch):
+            text, _, hashes, weights, counts = shingles(part.column("text"))
+            at = np.minimum(np.searchsorted(items.known, hashes), max(len(items.known) - 1, 0))
+            hit = items.known[at] == hashes if len(items.known) else np.zeros(len(hashes), bool)
+            cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
+            for i in np.unique(text[hit]).tolist():
+                rows = slice(cuts[i], cuts[i + 1])
+                if found := items.matches(int(counts[i]), hashes[rows], weights[rows], hit[rows], threshold):
+                    yield part, i, found
+            yield part, -1, {}
+
+
 def _matched(items, threshold: float):
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+
     def run(batches):
-        known = items.value.known
-        for batch in batches:
-            for part in slices(batch):
-                text, _, hashes, weights, counts = shingles(part.column("text"))
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
+        out = []
+        for part, i, found in _found(batches, items.value, threshold):
+            if i >= 0:
+                doc = part.column("doc_id")[i].as_py()
+                out.extend((doc, items.value.ids[k], s, x) for k, (s, x) in sorted(found.items()))
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)],
+                                                 ["doc_id", "item_id", "similarity", "first_word"])
                 out = []
-                for i in np.unique(text[hit]):
-                    rows = slice(cuts[i], cuts[i + 1])
-                    found = items.value.matches(int(counts[i]), hashes[rows], weights[rows], hit[rows], threshold)
-                    doc = part.column("doc_id")[int(i)].as_py()
-                    out.extend((doc, items.value.ids[k], s, x) for k, (s, x) in sorted(found.items()))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
-                        ["doc_id", "item_id", "similarity", "first_word"])
     return run
 
 
+def _clean(items, threshold: float):
+    def run(batches):
+        gone = []
+        for part, i, _ in _found(batches, items.value, threshold):
+            if i >= 0:
+                gone.append(i)
+            else:
+                keep = np.ones(part.num_rows, bool)
+                keep[gone] = False
+                yield part, keep
+                gone = []
+    return run
+
+
+def _passes(benchmark: DataFrame, radius: int):
+    """The benchmark's items, broadcast in parts of about PASS_BYTES of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
+    for k in range(passes):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Items.build([tuple(r) for r in rows], radius))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, first_word: the benchmark items that each document holds, with the best similarity of an
     item-sized window and where the first such window starts.
@@ -172,17 +208,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     kept as such. Rows that share a doc_id (or item_id) give one row with the best of them. An empty table on either side
     gives an empty result. Texts are taken whole; other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text IS NOT NULL")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // PASS_BYTES))
-    found = None
-    for k in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().orderBy("item_id", "text").collect()
-        bound = spark.sparkContext.broadcast(Items.build([tuple(r) for r in rows], radius))
-        part = docs.mapInArrow(_matched(bound, threshold), "doc_id long, item_id long, similarity double, first_word long")
-        found = part if found is None else found.unionByName(part)
+    parts = [docs.mapInArrow(_matched(items, threshold), "doc_id long, item_id long, similarity double, first_word long")
+             for items in _passes(benchmark, radius)]
+    found = reduce(DataFrame.unionByName, parts)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at")))
     return (found.groupBy("doc_id", "item_id").agg(best.alias("best"))
             .select("doc_id", "item_id", "best.similarity", (-F.col("best.at")).alias("first_word")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, unchanged and with all their columns, that hold no benchmark item; matches, nulls and empty
+    tables as in ``contaminated``."""
+    for items in _passes(benchmark, radius):
+        docs = filter_rows(docs, _clean(items, threshold), F.lower)
+    return docs

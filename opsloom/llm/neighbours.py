@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.tables import fold
+from opsloom.llm.tables import filter_rows, fold
 from opsloom.llm.words import slices, split_words, text_bytes
 
 #: Hashed features of a text, and latent dimensions.
@@ -140,12 +140,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     space = docs.sparkSession.sparkContext.broadcast(Space.fit(*labelled_sample(docs, labels, label, folds, sample)))
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                score = [space.value.scores(text_features(block.column("text")), neighbours)
-                         for block in (part.slice(a, 256) for a in range(0, part.num_rows, 256))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.concatenate(score))], ["doc_id", "score"])
+        for part, score in _scored(batches, space.value, neighbours):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(batches, space: Space, neighbours: int):
+    for batch in batches:
+        for part in slices(batch):
+            yield part, np.concatenate([space.scores(text_features(part.slice(a, 256).column("text")), neighbours)
+                                        for a in range(0, part.num_rows, 256)])
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, threshold: float = 0.3,
+                 sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The rows of ``docs``, unchanged and with all their columns, whose score is at least ``threshold``; scores, nulls and
+    empty tables as in quality_scores."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    space = docs.sparkSession.sparkContext.broadcast(Space.fit(*labelled_sample(texts, labels, label, folds, sample)))
+    return filter_rows(docs, lambda batches: ((part, score >= threshold) for part, score in _scored(batches, space.value, neighbours)))
