@@ -5,8 +5,8 @@ items of that length: the 64 bits are cut into four blocks, and of two fingerpri
 differs in at most a quarter of the radius, so looking up all block values that near finds every fingerprint within the
 radius. Candidates are verified by the exact weighted similarity of five-word shingles.
 
-Only windows that could pass the verification are fingerprinted: the shingles that they share with any item must make up
-the threshold's share of their weight, which running sums tell for every window of a document at once.
+Only windows that could pass the verification are fingerprinted: the shingles that they share with items of their length
+must make up the threshold's share of their weight, which running sums tell for every window of a document at once.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ class Items:
     ids: list[int]
     words: np.ndarray
     bags: list[dict[int, float]]
-    known: np.ndarray
+    known: np.ndarray  # sorted shingles of all items
+    sizes_of: tuple[np.ndarray, np.ndarray]  # of each known shingle: the word counts of the items that hold it, and where they start
     by_size: dict[int, tuple[np.ndarray, MultiIndex]]
 
     @staticmethod
@@ -116,19 +117,31 @@ class Items:
         parts = [(hashes[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         prints = np.array([simhash(*p) for p in parts], U64)
         by_size = {int(m): (np.flatnonzero(words == m), MultiIndex(prints[words == m], radius)) for m in np.unique(words) if m}
-        return Items([r[0] for r in rows], words, [bag(*p) for p in parts], np.unique(hashes), by_size)
+        known, at = np.unique(hashes, return_inverse=True)
+        pairs = np.unique(np.stack([at, words[text]]), axis=1)
+        sizes_of = pairs[1], np.searchsorted(pairs[0], np.arange(len(known) + 1))
+        return Items([r[0] for r in rows], words, [bag(*p) for p in parts], known, sizes_of, by_size)
 
-    def matches(self, n: int, hashes: np.ndarray, weights: np.ndarray, hit: np.ndarray, threshold: float
+    def matches(self, n: int, hashes: np.ndarray, weights: np.ndarray, hit: np.ndarray, known: np.ndarray, threshold: float
                 ) -> dict[int, tuple[float, int]]:
-        """Of one text with ``n`` words: item number -> (best similarity, first word of the first such window)."""
+        """Of one text with ``n`` words: item number -> (best similarity, first word of the first such window). ``hit``:
+        places of shingles that some item holds, ``known``: their numbers among these."""
         found: dict[int, tuple[float, int]] = {}
         all_sum = np.concatenate([[0], np.cumsum(weights)])
-        hit_sum = np.concatenate([[0], np.cumsum(np.where(hit, weights, 0))])
-        for m, (numbers, index) in self.by_size.items():
+        sizes, first = self.sizes_of
+        counts = first[known + 1] - first[known]
+        place = np.repeat(hit, counts)
+        size = sizes[np.arange(len(place)) + np.repeat(first[known] - (np.cumsum(counts) - counts), counts)]
+        for m in np.unique(size).tolist():
             if (m < SHINGLE or n < SHINGLE) and m != n:
                 continue
+            numbers, index = self.by_size[m]
             length = max(1, min(m, n) - SHINGLE + 1)
             starts = np.arange(len(hashes) - length + 1)
+            own_weights = np.zeros(len(hashes))
+            here = place[size == m]
+            own_weights[here] = weights[here]
+            hit_sum = np.concatenate([[0], np.cumsum(own_weights)])
             share = hit_sum[starts + length] - hit_sum[starts]
             # rounding must not lose a window
             for x in np.flatnonzero(share >= threshold * (all_sum[starts + length] - all_sum[starts]) - 1e-6):
@@ -153,7 +166,8 @@ def _found(batches, items: Items, threshold: float):
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
             for i in np.unique(text[hit]).tolist():
                 rows = slice(cuts[i], cuts[i + 1])
-                if found := items.matches(int(counts[i]), hashes[rows], weights[rows], hit[rows], threshold):
+                places = np.flatnonzero(hit[rows])
+                if found := items.matches(int(counts[i]), hashes[rows], weights[rows], places, at[rows][places], threshold):
                     yield part, i, found
             yield part, -1, {}
 
