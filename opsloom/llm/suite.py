@@ -11,9 +11,11 @@ from opsloom.llm.bpe import encode_decode
 from opsloom.llm.cover_dedup import remove_repeated_windows
 from opsloom.llm.decontaminate import contaminated
 from opsloom.llm.longest_match import token_counts
+from opsloom.llm.near_vectors import near_vectors
 from opsloom.llm.neighbours import quality_scores
 from opsloom.llm.ngram_join import jaccard_components
 from opsloom.llm.tables import table
+from opsloom.llm.text_density import extract_main_text
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +29,14 @@ def _sha256(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -54,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
