@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsloom.llm.bpe import encode_decode
 from opsloom.llm.cover_dedup import remove_repeated_windows
 from opsloom.llm.decontaminate import contaminated
+from opsloom.llm.language import identify
 from opsloom.llm.longest_match import token_counts
 from opsloom.llm.near_vectors import near_vectors
 from opsloom.llm.neighbours import quality_scores
@@ -29,6 +30,10 @@ def _sha256(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), folds=4, held=2, spans=False)
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
