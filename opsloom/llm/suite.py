@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.llm.bpe import encode_decode
+from opsloom.llm.bwt_dedup import remove_repeated_bytes
 from opsloom.llm.cover_dedup import remove_repeated_windows
 from opsloom.llm.decontaminate import contaminated
 from opsloom.llm.language import identify
@@ -46,6 +47,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(table(spark, sf_dir, "documents"), size=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha256("kept").alias("kept_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_windows(table(spark, sf_dir, "documents"), size=50)
     return found.select("doc_id", "n_words", "n_removed", _sha256("kept_text").alias("kept_sha256"))
@@ -69,7 +75,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op6_substring_dedup, op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op5_suffix_dedup, op6_substring_dedup,
+        op7_bpe, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
