@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.llm import oracles
 from opsloom.llm.bpe import encode_decode
 from opsloom.llm.bwt_dedup import remove_repeated_bytes
 from opsloom.llm.cover_dedup import remove_repeated_windows
@@ -81,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_vectors": oracles.OP2, "op4_ngram_jaccard_join": oracles.OP4, "op5_suffix_dedup": oracles.OP5,
+            "op6_substring_dedup": oracles.OP6}
