@@ -1,10 +1,13 @@
 """N-gram Jaccard join with PartEnum signatures (operator 4).
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold. Sets of similar size
-share a size band. Two sets of a band that link differ in at most k elements, so the hashed element domain is cut into n1
-parts, in at least one of which they differ in at most k2; that part is cut into n2 smaller parts and each choice of
-n2 - k2 of them is enumerated: at least one choice has no difference and gives both sets the same signature. No linked
-pair is missed.
+share a size band. Two sets of a band that link differ in at most k elements. So when the hashed element domain is cut into
+n parts, any choice of parts that holds no difference gives both sets the same signature, and enough choices are enumerated
+that one such is among them: all pairs of k + 2 parts for a small k, single parts of k + 1 + spare for a larger one. No
+linked pair is missed.
+
+A part with fewer than two elements tells little. A set whose weak parts are no more than the spare ones leaves them out:
+if it shared nothing but weak parts with a linked set, both would have more than the spare ones.
 
 Sets that share signatures form clusters. Inside a cluster every pair is compared exactly, in tiles of bounded size whose
 tasks return a spanning forest of the links, never the pairs. Copies of a set count as one set throughout.
@@ -12,6 +15,7 @@ tasks return a spanning forest of the links, never the pairs. Copies of a set co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,8 +28,11 @@ from opsloom.llm.components import components
 from opsloom.llm.words import U64, mix, signed, slices, split_words, word_windows
 from opsloom.session import cut_lineage
 
-TILE = 384  # sets per side of a tile
-FEATURES = 4096  # shingles per matrix product
+#: Per side of a tile: sets, and shingles of all sets.
+TILE_SETS, TILE_SHINGLES = 1024, 1_000_000
+#: Shingles that so many sets of a tile share are counted by matrix products, FEATURES at once; others pair by pair.
+DENSE, FEATURES = 32, 2048
+STRONG = 2  # elements that make a part's signature telling
 
 
 def text_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
@@ -50,6 +57,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.lower = percent, [1]
+        self.known_parts: dict[int, tuple[int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.lower[-1] <= size:
@@ -63,24 +71,40 @@ class Bands:
         both = top + top * 100 // self.percent
         return both * (100 - self.percent) // (100 + self.percent)
 
-    @staticmethod
-    def shape(k: int) -> tuple[int, int, int]:
-        """n1, n2, k2 with n1 * (k2 + 1) > k."""
-        return (1, k + 2, k) if k <= 2 else (k // 2 + 1, 2, 1)
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """Parts of the domain, how many make a signature, and how many are spare."""
+        k = self.most_differences(band)
+        if k <= 2:
+            return k + 2, 2, 0
+        # spare parts: half as many again as are weak in a set of the band's middle size
+        middle, spare = self.lower[band + 1] - 1, 1
+        while True:
+            n = k + 1 + spare
+            mean = middle / n
+            if spare >= 1.5 * n * math.exp(-mean) * (1 + mean) + 1 or spare > k:
+                return n, 1, spare
+            spare += 1
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         band, found = self.of(len(elements)), []
         # a set is compared with smaller sets of the band below, too
         for instance in (band - 1, band) if band else (band,):
-            n1, n2, k2 = self.shape(self.most_differences(instance))
-            cell = (mix(elements, 1000 + instance) % U64(n1 * n2)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
+            if instance not in self.known_parts:
+                self.known_parts[instance] = self.parts(instance)
+            n, together, spare = self.known_parts[instance]
+            part = (mix(elements, 1000 + instance) % U64(n)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(elements[order], 7), dtype=U64)])
-            ends = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
-            cells = mix(sums[ends[1:]] - sums[ends[:-1]] + np.arange(n1 * n2, dtype=U64), 8).reshape(n1, n2)
-            for chosen in combinations(range(n2), n2 - k2):
-                tag = U64((instance * 1315423911 + sum(1 << c for c in chosen)) % (1 << 64))
-                found.append(mix(cells[:, chosen].sum(axis=1, dtype=U64) + mix(np.arange(n1, dtype=U64), 9) + tag, 10))
+            ends = np.searchsorted(part[order], np.arange(n + 1))
+            codes = mix(sums[ends[1:]] - sums[ends[:-1]] + np.arange(n, dtype=U64), 8)
+            if together == 1:
+                strong = np.diff(ends) >= STRONG
+                if n - strong.sum() <= spare:
+                    codes = codes[strong]
+                chosen = codes[:, None]
+            else:
+                chosen = codes[np.array(list(combinations(range(n), together)))]
+            found.append(mix(chosen.sum(axis=1, dtype=U64) + U64(instance * 1315423911 + together), 10))
         return np.concatenate(found)
 
 
@@ -162,11 +186,14 @@ def _bucket_edges(batches):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            rest = [batch.column(n) for n in ("cluster", "rep")]
             packed = [None] * batch.num_rows
+            wanted = batch.column("set_a").to_pylist()
             for i, elements in text_sets(batch, size):
-                packed[i] = elements.tobytes()
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], ["cluster", "rep", "elements"])
+                if set_key(elements)[0] == wanted[i]:  # not another text under the same doc_id
+                    packed[i] = elements.tobytes()
+            names = [n for n in batch.schema.names if n not in ("text", "set_a")]
+            found = pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "elements"])
+            yield found.filter(found.column("elements").is_valid())
     return run
 
 
@@ -195,21 +222,45 @@ def sorted_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
 
 def links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Boolean matrix of the pairs that reach the threshold, from exact intersection sizes."""
-    flat, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    counts = np.bincount(at, minlength=len(flat))
-    kept = np.cumsum(counts > 1) - 1  # shingles of one set cannot be shared
-    shared = counts[at] > 1
+    n, m = len(left), len(right)
     sizes = np.array([len(x) for x in (*left, *right)])
-    row, col = np.repeat(np.arange(len(sizes)), sizes)[shared], kept[at[shared]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    common = np.zeros((len(left), len(right)), np.float64)
-    for low in range(0, int(col[-1]) + 1 if len(col) else 0, FEATURES):
-        a, b = np.searchsorted(col, [low, low + FEATURES])
-        part = np.zeros((len(sizes), min(FEATURES, int(col[b - 1]) - low + 1)), np.float32)
-        part[row[a:b], col[a:b] - low] = 1
-        common += part[:len(left)] @ part[len(left):].T
-    union = sizes[:len(left), None] + sizes[None, len(left):] - common
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row, side = np.repeat(np.arange(n + m), sizes), np.repeat(np.arange(n + m) >= n, sizes)
+    # how many sets of either side hold a shingle; those of one side only do not matter
+    in_left, in_right = np.bincount(at[~side], minlength=at.max(initial=0) + 1), np.bincount(at[side], minlength=at.max(initial=0) + 1)
+    shared = (in_left > 0) & (in_right > 0)
+    if left is right:
+        shared &= in_left > 1
+    common = np.zeros((n, m))
+    if left is right:
+        np.fill_diagonal(common, sizes[:n])
+    dense = shared & (np.maximum(in_left, in_right) >= DENSE)
+    number = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), FEATURES):
+        mine = dense[at] & (number[at] >= low) & (number[at] < low + FEATURES)
+        part = np.zeros((n + m, FEATURES), np.float32)
+        part[row[mine], number[at[mine]] - low] = 1
+        product = part[:n] @ part[n:].T
+        if left is right:
+            np.fill_diagonal(product, 0)
+        common += product
+    sparse = shared & ~dense
+    sides = []
+    for mine in (sparse[at] & ~side, sparse[at] & side):
+        order = np.argsort(at[mine], kind="stable")
+        sides.append(row[mine][order])
+    per_left, per_right = in_left[sparse], in_right[sparse]
+    # every row of a shingle's left sets with every row of its right sets
+    first_left, first_right = np.cumsum(per_left) - per_left, np.cumsum(per_right) - per_right
+    times = np.repeat(per_right, per_left)
+    a = np.repeat(sides[0], times)
+    start = np.repeat(np.repeat(first_right, per_left), times)
+    b = sides[1][start + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)] - n
+    cell = a * m + b
+    if left is right:
+        cell = cell[a != b]
+    common += np.bincount(cell, minlength=n * m).reshape(n, m)
+    union = sizes[:n, None] + sizes[None, n:] - common
     return (100 * common >= percent * union) & (union > 0)
 
 
@@ -268,13 +319,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                   .mapInArrow(_bucket_edges, "node long, center long").distinct())
     clusters = components(candidates, "node", "center").withColumnRenamed("component", "cluster")
     # one row per different set of a cluster; its blocks are dealt by hash
-    members = cut_lineage(classes.join(clusters, F.col("set_a") == F.col("node")).select("cluster", "rep"))
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    members = cut_lineage(classes.join(clusters, F.col("set_a") == F.col("node")).select("cluster", "rep", "set_a", "n_shingles"))
+    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n_shingles") / TILE_SHINGLES))
+                                            .cast("int").alias("blocks"))
+    placed = (members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+              .select("cluster", "rep", "set_a", "block", "blocks"))
     # a merge join at every size: members grow with the documents
-    packed = (docs.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "rep", "text")
-              .mapInArrow(_sets(size), "cluster long, rep long, elements binary").dropDuplicates(["cluster", "rep"]))
-    placed = packed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    tiled = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    packed = (docs.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "rep", "block", "blocks", "set_a", "text")
+              .mapInArrow(_sets(size), "cluster long, rep long, block int, blocks int, elements binary"))
+    tiled = (packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                      "block", "rep", "elements"))
     found = (tiled.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
