@@ -33,6 +33,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 #: Documented bound of the learning sample: about so many documents of each language, chosen by a hash of their id.
 SAMPLE = 1000
+#: The model has a table for each language, so their number is bounded.
+MOST_LANGUAGES = 500
 #: A script counts as one of a language's from this share of its words.
 SCRIPT_SHARE = 0.02
 SWITCH = 8.0  # penalty, in natural logarithms
@@ -162,9 +164,14 @@ def learn(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Model:
     """From about ``sample`` documents of each language; rows without text or language teach nothing."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text")
                         ).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
     # of n documents of a language those whose hash lies in the lowest sample / n of its range, so about ``sample``
-    shares = known.groupBy("lang").agg((sample / F.count(F.lit(1))).alias("share"))
-    chosen = known.join(shares, "lang").filter(F.pmod("h", F.lit(1 << 32)) < F.col("share") * (1 << 32)).select("lang", "text")
+    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]) * (1 << 32))))
+    chosen = known.filter(F.pmod("h", F.lit(1 << 32)) < limits[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
