@@ -8,14 +8,7 @@ from opsloom.operators import entities as en
 from opsloom.plans.registry import VIEW_SQL, query
 
 
-def _recent_sql(table: str, date: str, tie: str) -> str:
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY {date} DESC, {tie}) AS rn "
-            f"FROM {table}) WHERE rn <= 50)")
-
-
-_ORDERS = _recent_sql("v_orders", "order_date", "order_id")
-_INVOICES = _recent_sql("v_invoices", "due_date", "invoice_id")
-_TICKETS = _recent_sql("v_support_tickets", "created_at", "ticket_id")
+_ORDERS = "(SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date DESC, order_id) AS rn FROM v_orders)"
 
 VIEW_SQL["v_c360"] = f"""
     SELECT *, greatest(0.0, least(100.0, 100.0 - (overdue_invoices * 20 + late_orders * 15 + open_tickets * 10 + breached_tickets * 25
@@ -30,9 +23,9 @@ VIEW_SQL["v_c360"] = f"""
         string_agg(CAST(order_id AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 10) AS recent
       FROM {_ORDERS} GROUP BY 1) o ON o.customer_id = c.customer_id
     LEFT JOIN (SELECT customer_id, CAST(sum(CAST(amount AS DECIMAL(18,2))) FILTER (lower(status) NOT IN ('paid', 'settled', 'void')) AS DOUBLE) AS balance,
-        count(*) FILTER (lower(status) LIKE '%overdue%') AS overdue_invoices FROM {_INVOICES} GROUP BY 1) i ON i.customer_id = c.customer_id
+        count(*) FILTER (lower(status) LIKE '%overdue%') AS overdue_invoices FROM v_invoices GROUP BY 1) i ON i.customer_id = c.customer_id
     LEFT JOIN (SELECT customer_id, count(*) FILTER (lower(status) NOT IN ('closed', 'resolved')) AS open_tickets,
-        count(*) FILTER (lower(sla_status) LIKE '%breach%') AS breached_tickets FROM {_TICKETS} GROUP BY 1) t ON t.customer_id = c.customer_id)"""
+        count(*) FILTER (lower(sla_status) LIKE '%breach%') AS breached_tickets FROM v_support_tickets GROUP BY 1) t ON t.customer_id = c.customer_id)"""
 
 
 def _c360(v):
@@ -49,7 +42,7 @@ def _(v):
 @query("entity_order_metrics", f"""
     SELECT CAST(customer_id AS VARCHAR) AS customer_id, count(*) AS total_orders,
       CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_spent,
-      count(*) FILTER (lower(status) LIKE '%delay%' OR lower(status) LIKE '%late%') AS late_orders FROM {_ORDERS} GROUP BY 1""")
+      count(*) FILTER (lower(status) LIKE '%delay%' OR lower(status) LIKE '%late%') AS late_orders FROM v_orders GROUP BY 1""")
 def _(v):
     return en.order_metrics(v.orders).select(
         F.col("_key").alias("customer_id"), "total_orders", "total_spent", "late_orders")
@@ -58,7 +51,7 @@ def _(v):
 @query("entity_invoice_metrics", f"""
     SELECT CAST(customer_id AS VARCHAR) AS customer_id,
       coalesce(CAST(sum(CAST(amount AS DECIMAL(18,2))) FILTER (lower(status) NOT IN ('paid', 'settled', 'void')) AS DOUBLE), 0) AS open_invoices_balance,
-      count(*) FILTER (lower(status) LIKE '%overdue%') AS overdue_invoices FROM {_INVOICES} GROUP BY 1""")
+      count(*) FILTER (lower(status) LIKE '%overdue%') AS overdue_invoices FROM v_invoices GROUP BY 1""")
 def _(v):
     return en.invoice_metrics(v.invoices).select(
         F.col("_key").alias("customer_id"), "open_invoices_balance", "overdue_invoices")
@@ -66,7 +59,7 @@ def _(v):
 
 @query("entity_ticket_metrics", f"""
     SELECT CAST(customer_id AS VARCHAR) AS customer_id, count(*) FILTER (lower(status) NOT IN ('closed', 'resolved')) AS open_tickets,
-      count(*) FILTER (lower(sla_status) LIKE '%breach%') AS breached_tickets FROM {_TICKETS} GROUP BY 1""")
+      count(*) FILTER (lower(sla_status) LIKE '%breach%') AS breached_tickets FROM v_support_tickets GROUP BY 1""")
 def _(v):
     return en.ticket_metrics(v.support_tickets).select(
         F.col("_key").alias("customer_id"), "open_tickets", "breached_tickets")
@@ -83,10 +76,9 @@ def _(v):
     SELECT customer_id, name, total_orders, round(total_spent, 2) AS total_spent, late_orders,
       round(open_invoices_balance, 2) AS open_invoices_balance, overdue_invoices, open_tickets, breached_tickets, health_score,
       recent AS recent_orders,
-      CASE WHEN open_invoices_balance > 0 THEN 'Contact customer regarding $' || format('{:,.2f}', open_invoices_balance) || ' open balance'
-        ELSE 'Account in good billing standing' END || '; ' ||
-      CASE WHEN open_tickets > 0 THEN 'Escalate ' || open_tickets || ' unresolved support tickets'
-        ELSE 'No open support escalations' END AS advice FROM v_c360""")
+      CASE WHEN open_invoices_balance > 0 THEN 'Ask for the unpaid ' || format('{:,.2f}', open_invoices_balance)
+        ELSE 'Nothing unpaid' END || '; ' ||
+      CASE WHEN open_tickets > 0 THEN 'Tickets to close: ' || open_tickets ELSE 'No ticket to close' END AS advice FROM v_c360""")
 def _(v):
     ids = F.transform("orders", lambda o: o["order_id"].cast("string"))
     return _c360(v).select(
@@ -117,33 +109,39 @@ def _(v):
 
 
 @query("entity_order_360_details", """
-    SELECT order_id, 'items' AS section, count(*) AS records FROM v_order_items GROUP BY 1
-    UNION ALL SELECT order_id, 'shipments', count(*) FROM v_shipments GROUP BY 1
-    UNION ALL SELECT order_id, 'invoices', count(*) FROM v_invoices GROUP BY 1""")
+    SELECT order_id, 'items' AS section, line_no, product_id AS item, CAST(line_total AS VARCHAR) AS value FROM v_order_items
+    UNION ALL SELECT order_id, 'shipments', line_no, NULL, status || ' ' || carrier FROM v_shipments
+    UNION ALL SELECT order_id, 'invoices', NULL, NULL, invoice_id || ' ' || status FROM v_invoices""")
 def _(v):
     details = en.order_360_details(v.order_items, v.shipments, v.invoices)
-    return details.groupBy("order_id", "section").agg(F.count("record").alias("records"))
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    is_of = lambda name: F.col("section") == name
+    return details.select(
+        "order_id", "section", field("line_no").cast(v.order_items.schema["line_no"].dataType).alias("line_no"),
+        field("product_id").cast(v.order_items.schema["product_id"].dataType).alias("item"),
+        F.when(is_of("items"), field("line_total")).when(is_of("shipments"), F.concat_ws(" ", field("status"), field("carrier")))
+        .otherwise(F.concat_ws(" ", field("invoice_id"), field("status"))).alias("value"))
 
 
 VIEW_SQL["v_sla_items"] = """
     SELECT 'order' AS entity_type, CAST(order_id AS VARCHAR) AS entity_id, CAST(customer_id AS VARCHAR) AS customer_id,
-      'Order ' || order_id || CASE WHEN status = 'Delayed' THEN ' is Delayed' ELSE ' in Processing' END AS title,
+      CASE WHEN status = 'Delayed' THEN 'Late order ' ELSE 'Waiting order ' END || order_id AS title,
       CASE WHEN status = 'Delayed' THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
       CASE WHEN status = 'Delayed' THEN 'BREACHED' ELSE 'AT_RISK' END AS status, total_amount AS financial_impact,
-      CASE WHEN status = 'Delayed' THEN 'Delivery SLA' ELSE 'Fulfillment SLA' END AS sla_type,
-      CASE WHEN status = 'Delayed' THEN 'Status: Delayed, Order Date: ' ELSE 'Pending fulfillment since ' END || strftime(order_date, '%Y-%m-%d') AS details
+      CASE WHEN status = 'Delayed' THEN 'delivery' ELSE 'fulfilment' END AS sla_type,
+      'ordered ' || strftime(order_date, '%Y-%m-%d') || CASE WHEN status = 'Delayed' THEN ', now Delayed' ELSE ', not yet sent' END AS details
     FROM v_orders WHERE status IN ('Delayed', 'Processing')
     UNION ALL
     SELECT 'ticket', CAST(ticket_id AS VARCHAR), CAST(customer_id AS VARCHAR),
-      'Ticket #' || ticket_id || CASE WHEN b THEN ' - ' || subject ELSE ' Approaching SLA Breach' END,
+      CASE WHEN b THEN 'Broken promise on ticket ' ELSE 'Urgent ticket ' END || ticket_id || ': ' || subject,
       CASE WHEN b THEN 'CRITICAL' ELSE 'WARNING' END, CASE WHEN b THEN 'BREACHED' ELSE 'AT_RISK' END,
-      CAST(CASE WHEN b AND priority = 'Critical' THEN 500 ELSE 200 END AS DOUBLE), 'Support Response SLA',
-      'Priority: ' || upper(priority) || CASE WHEN b THEN ', SLA Status: Breached' ELSE ', Resolution due shortly' END
+      CAST(CASE WHEN b AND priority = 'Critical' THEN 500 ELSE 200 END AS DOUBLE), 'response',
+      'priority ' || upper(priority) || CASE WHEN b THEN ', time is up' ELSE ', time runs out' END
     FROM (SELECT *, sla_status = 'Breached' AS b FROM v_support_tickets)
     WHERE b OR sla_status = 'At Risk' OR (status <> 'Resolved' AND priority IN ('High', 'Critical'))
     UNION ALL
-    SELECT 'invoice', invoice_id, CAST(customer_id AS VARCHAR), 'Invoice ' || invoice_id || ' Overdue', 'HIGH', 'BREACHED', amount,
-      'Payment Terms SLA', 'Due Date: ' || strftime(due_date, '%Y-%m-%d') || ', Overdue balance: $' || format('{:,.2f}', amount)
+    SELECT 'invoice', invoice_id, CAST(customer_id AS VARCHAR), 'Overdue invoice ' || invoice_id, 'HIGH', 'BREACHED', amount,
+      'payment', format('{:,.2f}', amount) || ' was due ' || strftime(due_date, '%Y-%m-%d')
     FROM v_invoices WHERE lower(status) LIKE '%overdue%'"""
 VIEW_SQL["v_sla_summary"] = """
     SELECT total_monitored, breached_count, at_risk_count, financial_exposure, greatest(0, total_monitored - breached_count - at_risk_count) AS safe_count
@@ -173,8 +171,7 @@ def _(v):
 
 
 @query("sla_breached_list", """
-    SELECT entity_type, entity_id, title, financial_impact FROM v_sla_items WHERE status = 'BREACHED'
-    ORDER BY financial_impact DESC, entity_type, entity_id LIMIT 30""")
+    SELECT entity_type, entity_id, title, financial_impact FROM v_sla_items WHERE status = 'BREACHED'""")
 def _(v):
     items = en.sla_items(v.orders, v.support_tickets, v.invoices)
     return en.sla_list(items, "BREACHED").select("entity_type", "entity_id", "title", "financial_impact")
