@@ -1,13 +1,15 @@
 """N-gram Jaccard join with PartEnum signatures (operator 4).
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold. Sets of similar size
-share a size band. Two sets of a band that link differ in at most k elements. So when the hashed element domain is cut into
-n parts, any choice of parts that holds no difference gives both sets the same signature, and enough choices are enumerated
-that one such is among them: all pairs of k + 2 parts for a small k, single parts of k + 1 + spare for a larger one. No
-linked pair is missed.
+share a size band. Two sets of a band that link differ in at most k elements. The hashed element domain is cut into n1
+groups, in at least one of which they differ in at most k2 = k // n1 elements. Each group is cut into parts, and choices of
+parts are enumerated that hold no difference in one case at least: all pairs of k + 2 parts for a small k, single parts of
+k2 + 1 + spare for a larger one. Linked sets so share a signature, the content of a choice. No linked pair is missed.
 
-A part with fewer than two elements tells little. A set whose weak parts are no more than the spare ones leaves them out:
-if it shared nothing but weak parts with a linked set, both would have more than the spare ones.
+An empty part tells nothing. A set whose empty parts in a group are no more than the spare ones leaves them out: if it
+shared nothing else there with a linked set, both would have more than the spare ones. With each signature goes a parity
+sketch of its group: two sketches differ in no more bits than the groups do in elements, so pairs whose sketches differ in
+more than k2 bits need not be looked at.
 
 Sets that share signatures form clusters. Inside a cluster every pair is compared exactly, in tiles of bounded size whose
 tasks return a spanning forest of the links, never the pairs. Copies of a set count as one set throughout.
@@ -32,7 +34,12 @@ from opsloom.session import cut_lineage
 TILE_SETS, TILE_SHINGLES = 1024, 1_000_000
 #: Shingles that so many sets of a tile share are counted by matrix products, FEATURES at once; others pair by pair.
 DENSE, FEATURES = 32, 2048
-STRONG = 2  # elements that make a part's signature telling
+#: Elements in which linked sets may differ in a group, about, and in a small band.
+GROUP_DIFFERENCES, FEW = 16, 2
+#: A sketch is this many bits, the rest of the word says how many bits may differ; all of these: any number.
+SKETCH_BITS, ANY = 58, 63
+#: Sets of one signature whose sketches are compared; more count as near each other until they are verified.
+MOST_COMPARED = 256
 
 
 def text_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
@@ -57,7 +64,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.lower = percent, [1]
-        self.known_parts: dict[int, tuple[int, int, int]] = {}
+        self.shapes: dict[int, tuple[int, int, int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.lower[-1] <= size:
@@ -71,41 +78,77 @@ class Bands:
         both = top + top * 100 // self.percent
         return both * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, band: int) -> tuple[int, int, int]:
-        """Parts of the domain, how many make a signature, and how many are spare."""
+    def shape(self, band: int) -> tuple[int, int, int, int, int]:
+        """Groups, parts of each, parts in a signature, spare parts of a group, differences in the best group."""
         k = self.most_differences(band)
-        if k <= 2:
-            return k + 2, 2, 0
-        # spare parts: half as many again as are weak in a set of the band's middle size
-        middle, spare = self.lower[band + 1] - 1, 1
-        while True:
-            n = k + 1 + spare
-            mean = middle / n
-            if spare >= 1.5 * n * math.exp(-mean) * (1 + mean) + 1 or spare > k:
-                return n, 1, spare
+        if k <= FEW:
+            return 1, k + 2, 2, 0, k
+        groups = max(1, round(k / GROUP_DIFFERENCES))
+        best, spare = k // groups, 1
+        while True:  # half as many spare parts again as are empty in a set of the band's largest size
+            parts = best + 1 + spare
+            if spare >= 1.5 * parts * math.exp(-(self.lower[band + 1] - 1) / groups / parts) + 0.5 or spare > best:
+                return groups, parts, 1, spare, best
             spare += 1
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        band, found = self.of(len(elements)), []
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a set, and with each the differences allowed and the sketch of its group."""
+        band, keys, values = self.of(len(elements)), [], []
         # a set is compared with smaller sets of the band below, too
         for instance in (band - 1, band) if band else (band,):
-            if instance not in self.known_parts:
-                self.known_parts[instance] = self.parts(instance)
-            n, together, spare = self.known_parts[instance]
-            part = (mix(elements, 1000 + instance) % U64(n)).astype(np.int64)
+            if instance not in self.shapes:
+                self.shapes[instance] = self.shape(instance)
+            groups, parts, together, spare, best = self.shapes[instance]
+            n = groups * parts
+            mixed = mix(elements, 1000 + instance)
+            part = (mixed % U64(n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(elements[order], 7), dtype=U64)])
             ends = np.searchsorted(part[order], np.arange(n + 1))
-            codes = mix(sums[ends[1:]] - sums[ends[:-1]] + np.arange(n, dtype=U64), 8)
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(elements[order], 7), dtype=U64)])
+            codes = mix(sums[ends[1:]] - sums[ends[:-1]] + np.arange(n, dtype=U64), 8).reshape(groups, parts)
+            bits = U64(1) << (mix(mixed[order], 9) % U64(SKETCH_BITS))
+            parity = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(bits)])[ends[::parts]]
+            value = (parity[1:] ^ parity[:-1]) | U64(min(best, ANY) << SKETCH_BITS)
+            tag = U64(instance * 1315423911 + together)
             if together == 1:
-                strong = np.diff(ends) >= STRONG
-                if n - strong.sum() <= spare:
-                    codes = codes[strong]
-                chosen = codes[:, None]
+                filled = np.diff(ends).reshape(groups, parts) > 0
+                told = filled | ((parts - filled.sum(axis=1)) > spare)[:, None]
+                keys.append(mix(codes[told] + tag, 10))
+                values.append(np.repeat(value, told.sum(axis=1)))
             else:
-                chosen = codes[np.array(list(combinations(range(n), together)))]
-            found.append(mix(chosen.sum(axis=1, dtype=U64) + U64(instance * 1315423911 + together), 10))
-        return np.concatenate(found)
+                keys.append(mix(codes[0][np.array(list(combinations(range(parts), together)))].sum(axis=1, dtype=U64) + tag, 10))
+                values.append(np.repeat(value, len(keys[-1])))
+        return np.concatenate(keys), np.concatenate(values)
+
+
+def near(value: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two sketches differ in no more bits than allowed."""
+    allowed = np.maximum(value, other) >> U64(SKETCH_BITS)
+    return (allowed == ANY) | (np.bitwise_count((value ^ other) & U64((1 << SKETCH_BITS) - 1)) <= allowed)
+
+
+def near_sets(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smaller node) that join, within each signature, the sets whose sketches are near; rows are sorted by
+    signature and node. Of signatures with more than MOST_COMPARED sets all are joined."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(key)))
+    found = []
+    few = np.repeat((count > 1) & (count <= 16), count)
+    rows, last = np.flatnonzero(few), np.repeat(start + count, count)
+    for step in range(1, 16):
+        rows = rows[rows + step < last[rows]]
+        pair = rows[near(value[rows], value[rows + step])]
+        found.append((node[pair + step], node[pair]))
+    for a, c in zip(start[count > 16], count[count > 16]):
+        own = slice(a, a + c)
+        if c > MOST_COMPARED:
+            found.append((node[own][1:], np.full(c - 1, node[a])))
+        else:
+            edges = forest(near(value[own][:, None], value[own][None, :]), node[own])
+            found.append((np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)))
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    other = left != right
+    return tuple(np.unique(np.stack([left[other], right[other]]), axis=1))
 
 
 def _keys(size: int):
@@ -121,66 +164,66 @@ def _keys(size: int):
     return run
 
 
-def _first_rows(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """For rows sorted by key and node: the node of the first row with the same key."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return np.repeat(node[starts], np.diff(np.append(starts, len(key))))
-
-
 def _signed_sets(size: int, percent: int):
-    """Signature rows (key, node, null) and, for sets of one batch that share a signature, edge rows (key, node, center):
-    a signature then leaves a batch once, however many sets of it have it."""
+    """Signature rows (key, node, value) of one batch, and edge rows (null, node, other) for its sets that are near. Of sets
+    with the same signature and sketch one leaves the batch, and of a signature with many sets one that is near to any."""
+    names = ["key", "node", "value"]
+
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, values, seen = [], [], [], set()
             for _, elements in text_sets(batch, size):
                 if len(elements):
                     node = set_key(elements)[0]
                     if node not in seen:
                         seen.add(node)
-                        keys.append(signed(bands.signatures(elements)))
-                        nodes.append(np.full(len(keys[-1]), node))
+                        own, value = bands.signatures(elements)
+                        keys.append(signed(own))
+                        values.append(value)
+                        nodes.append(np.full(len(own), node))
             if not keys:
                 continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node, value = np.concatenate(keys), np.concatenate(nodes), np.concatenate(values)
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            center = _first_rows(key, node)
-            edge = np.flatnonzero(center != node)
-            pairs = np.unique(np.stack([node[edge], center[edge]]), axis=1)
-            ships = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            left, right = near_sets(key[order], node[order], value[order])
+            order = np.lexsort((node, value, key))
+            k, v = key[order], value[order]
+            new_key = np.concatenate([[True], k[1:] != k[:-1]])
+            first = new_key | np.concatenate([[True], v[1:] != v[:-1]])
+            starts = np.flatnonzero(new_key)
+            crowded = np.add.reduceat(first.astype(np.int64), starts) > MOST_COMPARED
+            many = np.repeat(crowded, np.diff(np.append(starts, len(k))))
+            value[order[many]] = U64(ANY << SKETCH_BITS)
+            # in the order of the sets, where neighbouring rows have much in common
+            ships = np.sort(order[np.where(many, new_key, first)])
             for at in range(0, len(ships), 200_000):
                 rows = ships[at:at + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[rows]), pa.array(node[rows]), pa.nulls(len(rows), pa.int64())], ["key", "node", "center"])
-            # an edge is dealt by its node's mixed bits
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(mix(pairs[0].view(U64), 3))), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "node", "center"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(signed(value[rows]))], names)
+            if len(left):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(left), pa.int64()), pa.array(left), pa.array(right)], names)
     return run
 
 
 def _bucket_edges(batches):
-    """Rows sorted by key and node: an edge from each set to the first one with its signature; edge rows pass."""
-    last_key = last_center = None
+    """Rows sorted by key and node: edges between the sets with the same key that are near; edge rows pass."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        center = batch.column(2)
-        ready = np.asarray(center.is_valid())
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        node = batch.column(1).to_numpy(zero_copy_only=False)
-        passed = (node[ready], center.drop_null().to_numpy(zero_copy_only=False))
-        key, node = key[~ready], node[~ready]
-        made = _first_rows(key, node)
-        if len(key):
-            if last_key is not None and key[0] == last_key:
-                made[:np.searchsorted(key, key[0], side="right")] = last_center
-            last_key, last_center = key[-1], made[-1]
-        edge = made != node
-        pairs = np.stack([np.concatenate([passed[0], node[edge]]), np.concatenate([passed[1], made[edge]])])
-        pairs = np.unique(pairs, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "center"])
+        passing = np.asarray(batch.column("key").is_null())
+        node, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "value"))
+        key = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False)
+        now = [np.concatenate(p) for p in zip(held, (key[~passing], node[~passing], value[~passing].view(U64)))]
+        left, right = near_sets(*now)
+        # the last key may go on; a crowded one is carried on by its first set
+        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        held = [c[last:] for c in now]
+        if len(held[0]) > MOST_COMPARED:
+            held = [held[0][:1], held[1][:1], np.array([ANY << SKETCH_BITS], U64)]
+        pairs = np.unique(np.stack([np.concatenate([node[passing], left]), np.concatenate([value[passing], right])]), axis=1)
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "center"])
 
 
 def _sets(size: int):
@@ -314,8 +357,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     classes = (keyed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
                .agg(F.min("doc_id").alias("rep")))
     signed_rows = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(
-        _signed_sets(size, percent), "key long, node long, center long")
-    candidates = (signed_rows.repartition("key").sortWithinPartitions("key", "node")
+        _signed_sets(size, percent), "key long, node long, value long")
+    # edge rows have no key; they are dealt by their node
+    dealt = F.coalesce("key", F.xxhash64("node", "value"))
+    candidates = (signed_rows.repartition(dealt).sortWithinPartitions("key", "node")
                   .mapInArrow(_bucket_edges, "node long, center long").distinct())
     clusters = components(candidates, "node", "center").withColumnRenamed("component", "cluster")
     # one row per different set of a cluster; its blocks are dealt by hash
