@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LISTED = 500
+from opsloom.operators.ordering import top_rows
+
 AUDIT_SCHEMA = ("event_type string, user_name string, entity_type string, entity_id string, details string, "
                 "created_at timestamp")
 # Counters and the event types they add up.
@@ -34,14 +35,15 @@ def query_event(spark: SparkSession, result, row_count: int, user_name: str, cre
 
 
 def list_events(events: DataFrame, event_type: str | None = None, entity_type: str | None = None,
-                user_name: str | None = None, limit: int = 100) -> DataFrame:
+                user_name: str | None = None, limit: int | None = None) -> DataFrame:
+    """Filtered events; with ``limit`` the newest ones."""
     if event_type:
         events = events.filter(F.col("event_type") == event_type)
     if entity_type:
         events = events.filter(F.col("entity_type") == entity_type)
     if user_name:
         events = events.filter(F.col("user_name").ilike(f"%{user_name}%"))
-    return events.orderBy(F.desc("created_at"), "event_type", "entity_id").limit(min(limit, MAX_LISTED))
+    return top_rows(events, limit, F.desc("created_at"), "event_type", "entity_id")
 
 
 def event_breakdown(events: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from opsloom.operators.profile import few_valued_columns, value_counts
 
 MIN_SEGMENTS, MAX_SEGMENTS = 2, 20
 TOP_SEGMENTS = 3
-SNIPPET_CHARS = 200
 
 # Columns that never explain anything.
 NOT_DIMENSIONS = ("id", "created_at", "updated_at")
@@ -58,8 +57,8 @@ def attribute_drivers(df: DataFrame, table_name: str, metric: str | None = None,
     top = first_per_group(counts, ["dimension"], [F.desc("volume"), F.col("segment")], k, "rank")
     return top.withColumn("share_percentage", share).select(
         "dimension", "rank", "segment", "volume", "share_percentage",
-        F.concat(F.lit("Segment '"), "segment", F.lit("' represents "), F.col("volume").cast("string"), F.lit(" records ("),
-                 F.col("share_percentage").cast("string"), F.lit(f"% of total {table_name})")).alias("explanation"),
+        F.concat("segment", F.lit(" has "), F.col("volume").cast("string"), F.lit(f" of the {table_name}, "),
+                 F.col("share_percentage").cast("string"), F.lit("%")).alias("explanation"),
         (F.col("ordinal") == primary).alias("is_primary"))
 
 
@@ -68,6 +67,6 @@ def explained_share(drivers: DataFrame) -> DataFrame:
         stable_round(F.sum("share_percentage"), 1).alias("explained_share_percentage"))
 
 
-def policy_snippet(content: Column) -> Column:
-    """Display snippet of the best policy passage."""
-    return F.concat(F.substring(content, 1, SNIPPET_CHARS), F.lit("..."))
+def policy_snippet(content: Column, chars: int | None = None) -> Column:
+    """The best policy passage; with ``chars`` its beginning, for a display."""
+    return content if chars is None else F.concat(F.substring(content, 1, chars), F.lit("..."))

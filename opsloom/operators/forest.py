@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES = 100
 SAMPLE_ROWS = 256
-POOL_ROWS = TREES * SAMPLE_ROWS
+# Rows that are kept for a tree's draw, as a multiple of its sample, before the smallest are taken.
 THINNING = 4
 CONTAMINATION = 0.05
 MIN_ROWS = 15
@@ -65,12 +65,12 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 
 def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> DataFrame:
-    """One group of at most ``SAMPLE_ROWS`` rows per tree; nodes as rows."""
+    """One group of at most a sample's rows per tree; nodes as rows."""
     names = list(columns)
 
     def fit(key, pdf):
         tree = int(key[0])
-        rows = pdf.sort_values("_draw", kind="stable")[names].to_numpy(dtype=float)
+        rows = pdf.sort_values(["_draw", *names], kind="stable")[names].to_numpy(dtype=float)
         nodes = _grow(rows, np.random.default_rng([seed, tree]))
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth", "sample"])
         out.insert(0, "tree", tree)
@@ -81,31 +81,25 @@ def fit_trees(sample: DataFrame, columns: Sequence[str], seed: int = SEED) -> Da
     return sample.repartition(parts, "tree").groupBy("tree").applyInPandas(fit, NODE_SCHEMA)
 
 
-def draw_samples(values: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """``SAMPLE_ROWS`` different rows per tree out of a random pool of ``POOL_ROWS`` rows.
+def draw_samples(values: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = TREES, rows: int = SAMPLE_ROWS,
+                 seed: int = SEED) -> DataFrame:
+    """``rows`` rows for each tree, drawn by a hash of seed, tree and row.
 
-    The table is thinned to a few times the pool size before the top-k, so neither
-    the sample nor the rows that reach the top-k task grow with the data. The draw is
-    by row, not by content, so many equal rows count as often as they occur; over a
-    plain scan it is repeatable. The pool is shuffled as often as needed and dealt
-    out: each shuffle serves as many trees as it has full hands, so no tree holds a
-    row twice.
+    A row takes part in as many draws as are needed for every tree to have twice its sample to choose from, each time
+    under another tree; in a large table that is one. The draw does not depend on how the table is partitioned. Equal rows
+    have equal hashes, so they are drawn together.
     """
-    n = values.agg(F.count(F.lit(1)).alias("n")).scalar()
-    thinned = values.select(*columns, F.rand(seed).alias("_draw")).filter(
-        F.col("_draw") * n <= F.lit(float(THINNING * POOL_ROWS)))
-    pool = thinned.orderBy("_draw", *columns).limit(POOL_ROWS)
-    pinned = cut_lineage(pool)
-    size = pinned.count()  # at most POOL_ROWS
-    hand = max(min(SAMPLE_ROWS, size), 1)
-    hands = max(size // hand, 1)
-    rounds = -(-trees // hands)
-    spread = pinned.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    # a window group is one shuffle of the pool: at most POOL_ROWS rows
-    order = Window.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "_draw"), "_draw")
-    dealt = spread.withColumn("_slot", F.floor((F.row_number().over(order) - 1) / hand))
-    return dealt.filter(F.col("_slot") < hands).withColumn(
-        "tree", (F.col("_round") * hands + F.col("_slot")).cast("int")).filter(F.col("tree") < trees)
+    n = values.count()
+    times = min(trees, max(1, -(-2 * trees * rows // max(n, 1))))
+    row = F.xxhash64(F.lit(seed), *key, *columns)
+    dealt = values.select(*columns, row.alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_time")).withColumn(
+        "tree", F.pmod(F.pmod("_row", F.lit(trees)) + F.col("_time"), F.lit(trees)).cast("int")).withColumn(
+        "_draw", F.pmod(F.xxhash64("tree", "_row"), F.lit(1 << 40)))
+    share = THINNING * rows * trees / max(n * times, 1)
+    if share < 1:
+        dealt = dealt.filter(F.col("_draw") < int(share * (1 << 40)))
+    order = Window.partitionBy("tree").orderBy("_draw", *columns)
+    return dealt.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows).select("tree", "_draw", *columns)
 
 
 def _model(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
@@ -136,7 +130,7 @@ def _scores(trees: list[dict[str, np.ndarray]], rows: np.ndarray) -> np.ndarray:
 
 
 def score_rows(values: DataFrame, nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``score`` to every row; the model is at most TREES * 511 nodes."""
+    """Add ``score`` to every row; the model is at most two nodes for each sampled row."""
     trees = _model(nodes.toPandas())  # bounded by the sample size, not by the data
     if not trees:
         return values.withColumn("score", F.lit(None).cast("double"))
@@ -151,7 +145,8 @@ def score_rows(values: DataFrame, nodes: DataFrame, columns: Sequence[str]) -> D
     return values.mapInPandas(score, schema)
 
 
-def isolation_forest_scores(df: DataFrame, columns: Sequence[str], seed: int = SEED) -> DataFrame:
+def isolation_forest_scores(df: DataFrame, columns: Sequence[str], seed: int = SEED, trees: int = TREES,
+                            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """record_id, date, the columns and the score of every complete row, written out once."""
     from opsloom.operators.anomaly import date_column, id_column
 
@@ -162,18 +157,20 @@ def isolation_forest_scores(df: DataFrame, columns: Sequence[str], seed: int = S
     values = df.select(
         record.alias("record_id"), (F.col(f"`{date}`").cast("string") if date else F.lit(None).cast("string")).alias("date"),
         *[F.col(f"`{c}`").cast("double").alias(i) for c, i in zip(columns, inner)]).na.drop(subset=inner)
-    nodes = fit_trees(draw_samples(values, inner, seed=seed), inner, seed)
+    nodes = fit_trees(draw_samples(values, ["record_id"], inner, trees, sample_rows, seed), inner, seed)
     return cut_lineage(score_rows(values, nodes, inner))
 
 
 def isolation_forest_anomalies(df: DataFrame, columns: Sequence[str], table_name: str,
-                               contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
-    """The ``contamination`` share of rows with the lowest scores, reported on the first column."""
+                               contamination: float = CONTAMINATION, seed: int = SEED, trees: int = TREES,
+                               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The ``contamination`` share of rows with the lowest scores, reported on the first column. ``trees`` trees are fitted
+    on ``sample_rows`` rows each."""
     from opsloom.operators.anomaly import ANOMALY_COLUMNS
 
     if len(columns) < 2:
         raise ValueError("an isolation forest needs at least two numeric columns")
-    scored = isolation_forest_scores(df, columns, seed)
+    scored = isolation_forest_scores(df, columns, seed, trees, sample_rows)
     limits = exact_quantiles(scored, "score", {"cut": contamination})
     stats = scored.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_c0").alias("mean")).alias("s"))
     judged = scored.withColumn("_cut", limits.select("cut").scalar()).withColumn("_s", stats.scalar())
@@ -185,8 +182,7 @@ def isolation_forest_anomalies(df: DataFrame, columns: Sequence[str], table_name
         F.round(mean * 1.5, 2).alias("expected_max"), F.round(x - mean, 2).alias("deviation"),
         F.coalesce(F.round((x - mean) / F.abs(F.when(mean == 0, 1.0).otherwise(mean)) * 100, 2), F.lit(0.0)).alias("deviation_percentage"),
         "record_id", "date",
-        F.array(F.lit("[Hypothesis] Multi-dimensional anomaly detected via Isolation Forest"),
-                F.lit("[Hypothesis] Atypical combination of numeric attributes across transaction")).alias("potential_drivers"),
+        F.array(F.lit("perhaps: the values are rare in this combination"), F.lit("perhaps: the row mixes up two records")).alias("potential_drivers"),
         F.lit(False).alias("is_verified_impact"),
         F.create_map(F.lit("anomaly_score"), F.round("score", 3)).alias("details"),
     ).select(*ANOMALY_COLUMNS)

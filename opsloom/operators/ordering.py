@@ -158,3 +158,8 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)
+
+
+def top_rows(df: DataFrame, k: int | None, *order) -> DataFrame:
+    """The first ``k`` rows in an order with unique ties; all rows, in no order, for None."""
+    return df if k is None else df.orderBy(*order).limit(k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import as_of_literal, contains_any, lowered, money_sum, stable_round
+from opsloom.operators.ordering import top_rows
 
 # Intent keywords.
 POLICY_WORDS = ["policy", "sop", "rule", "approval"]
@@ -29,43 +30,43 @@ def _is_late() -> Column:
     return late | F.coalesce(lowered("status") == "delayed", F.lit(False))
 
 
-def delayed_orders(orders: DataFrame, k: int = 100) -> DataFrame:
-    """Delivered after the promise or marked delayed, largest amounts first."""
-    return orders.filter(_is_late()).select(
-        "order_id", "customer_id", "amount", "promised_date", "delivery_date", "status").orderBy(
-        F.desc("amount"), "order_id").limit(k)
+def delayed_orders(orders: DataFrame, k: int | None = None) -> DataFrame:
+    """Delivered after the promise or marked delayed; as in all questions, ``k`` asks for the first rows only."""
+    found = orders.filter(_is_late()).select("order_id", "customer_id", "amount", "promised_date", "delivery_date", "status")
+    return top_rows(found, k, F.desc("amount"), "order_id")
 
 
-def overdue_invoices(invoices: DataFrame, as_of: str, k: int = 100) -> DataFrame:
+def overdue_invoices(invoices: DataFrame, as_of: str, k: int | None = None) -> DataFrame:
     past = F.col("due_date") < as_of_literal(as_of)
-    return invoices.filter((past | (lowered("status") == "overdue")) & (lowered("status") != "paid")).select(
-        "invoice_id", "customer_id", "unpaid_amount", "due_date", "status").orderBy(
-        F.desc("unpaid_amount"), "invoice_id").limit(k)
+    found = invoices.filter((past | (lowered("status") == "overdue")) & (lowered("status") != "paid")).select(
+        "invoice_id", "customer_id", "unpaid_amount", "due_date", "status")
+    return top_rows(found, k, F.desc("unpaid_amount"), "invoice_id")
 
 
-def restock_list(inventory: DataFrame, k: int = 100) -> DataFrame:
-    return inventory.filter(F.col("quantity_on_hand") <= F.col("reorder_level")).select(
-        "sku", "product_name", "quantity_on_hand", "reorder_level").orderBy("quantity_on_hand", "sku").limit(k)
+def restock_list(inventory: DataFrame, k: int | None = None) -> DataFrame:
+    found = inventory.filter(F.col("quantity_on_hand") <= F.col("reorder_level")).select(
+        "sku", "product_name", "quantity_on_hand", "reorder_level")
+    return top_rows(found, k, "quantity_on_hand", "sku")
 
 
-def tickets_at_risk(tickets: DataFrame, as_of: str, k: int = 100) -> DataFrame:
+def tickets_at_risk(tickets: DataFrame, as_of: str, k: int | None = None) -> DataFrame:
     past = F.col("sla_deadline") < as_of_literal(as_of)
-    return tickets.filter((lowered("status") != "resolved") & (past | (F.col("priority") == "Urgent"))).select(
-        "ticket_id", "customer_id", "subject", "priority", "status", "sla_deadline").orderBy(
-        F.desc("priority"), "ticket_id").limit(k)
+    found = tickets.filter((lowered("status") != "resolved") & (past | (F.col("priority") == "Urgent"))).select(
+        "ticket_id", "customer_id", "subject", "priority", "status", "sla_deadline")
+    return top_rows(found, k, F.desc("priority"), "ticket_id")
 
 
-def customers_by_delayed_value(customers: DataFrame, orders: DataFrame, k: int = 50) -> DataFrame:
+def customers_by_delayed_value(customers: DataFrame, orders: DataFrame, k: int | None = None) -> DataFrame:
     delayed = orders.filter(_is_late()).groupBy("customer_id").agg(
         F.count("order_id").alias("delayed_orders"), money_sum("amount").alias("total_delayed_value"))
-    return customers.select("customer_id", "name", "tier").join(delayed, "customer_id").orderBy(
-        F.desc("total_delayed_value"), "customer_id").limit(k)
+    return top_rows(customers.select("customer_id", "name", "tier").join(delayed, "customer_id"), k,
+                    F.desc("total_delayed_value"), "customer_id")
 
 
-def revenue_by_customer(orders: DataFrame, k: int = 20) -> DataFrame:
-    return orders.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("orders_count"), money_sum("amount").alias("total_revenue")).orderBy(
-        F.desc("total_revenue"), "customer_id").limit(k)
+def revenue_by_customer(orders: DataFrame, k: int | None = None) -> DataFrame:
+    found = orders.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("orders_count"), money_sum("amount").alias("total_revenue"))
+    return top_rows(found, k, F.desc("total_revenue"), "customer_id")
 
 
 def approval_cases(invoices: DataFrame, limit: float = APPROVAL_LIMIT) -> DataFrame:

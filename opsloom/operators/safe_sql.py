@@ -21,12 +21,22 @@ MAX_ROWS = 500
 WRITE_WORDS = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "TRUNCATE",
                "CREATE", "REPLACE", "ATTACH", "DETACH", "PRAGMA", "VACUUM")
 
-# Plan nodes a query may have at its root.
-QUERY_ROOTS = ("Project", "Aggregate", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "Union", "Intersect",
-               "Except", "Filter", "UnresolvedHaving", "SubqueryAlias", "CTE", "LocalRelation", "WithWindowDefinition",
-               "Offset", "OrderBy")
-# Node names that are commands or writes, wherever they stand in the plan.
-COMMAND_NODE = re.compile(r"(Command|Statement|Into\w*|Drop\w*|Create\w*|Replace\w*|Alter\w*|Show\w*|Cache\w*|Uncache\w*|"
+# Nodes of a parsed plan that a read-only query may have, wherever they stand; all others are refused. Identifiers that are
+# only known after evaluation (IDENTIFIER) parse to nodes of their own, which are not among these.
+QUERY_NODES = frozenset(
+    "Project Aggregate Distinct Sort GlobalLimit LocalLimit Union Intersect Except Filter UnresolvedHaving SubqueryAlias CTE "
+    "UnresolvedWith LocalRelation OneRowRelation UnresolvedInlineTable WithWindowDefinition Offset OrderBy Join LateralJoin "
+    "AsOfJoin Generate Pivot Unpivot Expand Window Sample UnresolvedHint UnresolvedRelation UnresolvedSubqueryColumnAliases "
+    "UnresolvedTableValuedFunction Deduplicate Tail".split())
+# Table functions that make rows from their arguments alone.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+# Leaves of an analysed plan that read nothing but given tables.
+HARMLESS_LEAVES = frozenset("OneRowRelation LocalRelation Range CTERelationRef UnionLoopRef".split())
+TABLE_FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
+LATE_IDENTIFIER = re.compile(r"(?i)withunresolvedidentifier")
+# SQL functions that run arbitrary JVM code.
+UNSAFE_FUNCTION = re.compile(r"'?\b(reflect|try_reflect|java_method)\(", re.IGNORECASE)
+NODE = re.compile(r"(Command|Statement|Into\w*|Drop\w*|Create\w*|Replace\w*|Alter\w*|Show\w*|Cache\w*|Uncache\w*|"
                           r"Describe\w*|Truncate\w*|Merge\w*|Delete\w*|Update\w*|Insert\w*|Refresh\w*|Repair\w*|"
                           r"Analyze\w*|Load\w*|Set\w*|Add\w*|Call|OverwriteByExpression|AppendData)$")
 # SQL functions that run arbitrary JVM code.
@@ -45,7 +55,7 @@ class ValidatedQuery:
     sql: str
     referenced_tables: list[str]
     explanation: str
-    max_rows: int
+    max_rows: int | None
 
 
 @dataclass
@@ -60,6 +70,14 @@ class QueryResult:
     duration_ms: float = 0.0
     success: bool = True
     error: str | None = None
+    max_rows: int | None = None
+    uncapped: DataFrame | None = None
+
+    def is_truncated(self) -> bool:
+        """Whether the cap left rows out; reads at most one row beyond it."""
+        if self.max_rows is None or self.uncapped is None:
+            return False
+        return self.uncapped.limit(self.max_rows + 1).count() > self.max_rows
 
 
 def _parsed_plan(spark: SparkSession, sql: str) -> list[str]:
@@ -79,7 +97,46 @@ def _node_name(line: str) -> str:
     return match.group(1) if match else ""
 
 
-def _explain(lines: list[str], tables: list[str], max_rows: int) -> str:
+def _refuse_unknown(lines: list[str]) -> None:
+    for line in lines:
+        node = _node_name(line)
+        if node not in QUERY_NODES:
+            raise UnsafeSqlError(f"{node or line.strip()} is not permitted in read-only mode")
+        if LATE_IDENTIFIER.search(line):
+            raise UnsafeSqlError("names must be written out; IDENTIFIER(...) is not permitted")
+        if UNSAFE_FUNCTION.search(line):
+            raise UnsafeSqlError("functions that call JVM code are not permitted")
+        for name in TABLE_FUNCTION.findall(line):
+            if name.strip().lower() not in TABLE_FUNCTIONS:
+                raise UnsafeSqlError(f"table function {name!r} is not permitted")
+
+
+def _check_leaves(df: DataFrame, available: set[str]) -> None:
+    """Everything that the analysed plan reads must stand below a permitted view."""
+    lines = [line for line in df._jdf.queryExecution().analyzed().treeString().splitlines() if line.strip()]
+    hidden = None  # indentation of the permitted view that the lines below belong to
+    for i, line in enumerate(lines):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = None
+        node = _node_name(line)
+        view = re.search(r"View \(`([^`]*)`", line)
+        if node == "SubqueryAlias" and i + 1 < len(lines):
+            alias = re.search(r"SubqueryAlias ([\w.`]+)", line).group(1).replace("`", "").split(".")[-1].lower()
+            below = re.search(r"View \(`([^`]*)`|^[\s:+\-]*Relation ([\w.]+)\[", lines[i + 1])
+            if below and alias in available:
+                hidden = depth
+            continue
+        if view:
+            if view.group(1).split(".")[-1].lower() not in available:
+                raise UnsafeSqlError(f"referenced table {view.group(1)!r} does not exist in the active data sources")
+            hidden = depth
+        elif not (i + 1 < len(lines) and len(lines[i + 1]) - len(lines[i + 1].lstrip(" :+-")) > depth) and node not in HARMLESS_LEAVES:
+            raise UnsafeSqlError(f"{node} is read, which is none of the active data sources")
+
+
+def _explain(lines: list[str], tables: list[str], max_rows: int | None) -> str:
     shown = ", ".join(f"'{t}'" for t in tables) or "operational tables"
     parts = [f"Queries data from {shown}"]
     limit = max_rows
@@ -90,7 +147,8 @@ def _explain(lines: list[str], tables: list[str], max_rows: int) -> str:
         rest = re.sub(r"^[\s:+\-]*'?\w+\s*", "", line).replace("'", "")
         if node == "GlobalLimit":
             wanted = re.match(r"\d+", rest)
-            limit = min(int(wanted.group()), max_rows) if wanted and "limit" not in seen else limit
+            if wanted and "limit" not in seen:
+                limit = int(wanted.group()) if max_rows is None else min(int(wanted.group()), max_rows)
             seen.add("limit")
         elif node in phrases and node not in seen:
             seen.add(node)
@@ -101,13 +159,14 @@ def _explain(lines: list[str], tables: list[str], max_rows: int) -> str:
             elif node == "Sort":
                 rest = rest.rsplit("], ", 1)[0].lstrip("[")
             parts.append(phrases[node].format(rest.strip()))
-    parts.append(f"caps output to {limit} records")
+    if limit is not None:
+        parts.append(f"caps output to {limit} records")
     return "The query " + ", and ".join(parts) + "."
 
 
 def validate_sql(spark: SparkSession, sql: str, allowed_tables: list[str] | None = None,
-                 max_rows: int = MAX_ROWS) -> ValidatedQuery:
-    """Check that ``sql`` is one read-only query over known tables; nothing is run."""
+                 max_rows: int | None = MAX_ROWS) -> ValidatedQuery:
+    """Check that ``sql`` is one read-only query over known tables; nothing is run. ``max_rows`` None means no cap."""
     text = sql.strip().rstrip(";").strip()
     if not text:
         raise UnsafeSqlError("empty query")
@@ -116,13 +175,9 @@ def validate_sql(spark: SparkSession, sql: str, allowed_tables: list[str] | None
             raise UnsafeSqlError(f"prohibited operation {word!r} in read-only mode")
     text = re.sub(r"(?i)^explain(\s+(extended|formatted|codegen|cost))?\s+", "", text)
     lines = _parsed_plan(spark, text)
-    if _node_name(lines[0]) not in QUERY_ROOTS:
+    if _node_name(lines[0]) not in QUERY_NODES:
         raise UnsafeSqlError(f"only SELECT queries can be run in read-only mode, not {_node_name(lines[0])}")
-    for line in lines:
-        if COMMAND_NODE.match(_node_name(line)):
-            raise UnsafeSqlError(f"prohibited operation {_node_name(line)} in read-only mode")
-        if UNSAFE_FUNCTION.search(line):
-            raise UnsafeSqlError("functions that call JVM code are not permitted")
+    _refuse_unknown(lines)
     plan = "\n".join(lines)
     known = [t.name.lower() for t in spark.catalog.listTables()]
     available = {t.lower() for t in allowed_tables} if allowed_tables is not None else set(known)
@@ -133,17 +188,22 @@ def validate_sql(spark: SparkSession, sql: str, allowed_tables: list[str] | None
     for table in tables:
         if table not in available:
             raise UnsafeSqlError(f"referenced table {table!r} does not exist in the active data sources")
+    try:
+        _check_leaves(spark.sql(text), available)  # a query is only analysed here
+    except PySparkException:
+        pass  # it reads nothing then; execution reports the error
     return ValidatedQuery(text, tables, _explain(lines, tables, max_rows), max_rows)
 
 
 def execute_safe_query(spark: SparkSession, sql: str, allowed_tables: list[str] | None = None,
-                       max_rows: int = MAX_ROWS) -> QueryResult:
-    """Validated query as a lazy DataFrame of at most ``max_rows`` rows."""
+                       max_rows: int | None = MAX_ROWS) -> QueryResult:
+    """Validated query as a lazy DataFrame of at most ``max_rows`` rows; None means all."""
     checked = validate_sql(spark, sql, allowed_tables, max_rows)
     start = time.monotonic()
-    result = QueryResult(sql, checked.explanation, checked.referenced_tables)
+    result = QueryResult(sql, checked.explanation, checked.referenced_tables, max_rows=max_rows)
     try:
-        result.rows = nan_to_null(spark.sql(checked.sql).limit(max_rows))
+        result.uncapped = spark.sql(checked.sql)
+        result.rows = nan_to_null(result.uncapped if max_rows is None else result.uncapped.limit(max_rows))
         result.columns = result.rows.columns
     except PySparkException as error:
         result.success, result.error = False, str(error)
@@ -156,7 +216,7 @@ def validate_only(spark: SparkSession, sql: str, allowed_tables: list[str] | Non
         checked = validate_sql(spark, sql, allowed_tables)
     except UnsafeSqlError as error:
         return {"valid": False, "error": str(error)}
-    return {"valid": True, "sanitized_sql": f"{checked.sql} LIMIT {checked.max_rows}",
+    return {"valid": True, "sanitized_sql": checked.sql if checked.max_rows is None else f"{checked.sql} LIMIT {checked.max_rows}",
             "referenced_tables": checked.referenced_tables, "explanation": checked.explanation}
 
 
@@ -165,7 +225,7 @@ def validate_formula(spark: SparkSession, formula: str) -> str:
     lines = _parsed_plan(spark, f"SELECT {formula} AS v")
     if _node_name(lines[0]) not in ("Project", "Aggregate"):
         raise UnsafeSqlError("a formula must be a single expression")
-    if any(RELATION.search(line) or UNSAFE_FUNCTION.search(line) or COMMAND_NODE.match(_node_name(line))
-           for line in lines):
-        raise UnsafeSqlError("a formula may not read tables or call JVM code")
+    _refuse_unknown(lines)
+    if any(RELATION.search(line) or _node_name(line) not in ("Project", "Aggregate", "OneRowRelation") for line in lines):
+        raise UnsafeSqlError("a formula may not read tables")
     return formula

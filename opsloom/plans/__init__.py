@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 SUITES = ("relational", "business", "analytics", "kpis", "rules", "entities", "profiling", "quality",
-          "anomalies", "documents", "operations", "streams")
+          "anomalies", "documents", "operations", "streams", "tables")
 
 
 def load_suites() -> None:

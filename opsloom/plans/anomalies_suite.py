@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from opsloom.operators import anomaly as ad
 from opsloom.operators.forest import isolation_forest_anomalies
 from opsloom.plans.registry import query, sround
-from opsloom.sources.tables import spread_scan
 
 FLAT = ["table_name", "column_name", "method", "observed_value", "expected_min", "expected_max", "deviation",
         "deviation_percentage", "record_id", "date"]
@@ -82,12 +81,28 @@ def _(v):
 
 @query("anomaly_isolation_forest")
 def _(v):
-    found = isolation_forest_anomalies(spread_scan(v.raw("lineitem")).select(
+    found = isolation_forest_anomalies(v.raw("lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), "l_quantity", "l_extendedprice",
         "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")
     return found.select(*FLAT[:8], "record_id", F.col("details").getItem("anomaly_score").alias("anomaly_score"))
 
 
+# Every 1,000th order is made unlike all others. The share that is flagged and the planted rows are known beforehand.
+@query("anomaly_forest_facts", """
+    SELECT count(*) AS rows_scored, true AS planted_flagged, true AS share_flagged, count(*) FILTER (o_orderkey % 1000 = 0) AS planted FROM orders""")
+def _(v):
+    odd = F.col("order_id") % 1000 == 0
+    table = v.orders.select("order_id", *[
+        F.when(odd, F.lit(value)).otherwise(column).cast("double").alias(name) for name, value, column in (
+            ("total", 9e6, F.col("total_amount")), ("day", -4000.0, F.date_diff("order_date", F.lit("1992-01-01"))),
+            ("customer", -1e6, F.col("customer_id")))])
+    flagged = isolation_forest_anomalies(table, ["total", "day", "customer"], "orders").select("record_id", F.lit(1).alias("hit"))
+    joined = table.withColumn("record_id", F.col("order_id").cast("string")).join(flagged, "record_id", "left")
+    share = F.count("hit") / F.count(F.lit(1))
+    return joined.agg(F.count(F.lit(1)).alias("rows_scored"), F.coalesce(F.bool_and(F.when(odd, F.col("hit").isNotNull())), F.lit(True)).alias("planted_flagged"),
+                      share.between(0.03, 0.05).alias("share_flagged"), F.count(F.when(odd, 1)).alias("planted"))
+
+
 # the invoices table has two amounts and a date, so every univariate detector runs on both
 _SCAN = " UNION ALL ".join(
     part for column in ("amount", "unpaid_amount") for part in (

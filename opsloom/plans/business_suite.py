@@ -208,10 +208,9 @@ def _(v):
 
 
 @query("bq15_multi_line_orders", """
-    SELECT order_id, count(*) AS item_count FROM v_order_items GROUP BY order_id HAVING count(*) > 2
-    ORDER BY order_id LIMIT 10""")
+    SELECT order_id, count(*) AS item_count FROM v_order_items GROUP BY order_id HAVING count(*) > 2""")
 def _(v):
-    return bq.multi_line_orders(v.order_items, 2, k=10)
+    return bq.multi_line_orders(v.order_items, 2)
 
 
 @query("bq15b_orders_with_three_lines", """

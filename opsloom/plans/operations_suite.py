@@ -40,30 +40,27 @@ def dated_orders(v):
 
 
 @query("question_delayed_orders", f"""
-    SELECT order_id, customer_id, amount, status FROM v_dated_orders WHERE {_LATE} ORDER BY amount DESC, order_id LIMIT 100""")
+    SELECT order_id, customer_id, amount, status FROM v_dated_orders WHERE {_LATE}""")
 def _(v):
     return cq.delayed_orders(dated_orders(v)).select("order_id", "customer_id", "amount", "status")
 
 
 @query("question_overdue_invoices", f"""
     SELECT invoice_id, customer_id, unpaid_amount, due_date, status FROM v_invoices
-    WHERE (due_date < TIMESTAMP '{AS_OF}' OR lower(status) = 'overdue') AND lower(status) <> 'paid'
-    ORDER BY unpaid_amount DESC, invoice_id LIMIT 100""")
+    WHERE (due_date < TIMESTAMP '{AS_OF}' OR lower(status) = 'overdue') AND lower(status) <> 'paid'""")
 def _(v):
     return cq.overdue_invoices(v.invoices, AS_OF)
 
 
 @query("question_restock_list", """
-    SELECT sku, product_name, quantity_on_hand, reorder_level FROM v_inventory WHERE quantity_on_hand <= reorder_level
-    ORDER BY quantity_on_hand, sku LIMIT 100""")
+    SELECT sku, product_name, quantity_on_hand, reorder_level FROM v_inventory WHERE quantity_on_hand <= reorder_level""")
 def _(v):
     return cq.restock_list(v.inventory)
 
 
 @query("question_tickets_at_risk", f"""
     SELECT ticket_id, priority, status FROM v_support_tickets
-    WHERE lower(status) <> 'resolved' AND (sla_deadline < TIMESTAMP '{TICKETS_AS_OF}' OR priority = 'Urgent')
-    ORDER BY priority DESC, ticket_id LIMIT 100""")
+    WHERE lower(status) <> 'resolved' AND (sla_deadline < TIMESTAMP '{TICKETS_AS_OF}' OR priority = 'Urgent')""")
 def _(v):
     return cq.tickets_at_risk(v.support_tickets, TICKETS_AS_OF).select("ticket_id", "priority", "status")
 
@@ -71,14 +68,14 @@ def _(v):
 @query("question_customers_by_delayed_value", f"""
     SELECT c.customer_id, c.name, c.tier, count(*) AS delayed_orders, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_delayed_value
     FROM v_customers c JOIN v_dated_orders o ON o.customer_id = c.customer_id WHERE {_LATE.replace('status', 'o.status')}
-    GROUP BY ALL ORDER BY total_delayed_value DESC, c.customer_id LIMIT 50""")
+    GROUP BY ALL""")
 def _(v):
     return cq.customers_by_delayed_value(v.customers, dated_orders(v))
 
 
 @query("question_revenue_by_customer", """
     SELECT customer_id, count(*) AS orders_count, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
-    FROM v_orders GROUP BY 1 ORDER BY total_revenue DESC, customer_id LIMIT 20""")
+    FROM v_orders GROUP BY 1""")
 def _(v):
     return cq.revenue_by_customer(v.orders.withColumnRenamed("total_amount", "amount"))
 
@@ -157,8 +154,7 @@ _DRIVERS = """SELECT dimension, CAST(row_number() OVER (PARTITION BY dimension O
     FROM v_dimensions QUALIFY rank <= 3"""
 
 
-@query("drivers_attribution", f"""SELECT *, 'Segment ''' || segment || ''' represents ' || volume || ' records (' || share_percentage
-    || '% of total orders)' AS explanation FROM ({_DRIVERS})""")
+@query("drivers_attribution", f"""SELECT *, segment || ' has ' || volume || ' of the orders, ' || share_percentage || '%' AS explanation FROM ({_DRIVERS})""")
 def _(v):
     return dr.attribute_drivers(v.orders, "orders", "order_id")
 
@@ -180,9 +176,6 @@ def _(v):
         "policy": hit.getField("doc_id"), "policy_snippet": hit.getField("snippet")})
 
 
-_TOP5 = "SELECT * FROM v_exceptions WHERE status = 'OPEN' {} ORDER BY priority_score DESC, rule_name, entity_id LIMIT 5"
-
-
 def _exceptions(v):
     return rules_suite.exceptions(v)
 
@@ -194,12 +187,13 @@ def _handled(exceptions):
 
 
 _UNHANDLED = "NOT (entity_type = 'ticket' OR (entity_type = 'order' AND TRY_CAST(entity_id AS BIGINT) % 2 = 0))"
+_TOP5 = f"SELECT * FROM v_exceptions WHERE status = 'OPEN' AND {_UNHANDLED} {{}} ORDER BY priority_score DESC, rule_name, entity_id LIMIT 5"
 
 
 @query("review_propose_actions", f"""
-    SELECT 'Resolve ' || title AS title, description, 'Priority score ' || printf('%.1f', priority_score) || ' - financial impact: $'
+    SELECT 'To do: ' || title AS title, description, 'scored ' || printf('%.1f', priority_score) || ', at stake: '
       || format('{{:,.2f}}', financial_impact) AS reason, severity AS priority, 'Operations Manager' AS owner, 'create_task' AS action_type,
-      'PROPOSED' AS status, true AS approval_required FROM ({_TOP5.format('')}) WHERE {_UNHANDLED}""")
+      'PROPOSED' AS status, true AS approval_required FROM ({_TOP5.format('')})""")
 def _(v):
     found = _exceptions(v)
     return ac.propose_actions(found, _handled(found)).select(
@@ -207,9 +201,9 @@ def _(v):
 
 
 @query("review_urgent_actions", f"""
-    SELECT 'Resolve ' || title AS title, 'Exception ' || entity_type || ' requires operational action' AS reason, severity AS priority,
+    SELECT 'To do: ' || title AS title, 'urgent ' || entity_type AS reason, severity AS priority,
       CASE WHEN entity_type LIKE '%order%' THEN 'draft_email' ELSE 'create_task' END AS action_type
-    FROM ({_TOP5.format("AND severity IN ('CRITICAL', 'HIGH')")}) WHERE {_UNHANDLED}""")
+    FROM ({_TOP5.format("AND severity IN ('CRITICAL', 'HIGH')")})""")
 def _(v):
     found = _exceptions(v)
     return ac.propose_urgent_actions(found, _handled(found)).select("title", "reason", "priority", "action_type")
@@ -252,7 +246,7 @@ def _judged(v):
 
 
 @query("action_list", """SELECT action_id, title, priority, owner FROM v_actions
-    WHERE status = 'PROPOSED' AND priority = 'HIGH' AND owner ILIKE '%manager%' ORDER BY created_at DESC, action_id LIMIT 100""")
+    WHERE status = 'PROPOSED' AND priority = 'HIGH' AND owner ILIKE '%manager%'""")
 def _(v):
     return ac.list_actions(_actions(v), "proposed", "high", "manager").select("action_id", "title", "priority", "owner")
 
@@ -262,7 +256,7 @@ def _(v):
     r AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY ts DESC, event_id DESC) AS rn FROM v_judged WHERE decision <> 'execute')
     SELECT a.action_id, CASE l.decision WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' WHEN 'execute' THEN 'COMPLETED' ELSE a.status END AS status,
       CASE WHEN r.action_id IS NOT NULL THEN coalesce(r.user_name, 'Operations Manager') END AS approved_by,
-      CASE WHEN r.decision = 'reject' THEN coalesce(r.reason, 'No reason specified.') END AS rejection_reason,
+      CASE WHEN r.decision = 'reject' THEN coalesce(r.reason, 'no reason given') END AS rejection_reason,
       (SELECT max(ts) FROM v_judged j WHERE legal AND decision = 'execute' AND j.action_id = a.action_id) AS executed_at
     FROM v_actions a LEFT JOIN l ON l.action_id = a.action_id AND l.rn = 1 LEFT JOIN r ON r.action_id = a.action_id AND r.rn = 1""")
 def _(v):
@@ -286,7 +280,7 @@ def _(v):
 
 @query("action_call_list", """
     SELECT invoice_id AS action_id, c.name, 'N/A' AS phone, CAST(c.customer_id AS VARCHAR) AS account, amount AS balance,
-      'Hi, calling from Operations regarding Collect ' || invoice_id || '. Can we assist with payment or order fulfillment today?' AS script
+      'This is about: Collect ' || invoice_id || '. What do you need from us to settle it?' AS script
     FROM v_invoices i JOIN v_customers c ON c.customer_id = i.customer_id WHERE lower(i.status) = 'overdue'""")
 def _(v):
     records = v.invoices.filter(F.lower("status") == "overdue").join(
@@ -297,10 +291,10 @@ def _(v):
 
 @query("action_draft_emails", """
     SELECT invoice_id AS action_id, CASE WHEN c.customer_id % 3 = 0 THEN 'customer-ops@example.com' ELSE email END AS recipient,
-      'URGENT OPS UPDATE: Collect ' || invoice_id AS subject,
-      'Dear Operations Team / Partner,' || chr(10) || chr(10) || 'Regarding: Collect ' || invoice_id || chr(10) || 'Context: ' || i.status
-        || chr(10) || chr(10) || 'Suggested Steps:' || chr(10) || '  * Inspect record' || chr(10) || '  * Apply corrective resolution'
-        || chr(10) || chr(10) || 'Generated on 2000-06-01 00:00:00 UTC' AS body
+      'Please act: Collect ' || invoice_id AS subject,
+      'Hello,' || chr(10) || chr(10) || 'this is about Collect ' || invoice_id || ' (' || i.status || ').'
+        || chr(10) || chr(10) || 'Next steps:' || chr(10) || '  * Open the record' || chr(10) || '  * Correct it'
+        || chr(10) || chr(10) || 'Written 2000-06-01 00:00:00 UTC' AS body
     FROM v_invoices i JOIN v_customers c ON c.customer_id = i.customer_id WHERE lower(i.status) = 'overdue'""")
 def _(v):
     known = F.when(F.col("customer_id") % 3 != 0, F.col("email")).otherwise("")
@@ -314,7 +308,7 @@ def _(v):
 @query("action_task_checklist", """
     SELECT 'TASK-' || upper(substr(ticket, 1, 8)) AS task_id, priority AS assigned_to, s AS step_number, step
     FROM (SELECT 'ticket-' || ticket_id AS ticket, priority, unnest([0, 1, 2]) AS s,
-      unnest(['Review affected entity', 'Execute policy adjustment', 'Verify status']) AS step FROM v_support_tickets)""")
+      unnest(['Open the case', 'Make the change', 'Check the result']) AS step FROM v_support_tickets)""")
 def _(v):
     tasks = v.support_tickets.select(
         F.concat(F.lit("ticket-"), F.col("ticket_id").cast("string")).alias("action_id"), F.col("priority").alias("owner"),
@@ -339,10 +333,9 @@ def _audit(v):
 
 
 @query("audit_list", """SELECT event_type, user_name, entity_id, created_at FROM v_audit
-    WHERE event_type = 'workflow_run' AND entity_type = 'action' AND user_name ILIKE '%user 1%'
-    ORDER BY created_at DESC, event_type, entity_id LIMIT 500""")
+    WHERE event_type = 'workflow_run' AND entity_type = 'action' AND user_name ILIKE '%user 1%'""")
 def _(v):
-    return au.list_events(_audit(v), "workflow_run", "action", "user 1", 9000).select(
+    return au.list_events(_audit(v), "workflow_run", "action", "user 1").select(
         "event_type", "user_name", "entity_id", "created_at")
 
 

@@ -15,7 +15,7 @@ from opsloom.sources.files import mask_connection_uri
 AS_OF = "1998-07-01 00:00:00"
 
 
-def _guarded(v, sql, *names, max_rows=500):
+def _guarded(v, sql, *names, max_rows=None):
     for name in names:
         v.table(name).createOrReplaceTempView(f"wh_{name}")
     return execute_safe_query(v.spark, sql, [f"wh_{n}" for n in names], max_rows).rows
@@ -23,7 +23,7 @@ def _guarded(v, sql, *names, max_rows=500):
 
 @query("sql_row_cap", "SELECT order_id, total_amount FROM v_orders ORDER BY total_amount DESC, order_id LIMIT 500")
 def _(v):
-    return _guarded(v, "SELECT order_id, total_amount FROM wh_orders ORDER BY total_amount DESC, order_id LIMIT 9000", "orders")
+    return _guarded(v, "SELECT order_id, total_amount FROM wh_orders ORDER BY total_amount DESC, order_id LIMIT 9000", "orders", max_rows=500)
 
 
 @query("sql_guarded_join", """
@@ -37,8 +37,7 @@ def _(v):
 
 @query("sql_cte_scalar_subquery", """
     SELECT customer_id, round(total, 2) AS total FROM (SELECT customer_id, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE)
-      AS total FROM v_orders GROUP BY 1) WHERE total > (SELECT max(total_amount) FROM v_orders) * 7
-    ORDER BY total DESC, customer_id LIMIT 500""")
+      AS total FROM v_orders GROUP BY 1) WHERE total > (SELECT max(total_amount) FROM v_orders) * 7""")
 def _(v):
     return _guarded(v, """WITH spent AS (SELECT customer_id, CAST(SUM(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total
         FROM wh_orders GROUP BY customer_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.functions.scoring import priority_score
-from opsloom.operators import rules
+from opsloom.operators import actions, rules
 from opsloom.operators.rules import Condition, Rule
 from opsloom.plans.registry import VIEW_SQL, query
 
@@ -21,11 +21,11 @@ def score_sql(points: str, impact: str, age: str, sla: str) -> str:
 
 def _rule_sql(rule, entity, table, severity, points, key, impact, date, sla, observed, where) -> str:
     age = f"greatest(0, date_sub('day', {date}, TIMESTAMP '{AS_OF}'))" if date else "CAST(0 AS BIGINT)"
-    title = f"'{rule}: {entity.capitalize()} #' || {key}"
+    title = f"'{rule}, {entity} ' || {key}"
     if impact != "0.0::DOUBLE":
-        title += f" || CASE WHEN {impact} > 0 THEN ' ($' || format('{{:,.2f}}', {impact}) || ')' ELSE '' END"
+        title += f" || CASE WHEN {impact} > 0 THEN ', worth ' || format('{{:,.2f}}', {impact}) ELSE '' END"
     return f"""SELECT '{rule}' AS rule_name, '{entity}' AS entity_type, CAST({key} AS VARCHAR) AS entity_id, '{severity}' AS severity,
-        {title} AS title, 'Triggered by rule ''{rule}'' on {table[2:]}' AS description, CAST({observed} AS VARCHAR) AS observed_value,
+        {title} AS title, 'all conditions of {rule} hold in {table[2:]}' AS description, CAST({observed} AS VARCHAR) AS observed_value,
         {impact} AS financial_impact, {age} AS age_days, {score_sql(points, impact, age, sla)} AS priority_score, 'OPEN' AS status
         FROM {table} WHERE {where}"""
 
@@ -140,6 +140,35 @@ def _(v):
     return rules.merge_exceptions(_stored(v), found).select("entity_id", "status", "age_days", "priority_score")
 
 
+# Recurrences of closed exceptions have ids of their own, so old decisions do not touch them.
+@query("rules_recurrence_ids", f"""
+    WITH found AS ({_DELAYED}) SELECT count(*) AS exceptions, count(*) AS ids, count(*) FILTER (again) AS recurring FROM (
+      SELECT entity_id, false AS again FROM v_stored UNION ALL SELECT f.entity_id, s.status = 'RESOLVED' AS again FROM found f
+      LEFT JOIN v_stored s ON s.entity_id = f.entity_id WHERE s.entity_id IS NULL OR s.status = 'RESOLVED')""")
+def _(v):
+    found = rules.evaluate_rules({"orders": v.orders}, [rules.DEFAULT_RULES[2]], AS_OF)
+    merged = rules.merge_exceptions(_stored(v), found)
+    first = rules.exception_id(F.col("rule_name"), F.col("entity_id"))
+    return merged.agg(F.count(F.lit(1)).alias("exceptions"), F.count_distinct("exception_id").alias("ids"),
+                      F.count(F.when(F.col("exception_id") != first, 1)).alias("recurring"))
+
+
+@query("rules_recurrence_proposals", f"""
+    WITH found AS ({_DELAYED}), again AS (SELECT f.* FROM found f JOIN v_stored s ON s.entity_id = f.entity_id WHERE s.status = 'RESOLVED')
+    SELECT entity_id, 'OPEN' AS status, 'To do: ' || title AS title FROM again ORDER BY priority_score DESC, rule_name, entity_id LIMIT 25""")
+def _(v):
+    """Merge, replay the old closing events, then propose: every first occurrence has an action already."""
+    stored = _stored(v)
+    found = rules.evaluate_rules({"orders": v.orders}, [rules.DEFAULT_RULES[2]], AS_OF)
+    merged = rules.merge_exceptions(stored, found)
+    closing = stored.filter("status = 'RESOLVED'").select("exception_id", "status", F.lit(AS_OF).cast("timestamp").alias("ts"))
+    now = rules.apply_status_events(merged, closing)
+    first = rules.exception_id(F.col("rule_name"), F.col("entity_id"))
+    proposed = actions.propose_actions(now, now.filter(F.col("exception_id") == first).select("exception_id"), k=25)
+    return proposed.join(now.select("exception_id", "entity_id", F.col("status").alias("state")), "exception_id").select(
+        "entity_id", F.col("state").alias("status"), "title")
+
+
 # Status events derived from the events stream: the user id stands for the entity.
 @query("rules_status_transitions", """
     WITH e AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, arg_max(CASE event_id % 4 WHEN 0 THEN 'ACKNOWLEDGED' WHEN 1 THEN 'RESOLVED'

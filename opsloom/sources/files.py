@@ -71,12 +71,13 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     return normalize_columns(df.select(*columns))
 
 
-def read_json_table(spark: SparkSession, path: str, multi_line: bool = True,
+def read_json_table(spark: SparkSession, path: str, multi_line: bool = False,
                     schema: T.StructType | str | None = None) -> DataFrame:
     """JSON list of objects, object holding such a list, or a single object.
 
     For an object, its first list-valued key is the table (Spark infers fields in
-    name order). ``multi_line=False`` reads newline-delimited JSON, which splits.
+    name order). The default reads newline-delimited JSON, which splits; ``multi_line=True``
+    reads a file that is one JSON value, in one task.
     """
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:

@@ -85,8 +85,10 @@ def query_table(spark: SparkSession, sql: str, args: dict | list | None = None)
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 
-def preview(df: DataFrame, rows: int = 20) -> DataFrame:
-    return nan_to_null(df).limit(rows)
+def preview(df: DataFrame, rows: int = 20, order_by: list[str] | None = None) -> DataFrame:
+    """Some rows of a table for a display; with ``order_by`` (unique ties) the first ones."""
+    shown = nan_to_null(df)
+    return (shown.orderBy(*order_by) if order_by else shown).limit(rows)
 
 
 def refresh_summary(previous: DataFrame, current: DataFrame) -> DataFrame:

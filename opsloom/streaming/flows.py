@@ -58,7 +58,10 @@ def windowed_kpi(source: DataFrame, ts: str, formulas: dict[str, Column], size:
 
 
 class ExceptionStore:
-    """Versions of the exception table under one folder; the newest complete version is the state."""
+    """A log of exception rows under one folder, one part per micro-batch; the newest row of an id is its state.
+
+    A batch only writes the exceptions that it touches. Parts of repeated batches are overwritten by themselves.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -66,18 +69,23 @@ class ExceptionStore:
         self._schema: T.StructType | None = None
 
     def read(self, before_batch: int) -> DataFrame | None:
-        """State left by the last batch before ``before_batch``."""
+        """State left by the batches before ``before_batch``."""
         if before_batch <= 0:
             return None
-        return self.spark.read.parquet(f"{self.path}/batch={before_batch - 1}")
+        log = self.spark.read.parquet(self.path).filter(F.col("batch") < before_batch)
+        columns = [c for c in log.columns if c != "batch"]
+        newest = log.groupBy("exception_id").agg(F.max_by(F.struct(*columns), "batch").alias("row"))
+        return newest.select("row.*")
 
     def merge(self, found: DataFrame, batch_id: int) -> None:
-        """Write the state after this batch. A repeated batch starts from the same
-        previous state and overwrites its own version, so a retry changes nothing."""
+        """Write the rows that this batch changes. A repeated batch starts from the same
+        previous state and overwrites its own part, so a retry changes nothing."""
+        key = ["rule_name", "entity_id"]
         previous = self.read(batch_id)
         if previous is None:
             previous = found.limit(0)
-        merge_exceptions(previous, found).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        touched = previous.join(found.select(*key).distinct(), key, "left_semi").select(*found.columns)
+        merge_exceptions(touched, found).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
 
 def continuous_rules(source: DataFrame, rules: Sequence[Rule], as_of: str, store: ExceptionStore,

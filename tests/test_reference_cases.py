@@ -237,7 +237,8 @@ def test_questions(spark):
         (101, "C1", 1200.0, "2026-01-05", "2026-01-09", "delayed"), (102, "C2", 4500.0, "2026-01-05", "2026-01-12", "delayed"),
         (103, "C1", 300.0, "2026-01-05", "2026-01-04", "delivered"), (104, "C3", 2800.0, "2026-01-05", "2026-01-10", "delayed"),
     ], "order_id long, customer_id string, amount double, promised_date string, delivery_date string, status string")
-    assert [r.order_id for r in cq.delayed_orders(orders).collect()] == [102, 104, 101]
+    assert [r.order_id for r in cq.delayed_orders(orders, k=10).collect()] == [102, 104, 101]
+    assert {r.order_id for r in cq.delayed_orders(orders).collect()} == {101, 102, 104}
     invoices = spark.createDataFrame([
         ("INV-1", "C1", 4200.0, "2025-11-01", "refund_pending"), ("INV-2", "C2", 1500.0, "2026-03-01", "pending"),
         ("INV-3", "C3", 8900.0, "2025-12-01", "overdue")],

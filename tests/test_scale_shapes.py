@@ -107,6 +107,8 @@ def test_forest_finds_planted_outliers_and_repeats(spark):
     again = isolation_forest_anomalies(df, ["a", "b", "c"], "t").toPandas()
     assert 0.04 <= len(first) / len(table) <= 0.06
     assert set(first["record_id"]) == set(again["record_id"])
+    spread = isolation_forest_anomalies(df.repartition(7), ["a", "b", "c"], "t").toPandas()
+    assert set(first["record_id"]) == set(spread["record_id"])
 
 
 def test_forest_with_few_rows(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opsloom.operators import audit
 from opsloom.operators import kpi
 from opsloom.operators.rules import Condition, Rule, evaluate_table_rules
-from opsloom.operators.safe_sql import UnsafeSqlError, execute_safe_query, validate_only, validate_sql
+from opsloom.operators.safe_sql import UnsafeSqlError, execute_safe_query, validate_formula, validate_only, validate_sql
 from opsloom.sources import files, tables
 from opsloom.streaming import flows
 
@@ -31,13 +31,13 @@ def test_json_shapes(spark, tmp_path):
     for name, value in shapes.items():
         path = tmp_path / f"{name}.json"
         path.write_text(json.dumps(value))
-        df = files.read_json_table(spark, str(path))
+        df = files.read_json_table(spark, str(path), multi_line=True)
         assert set(df.columns) == {"sku", "dims_w", "dims_size_h"}
         assert df.count() == (1 if name == "single" else 2)
     bad = tmp_path / "bad.json"
     bad.write_text("42")
     with pytest.raises(ValueError):
-        files.read_json_table(spark, str(bad))
+        files.read_json_table(spark, str(bad), multi_line=True)
 
 
 def test_text_documents_drop_bad_bytes(spark, tmp_path):
@@ -182,3 +182,15 @@ def test_exception_store_survives_a_repeated_batch(spark, tmp_path):
         store.merge(found([("b", 5000.0), ("c", 400.0)]), 1)
     state = {r.entity_id: r.priority_score for r in store.read(2).collect()}
     assert set(state) == {"a", "b", "c"} and state["b"] == 42.5
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT count(*) FROM IDENTIFIER('orders')", "SELECT * FROM IDENTIFIER('or' || 'ders')", "SELECT (SELECT max(amount) FROM IDENTIFIER('orders')) AS m",
+    "WITH c AS (SELECT * FROM IDENTIFIER('orders')) SELECT * FROM c", "SELECT * FROM IDENTIFIER('parquet.`/tmp/none`')",
+    "SELECT * FROM parquet.`/tmp/none`", "SELECT IDENTIFIER('abs')(1) AS a", "SELECT * FROM sql_keywords()"])
+def test_names_known_late_are_refused(spark, sql):
+    spark.range(1).createOrReplaceTempView("late_ok")
+    with pytest.raises(UnsafeSqlError):
+        validate_sql(spark, sql, ["late_ok"])
+    with pytest.raises(UnsafeSqlError):
+        validate_formula(spark, "(SELECT max(id) FROM IDENTIFIER('late_ok'))")
