@@ -16,6 +16,15 @@ from opsloom.session import cut_lineage
 
 # Rows per window task in rolling_rows.
 BLOCK_ROWS = 1_000_000
+# Parts into which the rows of a group are dealt for a join with one row per group.
+SALTS = 16
+
+
+def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Join rows with one row per group, each group dealt to ``SALTS`` parts by ``salt`` (repeatable, varied within a group)."""
+    parts = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("long"))
+    return dealt.join(parts, [*keys, "_salt"], how).drop("_salt")
 
 
 def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -89,7 +98,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     indexed = with_position(df, [*keys, *order], "_pos")
     starts = indexed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
     return (
-        indexed.join(starts, list(keys)).withColumn(name, F.col("_pos") - F.col("_start") + 1)
+        join_groups(indexed, starts, keys, F.col("_pos")).withColumn(name, F.col("_pos") - F.col("_start") + 1)
         .drop("_pos", "_start")
     )
 

@@ -21,12 +21,13 @@ FREQUENT_SHARES = 1000
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings: key, term, weight (tf * idf); norms: key, norm; vocabulary: term, df, idf.
+    """counts: key, term, tf; vocabulary: term, df, idf; postings: key, term, weight (tf * idf); norms: key, norm.
 
-    Weights are kept raw: only the chunks a query hits are divided by their norm,
-    so building the index needs no join of all postings with the norms.
+    Counts and vocabulary are written out. A query brings the idf of its own terms, so it reads
+    the counts alone; weights of all terms are only made for the norms.
     """
 
+    counts: DataFrame
     postings: DataFrame
     norms: DataFrame
     vocabulary: DataFrame
@@ -53,7 +54,7 @@ def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ..
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
                 stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> SearchIndex:
-    """TF-IDF index; its tables are written out, as every search reads them again.
+    """TF-IDF index; its counts and vocabulary are written out, as every search reads them again.
 
     Postings meet the vocabulary in two joins: the at most 1,000 terms that hold a
     large share of all postings are broadcast, so no shuffle partition gets a hot
@@ -73,9 +74,9 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
         key, "term", (F.col("tf") * F.col("_hot_idf")).alias("weight"))
     rest = with_hot.filter(F.col("_hot_idf").isNull()).join(cold, "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    postings = cut_lineage(frequent.unionByName(rest))
+    postings = frequent.unionByName(rest)
     norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return SearchIndex(postings, norms, vocabulary, key)
+    return SearchIndex(tf, postings, norms, vocabulary, key)
 
 
 def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str = "query_id", text: str = "query",
@@ -83,9 +84,9 @@ def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str = "qu
     """Unit-length term weights of each query; terms outside the vocabulary do not count."""
     tf = term_counts(queries, query_id, text, stop_words)
     # queries hold few of the terms, so their side is small whatever the vocabulary
-    raw = tf.join(vocabulary, "term").select(query_id, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    raw = tf.join(vocabulary, "term").select(query_id, "term", "idf", (F.col("tf") * F.col("idf")).alias("_w"))
     norms = raw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, query_id).select(query_id, "term", (F.col("_w") / F.col("_norm")).alias("query_weight"))
+    return raw.join(norms, query_id).select(query_id, "term", "idf", (F.col("_w") / F.col("_norm")).alias("query_weight"))
 
 
 def search(index: SearchIndex, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
@@ -96,8 +97,8 @@ def search(index: SearchIndex, queries: DataFrame, k: int = TOP_K, min_score: fl
     """
     key = index.key
     weights = query_weights(queries, index.vocabulary, stop_words=stop_words)
-    dots = index.postings.join(weights, "term").groupBy("query_id", key).agg(
-        F.sum(F.col("weight") * F.col("query_weight")).alias("_dot"))
+    dots = index.counts.join(weights, "term").groupBy("query_id", key).agg(
+        F.sum(F.col("tf") * F.col("idf") * F.col("query_weight")).alias("_dot"))
     scored = dots.join(index.norms, key).withColumn("_score", F.col("_dot") / F.col("norm")).filter(
         F.col("_score") > min_score)
     # rank by the score at nine digits, so noise of the summation order cannot swap equal chunks

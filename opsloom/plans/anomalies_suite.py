@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import anomaly as ad
 from opsloom.operators.forest import isolation_forest_anomalies
-from opsloom.plans.registry import query, sround
+from opsloom.plans.registry import VIEW_SQL, query, sround
 
 FLAT = ["table_name", "column_name", "method", "observed_value", "expected_min", "expected_max", "deviation",
         "deviation_percentage", "record_id", "date"]
@@ -111,6 +111,21 @@ _SCAN = " UNION ALL ".join(
         _rolling_sql("invoices", "v_invoices", column, "invoice_id", "issue_date")))
 
 
+# a second column that every other row lacks; each column's rows without a value are left out
+VIEW_SQL["v_halved_orders"] = "SELECT *, CASE WHEN order_id % 2 = 0 THEN total_amount / 2 END AS half FROM v_orders"
+_ALL = " UNION ALL ".join(part for c in ("total_amount", "half") for part in (
+    _z_sql("orders", "v_halved_orders", c, "order_id", "order_date", 1.7),
+    _iqr_sql("orders", "v_halved_orders", c, "order_id", "CAST(order_date AS VARCHAR)", 1.5),
+    _rolling_sql("orders", f"(SELECT * FROM v_halved_orders WHERE {c} IS NOT NULL)", c, "order_id", "order_date")))
+
+
+@query("anomaly_scan_all_methods", f"SELECT method, column_name, record_id, observed_value, deviation FROM ({_ALL})")
+def _(v):
+    table = v.orders.withColumn("half", F.when(F.col("order_id") % 2 == 0, F.col("total_amount") / 2))
+    found = ad.scan_anomalies(table, "orders", ["total_amount", "half"], method="all", threshold=1.7)
+    return found.filter("method <> 'isolation_forest'").select("method", "column_name", "record_id", "observed_value", "deviation")
+
+
 @query("anomaly_scan_table", f"SELECT table_name, column_name, method, record_id, observed_value, deviation FROM ({_SCAN})")
 def _(v):
     from functools import reduce
