@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.functions.columns import as_of_literal
 from opsloom.operators.ordering import with_position
 from opsloom.operators.safe_sql import validate_formula
 
@@ -179,6 +180,26 @@ def _board_row(m: Metric, trend: Column | None) -> Column:
         previous.alias("previous_value"), status_of(m, current).alias("status"), points.alias("points"))
 
 
+def calendar_compare(df: DataFrame, metric: Metric, as_of: str, period: str = "month") -> DataFrame:
+    """The formula over the calendar period that holds ``as_of`` and over the one before, with change and status, one row.
+
+    Only the rows of the two periods leave the scan.
+    """
+    start = F.date_trunc(period, as_of_literal(as_of))
+    step = F.expr({"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH",
+                   "year": "INTERVAL 1 YEAR"}[period])
+    time = F.col(metric.time_column)
+    value = _checked(df.sparkSession, metric)
+    by_period = df.filter((time >= start - step) & (time < start + step)).groupBy((time >= start).alias("_now")).agg(value.alias("_v"))
+    now = F.round(F.coalesce(F.max(F.when(F.col("_now"), F.col("_v"))), F.lit(0.0)), 2)
+    before = F.round(F.coalesce(F.max(F.when(~F.col("_now"), F.col("_v"))), F.lit(0.0)), 2)
+    both = by_period.agg(now.alias("current_value"), before.alias("previous_value"))
+    change = F.try_divide(F.col("current_value") - F.col("previous_value"), F.abs("previous_value")) * 100
+    return both.select(F.lit(metric.code).alias("code"), F.lit(period).alias("period"), "current_value", "previous_value",
+                       F.round(F.col("current_value") - F.col("previous_value"), 2).alias("abs_change"), F.round(change, 2).alias("pct_change"),
+                       status_of(metric, F.col("current_value")).alias("status"))
+
+
 def evaluate_metric(df: DataFrame, metric: Metric) -> DataFrame:
     return kpi_board({metric.source_table: df}, [metric])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from opsloom.operators import kpi
@@ -97,3 +99,21 @@ def _(v):
 @query("kpi_test_formula", "SELECT round(max(total_amount) - min(total_amount), 2) AS sample_result FROM v_orders")
 def _(v):
     return kpi.test_formula(v.orders, "round(max(total_amount) - min(total_amount), 2)")
+
+
+def _period_sql(code: str, table: str, formula: str, time: str, period: str, start: str, status: str) -> str:
+    at = f"TIMESTAMP '{start}'"
+    inside = lambda a, b: f"(SELECT round(coalesce(CAST({formula} AS DOUBLE), 0), 2) FROM {table} WHERE {time} >= {a} AND {time} < {b})"
+    return f"""SELECT '{code}' AS code, '{period}' AS period, cur AS current_value, prev AS previous_value, round(cur - prev, 2) AS abs_change,
+        round((cur - prev) / nullif(abs(prev), 0) * 100, 2) AS pct_change, {status} AS status
+        FROM (SELECT {inside(at, f"{at} + INTERVAL 1 {period}")} AS cur, {inside(f"{at} - INTERVAL 1 {period}", at)} AS prev)"""
+
+
+@query("kpi_calendar_compare", " UNION ALL ".join(
+    _period_sql(m[0], m[4], m[5], m[6], period, start, m[8]) for m in _METRICS[:4]
+    for period, start in (("month", "1997-05-01"), ("quarter", "1997-04-01"), ("year", "1997-01-01"))))
+def _(v):
+    tables, parts = _tables(v), []
+    for metric in kpi.default_kpis(AS_OF)[:4]:
+        parts += [kpi.calendar_compare(tables[metric.source_table], metric, "1997-05-17 10:00:00", p) for p in ("month", "quarter", "year")]
+    return reduce(lambda a, b: a.unionAll(b), parts)

@@ -85,16 +85,16 @@ def _(v):
 
 def _described(c: str) -> str:
     if c == "email":
-        return "'Sensitive customer or employee information: email'"
+        return "'personal data: email'"
     if c == "customer_id":
-        return "'Unique primary identifier for customers'"
+        return "'the key of customers'"
     if c == "credit_limit":
-        return ("'Operational numeric measure ranging from ' || (SELECT CAST(min(credit_limit) AS VARCHAR) || ' to ' || "
+        return ("'a number from ' || (SELECT CAST(min(credit_limit) AS VARCHAR) || ' to ' || "
                 "CAST(max(credit_limit) AS VARCHAR) FROM v_customers)")
     if c in ("tier", "status"):
-        return (f"'Categorical values including: ' || (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM (SELECT {c} AS x, count(*) AS n "
+        return (f"'one of: ' || (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM (SELECT {c} AS x, count(*) AS n "
                 f"FROM v_customers GROUP BY 1 ORDER BY n DESC, x LIMIT 4))")
-    return f"'Textual or descriptive details for {c}'"
+    return f"'free text: {c}'"
 
 
 @query("profile_descriptions", _union(
@@ -124,12 +124,12 @@ def _(v):
 @query("profile_entity_detection", _union(
     f"SELECT '{t}' AS table_name, '{e}' AS detected_entity, CAST({c} AS DOUBLE) AS entity_confidence, '{r}' AS entity_reason, "
     f"count(*) AS row_count FROM {view}" for t, e, c, r, view in [
-        ("customers", "Customers", 0.95, "Matched entity name ''Customers'' from table ''customers''", "v_customers"),
-        ("ledger", "Invoices", 0.84, "Inferred ''Invoices'' based on columns: invoice_id, due_date, unpaid_amount", "v_invoices"),
-        ("stock_levels", "Products", 0.9, "Inferred ''Products'' based on columns: product_id, product_name, sku", "v_inventory"),
-        ("helpdesk", "Tickets", 0.84, "Inferred ''Tickets'' based on columns: ticket_id, sla_deadline, priority", "v_support_tickets"),
-        ("misc", "Orders", 0.7, "Inferred ''Orders'' based on columns: order_id", "v_order_items"),
-        ("texts", "Operations Data", 0.5, "Generic operational table structure", "documents")]))
+        ("customers", "Customers", 0.95, "the name customers says Customers", "v_customers"),
+        ("ledger", "Invoices", 0.84, "columns of Invoices: invoice_id, due_date, unpaid_amount", "v_invoices"),
+        ("stock_levels", "Products", 0.9, "columns of Products: product_id, product_name, sku", "v_inventory"),
+        ("helpdesk", "Tickets", 0.84, "columns of Tickets: ticket_id, sla_deadline, priority", "v_support_tickets"),
+        ("misc", "Orders", 0.7, "columns of Orders: order_id", "v_order_items"),
+        ("texts", "Operations Data", 0.5, "nothing points to an entity", "documents")]))
 def _(v):
     from functools import reduce
     tables = {"customers": v.customers, "ledger": v.invoices, "stock_levels": v.inventory, "helpdesk": v.support_tickets,

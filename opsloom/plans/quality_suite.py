@@ -29,33 +29,33 @@ def _select(kind, column, severity, count, description, samples="''", table="v_d
 
 
 _MISSING = [_select("missing_value", c, "CASE WHEN pct > 20 THEN 'WARNING' ELSE 'INFO' END", f"count(*) - count({c})",
-                    f"'Column ''{c}'' has ' || n || ' missing values (' || pct || '%)'") for c in _COLUMNS if c != "order_id"]
+                    f"n || ' rows lack {c}, ' || pct || '% of all'") for c in _COLUMNS if c != "order_id"]
 _NULL_PK = _select("unexpected_null_pk", "order_id", "'CRITICAL'", "count(*) - count(order_id)",
-                   "'Primary key ''order_id'' contains unexpected nulls!'")
+                   "'the key order_id is null in some rows'")
 _DUP_PK = _select(
     "duplicate_pk", "order_id", "'CRITICAL'",
     "(SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM v_dirty_orders GROUP BY order_id))",
-    "'Primary key column ''order_id'' has ' || n || ' duplicate values violating uniqueness (' || pct || '%)'",
+    "n || ' rows repeat a value of the key order_id, ' || pct || '% of all'",
     "(SELECT string_agg(x, ' | ' ORDER BY o) FROM (SELECT CAST(order_id AS VARCHAR) AS x, order_id AS o FROM v_dirty_orders "
     "WHERE order_id IS NOT NULL GROUP BY order_id HAVING count(*) > 1 ORDER BY order_id LIMIT 5))")
 _NEGATIVE = _select("negative_value", "unit_price", "'CRITICAL'", "count(*) FILTER (unit_price < 0)",
-                    "'Column ''unit_price'' has ' || n || ' unexpected negative values'", _samples("unit_price", "unit_price < 0"))
+                    "'unit_price is below zero in ' || n || ' rows'", _samples("unit_price", "unit_price < 0"))
 _PERCENT = _select("impossible_pct", "discount_pct", "'WARNING'", "count(*) FILTER (discount_pct < 0 OR discount_pct > 100)",
-                   "'Column ''discount_pct'' has ' || n || ' impossible percentage values outside [0, 100.0]'",
+                   "'discount_pct is no share between 0 and 100 in ' || n || ' rows'",
                    _samples("discount_pct", "discount_pct < 0 OR discount_pct > 100"))
 _DATES = _select("invalid_date", "order_date", "'WARNING'", "count(*) FILTER (order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL)",
-                 "'Column ''order_date'' has ' || n || ' unparseable or invalid date values'",
+                 "'order_date cannot be read as a date in ' || n || ' rows'",
                  _samples("order_date", "order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL"))
 _GROUPS = """(SELECT norm, string_agg('''' || val || '''', ', ' ORDER BY val) AS vals
     FROM (SELECT DISTINCT status AS val, lower(trim(status)) AS norm FROM v_dirty_orders WHERE status IS NOT NULL) GROUP BY norm HAVING count(*) > 1)"""
 _CATEGORY = f"""SELECT 'dirty_orders' AS table_name, 'status' AS column_name, 'inconsistent_category' AS finding_type, 'WARNING' AS severity,
-    'Column ''status'' has inconsistent category casing or spacing: ' || (SELECT string_agg('[' || vals || '] -> ''' || norm || '''', ', ' ORDER BY norm)
+    'status spells a category in several ways: ' || (SELECT string_agg('[' || vals || '] -> ''' || norm || '''', ', ' ORDER BY norm)
        FROM {_GROUPS}) AS description,
     (SELECT count(*) FROM {_GROUPS}) AS affected_count,
     round(CAST((SELECT count(*) FROM {_GROUPS}) AS DOUBLE) / count(DISTINCT status) * 100, 2) AS affected_percentage,
     (SELECT string_agg('[' || vals || '] -> ''' || norm || '''', ' | ' ORDER BY norm) FROM {_GROUPS}) AS samples FROM v_dirty_orders"""
 _DUP_ROWS = """SELECT 'order_lines' AS table_name, CAST(NULL AS VARCHAR) AS column_name, 'duplicate_row' AS finding_type, 'WARNING' AS severity,
-    'Table has ' || n || ' identical duplicate rows (' || round(CAST(n AS DOUBLE) / t * 100, 2) || '%)' AS description, n AS affected_count,
+    n || ' rows repeat another row, ' || round(CAST(n AS DOUBLE) / t * 100, 2) || '% of all' AS description, n AS affected_count,
     round(CAST(n AS DOUBLE) / t * 100, 2) AS affected_percentage, '' AS samples
     FROM (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT order_id, line_no FROM v_order_items)) AS n, count(*) AS t FROM v_order_items)"""
 
@@ -63,7 +63,7 @@ _DUP_ROWS = """SELECT 'order_lines' AS table_name, CAST(NULL AS VARCHAR) AS colu
 def _orphans(source, column, target, target_column, source_view, target_view) -> str:
     lost = f"{column} IS NOT NULL AND {column} NOT IN (SELECT {target_column} FROM {target_view} WHERE {target_column} IS NOT NULL)"
     return f"""SELECT '{source}' AS table_name, '{column}' AS column_name, 'orphaned_fk' AS finding_type, 'CRITICAL' AS severity,
-        'Found ' || n || ' orphaned foreign keys in ''{source}.{column}'' referencing non-existent ''{target}.{target_column}'' (' || pct || '%)' AS description,
+        n || ' rows of {source} have a {column} that {target}.{target_column} lacks, ' || pct || '% of all' AS description,
         n AS affected_count, pct AS affected_percentage, samples FROM (SELECT count(*) FILTER ({lost}) AS n,
           round(CAST(count(*) FILTER ({lost}) AS DOUBLE) / count({column}) * 100, 2) AS pct,
           (SELECT string_agg(CAST({column} AS VARCHAR), ' | ' ORDER BY {column}) FROM (SELECT DISTINCT {column} FROM {source_view} WHERE {lost}

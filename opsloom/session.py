@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open_scopes: list[list[str]] = []
+
 
 def build_session(app_name: str = "opsloom", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -61,6 +64,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     column pruning and gives the planner real sizes, which a checkpointed RDD does not.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsloom-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "opsloom")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder. The folder goes when the driver ends, or with the
+    :func:`intermediate_tables` scope that it is made in."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession):
+    """Intermediate tables written inside are deleted at the end, so results must be collected or stored before."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            target, files = _file_system(spark, path)
+            files.delete(target, True)

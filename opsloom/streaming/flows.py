@@ -6,7 +6,6 @@ their checkpoint at the next start, so they can be scheduled or left running.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from opsloom.operators.rules import Rule, evaluate_table_rules, merge_exceptions
-from opsloom.session import ensure_checkpoint_dir
+from opsloom.session import scratch_folder
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one flow's state under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one flow's state under the shared checkpoint folder; it goes when the driver ends. A flow that is
+    to go on in another session needs a folder of its own."""
+    return scratch_folder(spark, name)
 
 
 def read_folder_stream(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
