@@ -16,7 +16,7 @@ from opsloom.operators import questions as cq
 from opsloom.operators import review as rv
 from opsloom.operators import rules
 from opsloom.plans import anomalies_suite, kpis_suite, quality_suite, rules_suite
-from opsloom.plans.documents_suite import corpus_index, questions
+from opsloom.plans.documents_suite import _top_hit, corpus_index, questions
 from opsloom.plans.registry import VIEW_SQL, query
 from opsloom.operators import search as se
 from opsloom.session import cut_lineage
@@ -165,9 +165,18 @@ def _(v):
     return dr.explained_share(dr.attribute_drivers(v.orders, "orders", "order_id"))
 
 
-@query("drivers_with_policy")
+_PROBLEM = "Why did refund approvals above the threshold increase?"
+VIEW_SQL["v_invoice_dimensions"] = _dimension_sql(list(enumerate(
+    ["invoice_id", "customer_id", "order_id", "issue_date", "due_date", "amount", "status"])), "v_invoices")
+
+
+@query("drivers_with_policy", f"""
+    WITH hit AS MATERIALIZED (SELECT policy, content FROM {_top_hit(_PROBLEM)}),
+    found AS MATERIALIZED ({_DRIVERS.replace("v_dimensions", "v_invoice_dimensions")})
+    SELECT dimension, rank, segment, volume, share_percentage, is_primary, policy, content AS policy_snippet,
+      segment || ' has ' || volume || ' of the invoices, ' || share_percentage || '%' AS explanation FROM found, hit""")
 def _(v):
-    problem = "Why did refund approvals above the threshold increase?"
+    problem = _PROBLEM
     table, metric = dr.investigation_target(problem, ["orders", "invoices"])
     chunks, index = corpus_index(v)
     hit = se.search(index, questions(v, {"q": problem}), k=1).join(chunks, "chunk_id").select(
