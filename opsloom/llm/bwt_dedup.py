@@ -357,7 +357,7 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 400, run: int | None = No
     """
     run = run or max(1, 3 * size // 4)
     # without nulls in the key, both joins below read the same shuffle of the texts
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
                         F.col("text").cast("string").alias("text"))
     rows = keyed.filter("NOT no_id AND text IS NOT NULL").select("doc", "text").mapInArrow(_anchor_rows(size, run), KEYED)
     ranged = "key long, doc long, lo long, hi long"

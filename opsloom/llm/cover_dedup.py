@@ -208,7 +208,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, period: int | None
     """
     period = period or period_for(size)
     # without nulls in the key, both joins below read the same shuffle of the texts
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
                         F.col("text").cast("string").alias("text"),
                         *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if rows else []))
     whole = ["row"] if rows else []
