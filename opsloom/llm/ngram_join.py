@@ -35,11 +35,11 @@ TILE_SETS, TILE_SHINGLES = 1024, 1_000_000
 #: Shingles that so many sets of a tile share are counted by matrix products, FEATURES at once; others pair by pair.
 DENSE, FEATURES = 32, 2048
 #: Elements in which linked sets may differ in a group, about, and in a small band.
-GROUP_DIFFERENCES, FEW = 16, 2
+GROUP_DIFFERENCES, FEW = 8, 2
 #: A sketch is this many bits, the rest of the word says how many bits may differ; all of these: any number.
 SKETCH_BITS, ANY = 58, 63
 #: Sets of one signature whose sketches are compared; more count as near each other until they are verified.
-MOST_COMPARED = 256
+MOST_COMPARED = 20_000
 
 
 def text_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
@@ -127,8 +127,24 @@ def near(value: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (allowed == ANY) | (np.bitwise_count((value ^ other) & U64((1 << SKETCH_BITS) - 1)) <= allowed)
 
 
+def near_forest(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, other node) that join the sets of one signature whose sketches are near, directly or through others."""
+    left, right, free = [], [], np.arange(len(node))
+    while len(free):
+        queue, root = [free[0]], node[free[0]]
+        free = free[1:]
+        while queue and len(free):
+            hit = near(value[queue.pop()], value[free])
+            found, free = free[hit], free[~hit]
+            queue.extend(found)
+            left.append(node[found])
+            right.append(np.full(len(found), root))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def near_sets(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smaller node) that join, within each signature, the sets whose sketches are near; rows are sorted by
+    """Edges (node, other node) that join, within each signature, the sets whose sketches are near; rows are sorted by
     signature and node. Of signatures with more than MOST_COMPARED sets all are joined."""
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(key)))
@@ -144,8 +160,7 @@ def near_sets(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.
         if c > MOST_COMPARED:
             found.append((node[own][1:], np.full(c - 1, node[a])))
         else:
-            edges = forest(near(value[own][:, None], value[own][None, :]), node[own])
-            found.append((np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)))
+            found.append(near_forest(value[own], node[own]))
     left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     other = left != right
     return tuple(np.unique(np.stack([left[other], right[other]]), axis=1))
