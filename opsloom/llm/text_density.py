@@ -25,7 +25,9 @@ from opsloom.llm.words import slices
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+HIDDEN_VALUE = re.compile(r"\saria-hidden\s*=\s*[\"']?true|\sstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noframes".split())
 #: Elements that are never main text.
@@ -46,7 +48,12 @@ UNWANTED = frozenset(
     "toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments respond replies disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login search form contentinfo "
     "complementary".split())
+#: Of these, what an element named article may be.
+UNWANTED_ARTICLES = frozenset("ad ads advert sponsored promo comment comments respond replies related recommended".split())
+#: A header by class is a page's, unless it is the header of one of these.
+OWN_HEADERS = frozenset("article entry post content title story".split())
 MARKS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+WHOLE_MARKS = re.compile(r"[^\s_-]+")
 
 
 class Page:
@@ -130,12 +137,20 @@ class Page:
     def _unwanted(self, name: str, rest: str, at: int) -> bool:
         if name in DROPPED or name == "header" and not self._inside(at, "article"):
             return True
-        if not rest or name in ("body", "article", "main"):
+        if not rest or name in ("body", "main"):
             return False
-        if HIDDEN.search(rest):
+        if HIDDEN_VALUE.search(rest) or HIDDEN.search(QUOTED.sub("", rest)):
             return True
-        marks = [m.lower() for a in ATTRIBUTE.finditer(rest) for m in MARKS.findall(a[2] or a[3] or a[4] or "")]
-        return any(m in UNWANTED for m in marks)
+        marks = set()
+        for found in ATTRIBUTE.finditer(rest):
+            value = found[2] or found[3] or found[4] or ""
+            marks.update(m.lower() for m in MARKS.findall(value))
+            marks.update(m.lower() for m in WHOLE_MARKS.findall(value))
+        if name == "article":
+            return not marks.isdisjoint(UNWANTED_ARTICLES)
+        if "header" in marks and marks.isdisjoint(OWN_HEADERS) and not self._inside(at, "article"):
+            return True
+        return not marks.isdisjoint(UNWANTED)
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each node, and the sum over its children; a run of text counts as a child. A node with

@@ -91,6 +91,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
      "Title here\n\nFirst paragraph, which is long enough to be text.\n\nSecond one, also long enough to be text.\n\nShort.\n\nitem one\n\nitem two"),
     ("<div><div><section><p>One paragraph that has a length.</p></section><section><p>Another paragraph that has a length.</p></section></div></div>",
      "One paragraph that has a length.\n\nAnother paragraph that has a length."),
+    ("<div class='site-header'><p>A header that is as long as any text here.</p></div><article><p title='a hidden gem'>Kept text.</p>"
+     "<p hidden>no</p><p style='color:red; display: none'>no</p><div class=sideBar>no</div><article class='comment'><p>no, a reader</p></article></article>",
+     "Kept text."),
+    ("<div class='entry-header'><h1>Name</h1></div><div class=entry><p>The text of the entry, long enough to win.</p><p>And more of it here.</p></div>",
+     "The text of the entry, long enough to win.\n\nAnd more of it here."),
     ("<p>unclosed <i>markup <b>text</i> here</p> tail", "unclosed markup text here\n\ntail"),
     ("", "")])
 def test_main_text(body, want):
