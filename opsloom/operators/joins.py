@@ -4,22 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opsloom.operators.ordering import join_groups
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str, unit: str = "month") -> DataFrame:
     """Pairs with ``start <= ts < end``, as an equi-join on calendar buckets.
 
     Each interval is copied to the buckets it covers, so an interval matches a
-    point in exactly one bucket and no pair is tested twice.
+    point in exactly one bucket and no pair is tested twice. The points of a bucket
+    are dealt to several parts, so a crowded month is not one task.
     """
     bucketed_points = points.withColumn("_bucket", F.date_trunc(unit, ts).cast("date"))
     covered = F.sequence(
         F.date_trunc(unit, start).cast("date"), F.date_trunc(unit, end).cast("date"), F.expr(f"interval 1 {unit}"))
     bucketed_intervals = intervals.withColumn("_bucket", F.explode(covered))
-    return (
-        bucketed_points.join(bucketed_intervals, "_bucket")
-        .filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_bucket")
-    )
+    joined = join_groups(bucketed_points, bucketed_intervals, ["_bucket"], _row_hash(points))
+    return joined.filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_bucket")
+
+
+def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with ``low <= value < high`` of numeric columns, as an equi-join on buckets of ``width``.
+
+    Choose ``width`` near the usual length of a range: a range is copied to each bucket it covers.
+    Null and empty ranges match nothing.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    filled = ranges.filter(F.col(low) < F.col(high))
+    copies = filled.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    joined = join_groups(points.withColumn("_bucket", bucket(value)), copies, ["_bucket"], _row_hash(points))
+    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
+
+
+def _row_hash(df: DataFrame):
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
 
 
 def case_insensitive_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -185,3 +185,18 @@ def _(v):
         "table_name string, column_name string, user_role string, user_description string, user_sensitive boolean")
     return pr.apply_overrides(pr.profile_columns(v.customers, "customers"), overrides).select(
         "table_name", "column_name", "effective_role", "effective_sensitive")
+
+
+_APPROXIMATED = ("order_id", "customer_id", "status", "order_date", "unit_price")
+
+
+@query("profile_approximate_counts", _union(
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, true AS near FROM v_dirty_orders" for c in _APPROXIMATED))
+def _(v):
+    """The sketch is random in its errors, so what is compared is that it comes within a tenth of the exact count."""
+    df = v.dirty_orders.select(*_APPROXIMATED)
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in _APPROXIMATED])
+    exact = exact.select(F.explode(F.create_map(*[x for c in _APPROXIMATED for x in (F.lit(c), F.col(c))])).alias("column_name", "exact"))
+    found = pr.approximate_profile(df, "dirty_orders").join(exact, "column_name")
+    return found.select("column_name", "row_count", "null_count",
+                        (F.abs(F.col("unique_count") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import as_of_literal, money_sum
-from opsloom.operators.joins import anti_join_keys, case_insensitive_join, interval_join
+from opsloom.operators.joins import anti_join_keys, case_insensitive_join, interval_join, range_join
 from opsloom.operators.ordering import rolling_rows, row_numbers
 from opsloom.operators.safe_sql import execute_safe_query
 from opsloom.plans.registry import query
@@ -185,6 +185,16 @@ def _(v):
     return joined.groupBy(F.date_format("starts", "yyyy-MM-dd").alias("quarter")).agg(F.count(F.lit(1)).alias("orders"))
 
 
+@query("rel_range_join_numbers", """
+    SELECT n_name AS band, count(*) AS orders, min(total_amount) AS least, max(total_amount) AS most FROM v_orders
+    JOIN nation ON total_amount >= n_nationkey * 20000 AND total_amount < n_nationkey * 20000 + 30000 GROUP BY 1""")
+def _(v):
+    low = F.col("n_nationkey").cast("double") * 20000
+    bands = v.raw("nation").select(F.col("n_name").alias("band"), low.alias("low"), (low + 30000).alias("high"))
+    joined = range_join(v.orders.select("order_id", "total_amount"), bands, "total_amount", "low", "high", 25000.0)
+    return joined.groupBy("band").agg(F.count(F.lit(1)).alias("orders"), F.min("total_amount").alias("least"), F.max("total_amount").alias("most"))
+
+
 @query("rel_group_by", """
     SELECT status, shipping_method, count(*) AS n, count(DISTINCT customer_id) AS customers,
       CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total, min(total_amount) AS low, max(total_amount) AS high
