@@ -152,7 +152,7 @@ def settle(batches):
 
 def _strings(batches):
     """The bytes of the ranges that are asked for: key, doc, lo, bytes."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "asked"))):
             data = text.encode()
@@ -325,7 +325,7 @@ def _split(strings: DataFrame, size: int, run: int, width: int) -> tuple[DataFra
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             data = (text or "").encode()

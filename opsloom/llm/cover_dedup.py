@@ -173,7 +173,7 @@ def _windows(size: int):
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         n_words, n_removed, kept = [], [], []
         for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             words = (text or "").encode().split()  # the six white-space bytes

@@ -40,6 +40,8 @@ GROUP_DIFFERENCES, FEW = 8, 2
 SKETCH_BITS, ANY = 58, 63
 #: Sets of one signature whose sketches are compared; more count as near each other until they are verified.
 MOST_COMPARED = 20_000
+#: Signatures that are worked on together before the shuffle.
+AT_ONCE = 1_000_000
 
 
 def text_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
@@ -180,26 +182,31 @@ def _keys(size: int):
 
 
 def _signed_sets(size: int, percent: int):
-    """Signature rows (key, node, value) of one batch, and edge rows (null, node, other) for its sets that are near. Of sets
-    with the same signature and sketch one leaves the batch, and of a signature with many sets one that is near to any."""
+    """Signature rows (key, node, value) of some texts, and edge rows (null, node, other) for their sets that are near. Of
+    sets with the same signature and sketch one leaves, and of a signature with many sets one that is near to any."""
     names = ["key", "node", "value"]
 
-    def run(batches):
+    def gathered(batches):
         bands = Bands(percent)
+        keys, nodes, values, seen, rows = [], [], [], set(), 0
         for batch in batches:
-            keys, nodes, values, seen = [], [], [], set()
             for _, elements in text_sets(batch, size):
-                if len(elements):
-                    node = set_key(elements)[0]
-                    if node not in seen:
-                        seen.add(node)
-                        own, value = bands.signatures(elements)
-                        keys.append(signed(own))
-                        values.append(value)
-                        nodes.append(np.full(len(own), node))
-            if not keys:
-                continue
-            key, node, value = np.concatenate(keys), np.concatenate(nodes), np.concatenate(values)
+                node = set_key(elements)[0]
+                if len(elements) and node not in seen:
+                    seen.add(node)
+                    own, value = bands.signatures(elements)
+                    keys.append(signed(own))
+                    values.append(value)
+                    nodes.append(np.full(len(own), node))
+                    rows += len(own)
+                if rows >= AT_ONCE:
+                    yield np.concatenate(keys), np.concatenate(nodes), np.concatenate(values)
+                    keys, nodes, values, seen, rows = [], [], [], set(), 0
+        if keys:
+            yield np.concatenate(keys), np.concatenate(nodes), np.concatenate(values)
+
+    def run(batches):
+        for key, node, value in gathered(batches):
             order = np.lexsort((node, key))
             left, right = near_sets(key[order], node[order], value[order])
             order = np.lexsort((node, value, key))
