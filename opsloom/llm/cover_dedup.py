@@ -8,6 +8,9 @@ Anchors that occur in several documents are extended in two steps. First to the
 where a smaller document has the same reach, every window in it is removed at once. What is left (the ends of matches)
 is extended window by window. Equal rows of a batch leave it once, so a passage in a third of all documents does not
 gather in one task.
+
+Ranges, lo to hi, are of window starts and not of words: ranges that are known from different smaller documents are joined
+where they touch, and no window may come to lie in a joined range that was in none of them.
 """
 
 from __future__ import annotations
@@ -88,9 +91,9 @@ def _anchors(size: int, period: int):
                 rolled = Rolling(words.hashes())
                 text, at = cover_positions(counts, words.first, size, period)
                 base, n = words.first[text], counts[text]
-                lo, hi = np.maximum(at - back, 0), np.minimum(at + size, n)
+                lo, hi = np.maximum(at - back, 0), np.minimum(at, n - size) + 1
                 # the anchor's place in its reach is part of the reach's hash
-                reach = mix(rolled.windows(base + lo, base + hi) + (at - lo).astype(U64), 4)
+                reach = mix(rolled.windows(base + lo, base + hi + size - 1) + (at - lo).astype(U64), 4)
                 found.append((rolled.windows(base + at, base + at + length), reach, ids[text], lo, hi))
             if found:
                 yield from combined(*map(np.concatenate, zip(*found)))
@@ -141,7 +144,7 @@ def _removed(fine: bool):
 
 
 def _windows(size: int):
-    """Window rows of the ranges that are asked for, without the windows that are removed already."""
+    """Window rows of the ranges that are asked for, without the windows that a smaller document is known to hold."""
     def run(batches):
         for batch in batches:
             found = []
@@ -154,46 +157,49 @@ def _windows(size: int):
                     for r in ranges[i]:
                         if r["fine"] and r["lo"] + size <= n:
                             mark[r["lo"]] += 1
-                            mark[min(r["hi"], n) - size + 1] -= 1
+                            mark[min(r["hi"], n - size + 1)] -= 1
                     wanted = np.cumsum(mark) > 0
                     for r in ranges[i]:
                         if not r["fine"]:
-                            wanted[r["lo"]:max(r["lo"], min(r["hi"], n) - size + 1)] = False
+                            wanted[r["lo"]:max(r["lo"], min(r["hi"], n - size + 1))] = False
                     at = np.flatnonzero(wanted)
                     hashes = rolled.windows(words.first[i] + at, words.first[i] + at + size)
                     # the second code, of the same words by another sum, makes 128 bits
                     found.append((hashes, ids[i], at, words.first[i] + at))
                 if found and len(found[-1]) == 4:
                     second = Rolling(mix(words.hashes(), 21))
-                    found = [f if len(f) == 5 else (f[0], second.windows(f[3], f[3] + size), np.full(len(f[2]), f[1]), f[2], f[2] + size)
+                    found = [f if len(f) == 5 else (f[0], second.windows(f[3], f[3] + size), np.full(len(f[2]), f[1]), f[2], f[2] + 1)
                              for f in found]
             if found:
                 yield from combined(*map(np.concatenate, zip(*found)))
     return run
 
 
-def _kept(batches):
-    for batch in (part for whole in batches for part in slices(whole)):
-        n_words, n_removed, kept = [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-            words = (text or "").encode().split()  # the six white-space bytes
-            n_words.append(len(words))
-            gone = 0
-            if ranges and words:
-                mark = np.zeros(len(words) + 1, np.int64)
-                for r in ranges:
-                    if r["lo"] < len(words):
-                        mark[r["lo"]] += 1
-                        mark[min(r["hi"], len(words))] -= 1
-                out = np.cumsum(mark[:-1]) > 0
-                gone = int(out.sum())
-                words = [words[i] for i in np.flatnonzero(~out)]
-            n_removed.append(gone)
-            kept.append(b" ".join(words).decode())
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "ranges")]
-        names = [c for c in batch.schema.names if c not in ("text", "ranges")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                          pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+def _kept(size: int):
+    """The words that no window of the ranges covers."""
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            n_words, n_removed, kept = [], [], []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+                words = (text or "").encode().split()  # the six white-space bytes
+                n_words.append(len(words))
+                gone = 0
+                if ranges and words:
+                    mark = np.zeros(len(words) + 1, np.int64)
+                    for r in ranges:
+                        if r["lo"] < len(words):
+                            mark[r["lo"]] += 1
+                            mark[min(r["hi"] + size - 1, len(words))] -= 1
+                    out = np.cumsum(mark[:-1]) > 0
+                    gone = int(out.sum())
+                    words = [words[i] for i in np.flatnonzero(~out)]
+                n_removed.append(gone)
+                kept.append(b" ".join(words).decode())
+            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "ranges")]
+            names = [c for c in batch.schema.names if c not in ("text", "ranges")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                                              pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+    return run
 
 
 def remove_repeated_windows(docs: DataFrame, size: int = 50, period: int | None = None, rows: bool = False) -> DataFrame:
@@ -226,4 +232,4 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, period: int | None
              .select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), *whole, "text", "ranges"))
     kept = T.StructType([f for f in found.schema if f.name not in ("text", "ranges")]
                         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return found.mapInArrow(_kept, kept)
+    return found.mapInArrow(_kept(size), kept)

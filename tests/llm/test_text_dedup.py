@@ -127,6 +127,18 @@ def test_cover_dedup(frame, size, period):
     assert found == brute_windows(rows, size)
 
 
+def test_cover_dedup_windows_across_two_earlier_documents(frame):
+    """Document 3 is made of parts of 1 and 2; the windows across its two parts start first in it, and 4 has them."""
+    w = sentence(random.Random(6), 600).split()
+    for first, second in ((200, 200), (200, 180), (230, 170)):  # parts that touch or overlap
+        rows = [(1, w[:first] + w[500:510]), (2, w[510:520] + w[second:400]), (3, w[:400]), (4, w[520:530] + w[160:240] + w[530:540])]
+        rows = [(doc, " ".join(text)) for doc, text in rows]
+        want = brute_windows(rows, 50)
+        assert want[3][1] == 400 and want[4][1] == 80
+        found = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeated_windows(frame(rows), 50).collect()}
+        assert found == want, (first, second)
+
+
 def test_covers_hold_every_difference():
     for period, cover in COVERS.items():
         for i in range(period):
