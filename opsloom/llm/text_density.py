@@ -6,7 +6,9 @@ main text. The least density on the path from it to the body is the threshold: b
 gives its own largest-sum subtree. If the leading node lies in an article element, that article is the main text.
 
 Elements that by name or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments take no part.
+comments take no part. A class, id or role says so by its head word alone ("site-nav", not "with-nav" or "nav-history"),
+and never of an element that holds a main, an h1 or an article. Words that also stand on wrappers of text ("widget") count
+for nothing on a page where they mark the largest density sum, unless an article or main with text stands beside it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from opsloom.llm.words import slices
 #: Markup: comments, declarations, instructions, tags (with quoted values, else up to the next >).
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 HIDDEN_VALUE = re.compile(r"\saria-hidden\s*=\s*[\"']?true|\sstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.I)
@@ -52,21 +54,54 @@ UNWANTED = frozenset(
 UNWANTED_ARTICLES = frozenset("ad ads advert sponsored promo comment comments respond replies related recommended".split())
 #: A header by class is a page's, unless it is the header of one of these.
 OWN_HEADERS = frozenset("article entry post content title story".split())
-MARKS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-WHOLE_MARKS = re.compile(r"[^\s_-]+")
+#: Of the unwanted words, those that also stand on wrappers of main text.
+WEAK = frozenset(
+    "banner sponsor sponsored promo promotion popup modal overlay sidebar aside widget topbar toolbar notice notices alert "
+    "disclaimer share sharing social related recommended newsletter subscribe subscription search form complementary".split())
+#: A header whose other words are all among these is the page's.
+PAGE_HEADERS = frozenset("site website web page global main top app blog portal sticky fixed mobile desktop primary secondary".split())
+#: Words after the head word that leave its meaning: parts, places and kinds of boxes.
+PARTS = frozenset(
+    "area articles bar block body bottom box button buttons card cards close col column container content count feed frame group "
+    "heading holder icon icons inner item items label left link links list media message module outer panel placeholder post posts "
+    "primary right row secondary section sections slot space stories strip text thread title toggle tools top unit wrap wrapper "
+    "zone".split())
+#: Words that turn a class into a statement about the element's surroundings or contents.
+STATES = frozenset("with without no not non has have hide show".split())
+CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def name_marks(name: str) -> set[str]:
+    """Unwanted words of a class, id or role whose head word is one of them; "header" for a page's header."""
+    name = name.split("--")[0]  # what follows is a variant of the block
+    pieces = [x for x in re.split("[-_]+", name) if x]
+    found: set[str] = set()
+    for words in ([x.lower() for x in pieces], [x.lower() for piece in pieces for x in CAMEL.findall(piece)]):
+        end = len(words)
+        while end > 1 and (words[end - 1] in PARTS or words[end - 1].isdigit()):
+            end -= 1
+        if not end or not STATES.isdisjoint(words[:end]):
+            continue
+        if words[end - 1] in UNWANTED:
+            found.update(UNWANTED.intersection(words))
+        elif words[end - 1] == "header" and PAGE_HEADERS.issuperset(words[:end - 1]) and OWN_HEADERS.isdisjoint(words):
+            found.add("header")
+    return found
 
 
 class Page:
     """The tree of one page in arrays; node 0 is the root. Nodes that take no part have no entry."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.items = ["html"], [-1], [[]]
+        self.tag, self.parent, self.items, self.marks = ["html"], [-1], [[]], [frozenset()]
         self._read(text)
+        self._cut_marked()
 
-    def _open(self, at: int, name: str) -> int:
+    def _open(self, at: int, name: str, marks: frozenset | set = frozenset()) -> int:
         self.tag.append(name)
         self.parent.append(at)
         self.items.append([])
+        self.marks.append(marks)
         self.items[at].append(len(self.tag) - 1)
         return len(self.tag) - 1
 
@@ -125,7 +160,10 @@ class Page:
                     skipped = [name]
                 self._open(at, "#cut" if name in BLOCKS else "#inline")
             else:
-                at = self._open(at, name)
+                marks = self._marks(name, found["rest"], at)
+                opened = self._open(at, name, marks)
+                if not (marks and found["rest"].endswith("/")):
+                    at = opened
         if done < len(text) and not skipped:
             self.items[at].append(text[done:])
 
@@ -135,22 +173,105 @@ class Page:
         return at >= 0
 
     def _unwanted(self, name: str, rest: str, at: int) -> bool:
+        """Whether an element takes no part by its name or because it is hidden."""
         if name in DROPPED or name == "header" and not self._inside(at, "article"):
             return True
         if not rest or name in ("body", "main"):
             return False
-        if HIDDEN_VALUE.search(rest) or HIDDEN.search(QUOTED.sub("", rest)):
-            return True
-        marks = set()
+        return bool(HIDDEN_VALUE.search(rest) or HIDDEN.search(QUOTED.sub("", rest)))
+
+    def _marks(self, name: str, rest: str, at: int) -> frozenset | set:
+        """Unwanted words that mark an element by its class, id or role; "main" for the role of that name."""
+        if not rest or name in ("body", "main", "h1"):
+            return frozenset()
+        names: list[str] = []
         for found in ATTRIBUTE.finditer(rest):
-            value = found[2] or found[3] or found[4] or ""
-            marks.update(m.lower() for m in MARKS.findall(value))
-            marks.update(m.lower() for m in WHOLE_MARKS.findall(value))
+            key = found[1].lower()
+            if key in ("class", "id", "role"):
+                value = (found[2] or found[3] or found[4] or "").split()
+                if key == "role" and "main" in value:
+                    return {"main"}
+                names += value
+        marks = set().union(*map(name_marks, names)) if names else set()
         if name == "article":
-            return not marks.isdisjoint(UNWANTED_ARTICLES)
-        if "header" in marks and marks.isdisjoint(OWN_HEADERS) and not self._inside(at, "article"):
-            return True
-        return not marks.isdisjoint(UNWANTED)
+            return marks & UNWANTED_ARTICLES
+        if "header" in marks and (self._inside(at, "article") or any(x.lower() in OWN_HEADERS for n in names for x in CAMEL.findall(n))):
+            marks.discard("header")
+        return marks
+
+    def _cut_marked(self) -> None:
+        """Takes out what is marked, first by words that are sure; the others are judged by the largest density sum."""
+        leads = [tag in ("main", "h1") or m == {"main"} or tag == "article" and not m for tag, m in zip(self.tag, self.marks)]
+        holds = [False] * len(self.tag)
+        for i in range(len(self.tag) - 1, 0, -1):
+            if leads[i] or holds[i]:
+                holds[self.parent[i]] = True
+        self.marks = [frozenset() if h or m == {"main"} else m for h, m in zip(holds, self.marks)]
+        if not any(self.marks):
+            return
+        self._cut([not WEAK.issuperset(m) for m in self.marks])
+        while any(self.marks):
+            sums = self.densities()[1]
+            best = max(range(self.tag.index("body") if "body" in self.tag else 0, len(sums)), key=lambda i: (sums[i], -i))
+            path = self._path(best)
+            if not any(self.marks[i] for i in path):
+                path = self._heaviest(best)
+            words = set().union(*(self.marks[i] for i in path))
+            if not words:
+                self._cut([bool(m) for m in self.marks])
+            elif self._text_beside(path, words):
+                self._cut([not m.isdisjoint(words) for m in self.marks])
+            else:
+                self.marks = [m if m.isdisjoint(words) else frozenset() for m in self.marks]
+
+    def _path(self, at: int) -> set[int]:
+        found = {at}
+        while at > 0:
+            at = self.parent[at]
+            found.add(at)
+        return found
+
+    def _chars(self, out: list[bool]) -> list[int]:
+        """Characters of each node outside links and outside the nodes of ``out``."""
+        skip = [o or tag == "a" for o, tag in zip(out, self.tag)]
+        for i in range(1, len(skip)):
+            skip[i] = skip[i] or skip[self.parent[i]]
+        chars = [0 if skip[i] else sum(len(" ".join(x.split())) for x in self.items[i] if isinstance(x, str)) for i in range(len(skip))]
+        for i in range(len(skip) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        return chars
+
+    def _heaviest(self, top: int) -> set[int]:
+        """Path of the marked node below ``top`` with the most characters, if such nodes hold more than half of them."""
+        marked = [bool(m) for m in self.marks]
+        below = [i == top for i in range(len(self.tag))]
+        for i in range(1, len(below)):
+            below[i] = below[i] or below[self.parent[i]]
+        whole = self._chars([False] * len(self.tag))
+        if 2 * self._chars(marked)[top] >= whole[top]:
+            return set()
+        return self._path(max((i for i in range(len(below)) if below[i] and marked[i]), key=lambda i: (whole[i], -i)))
+
+    def _text_beside(self, path: set[int], words: set[str]) -> bool:
+        """Whether an article or main off the path has text outside the elements that the words mark."""
+        chars = self._chars([not m.isdisjoint(words) for m in self.marks])
+        return any(chars[i] > 0 and i not in path and (self.tag[i] in ("article", "main")) for i in range(len(self.tag)))
+
+    def _cut(self, out: list[bool]) -> None:
+        """Empties nodes; what stands below them gets no entry."""
+        if not any(out):
+            return
+        number, kept = [-1] * len(out), []
+        for i in range(len(out)):
+            up = self.parent[i]
+            if up < 0 or number[up] >= 0 and not out[up]:
+                number[i] = len(kept)
+                kept.append(i)
+        tag, items = self.tag, self.items
+        self.parent = [number[self.parent[i]] if i else -1 for i in kept]
+        self.tag = [("#cut" if tag[i] in BLOCKS else "#inline") if out[i] else tag[i] for i in kept]
+        self.marks = [frozenset() if out[i] else self.marks[i] for i in kept]
+        self.items = [[] if out[i] else [x if isinstance(x, str) else number[x] for x in items[i]] for i in kept]
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each node, and the sum over its children; a run of text counts as a child. A node with

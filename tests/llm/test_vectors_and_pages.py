@@ -102,6 +102,45 @@ def test_main_text(body, want):
     assert main_text(PAGE % body) == want
 
 
+@pytest.mark.parametrize("wrapper", [
+    'div class="layout with-sidebar"', 'div id="page" class="no-sidebar"', 'div class="container has-banner"', 'div class="hasBanner"',
+    'section class="social-history"', 'div class="page--sidebar"', 'div class="modal-open"', 'div data-id="menu" data-role="navigation"',
+    'div title="a class=ad of its own"', 'div class="elementor-widget"', 'div class="widget"', 'div class="related"', 'div class="search"'])
+@pytest.mark.parametrize("text", ["<p>First of the text, which is long enough to win.</p><p>And more of it here, as long as that.</p>",
+                                  "<div><div><p>First of the text, which is long enough to win.</p></div><p>And more of it here, as long as that.</p></div>"])
+def test_main_text_in_a_wrapper(wrapper, text):
+    want = "First of the text, which is long enough to win.\n\nAnd more of it here, as long as that."
+    name = wrapper.split()[0]
+    assert main_text(PAGE % f"<{wrapper}>{text}<div class='social-links'>no</div></{name}><div class=footer-links>no</div>") == want
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar", "comments", "nav-wrapper", "promo", "site-header"])
+def test_marked_wrappers_of_the_page(name):
+    """No mark takes an article, main or h1 with it; beside an article or main it cuts, also the largest sum."""
+    text, long = "<p>Text of the page.</p>", "<p>Much longer text of something else that takes no part, and more of it.</p>"
+    assert main_text(PAGE % f"<div class='{name}'><article>{text}</article></div>") == "Text of the page."
+    assert main_text(PAGE % f"<div class='{name}'><main>{text}</main></div>") == "Text of the page."
+    assert main_text(PAGE % f"<div class='{name}'><h1>Name</h1>{text}{text}</div>") == "Name\n\nText of the page.\n\nText of the page."
+    assert main_text(PAGE % f"<article>{text}</article><div class='{name}'>{long}</div>") == "Text of the page."
+    assert main_text(PAGE % f"<main>{text}</main><div class='{name}'>{long}</div>") == "Text of the page."
+
+
+def test_marks_inside_and_beside_main():
+    text = "<p>Text of the page, in a box of its own.</p><p>And more of it here.</p>"
+    got = main_text(PAGE % f"<main><div class=widget>{text}</div></main><div class=promo><p>Much longer text of something else that takes no part.</p></div>")
+    assert got == "Text of the page, in a box of its own.\n\nAnd more of it here."
+    boxes = "".join(f"<div class=elementor-widget><p>Paragraph {i} of the page's text.</p></div>" for i in range(9))
+    want = "\n\n".join(f"Paragraph {i} of the page's text." for i in range(9))
+    assert main_text(PAGE % f"<div>{boxes}</div>") == main_text(PAGE % boxes) == want
+    assert main_text(PAGE % f"<main><h1>Name</h1>{boxes}</main>") == "Name\n\n" + want
+
+
+def test_headings_by_class():
+    text = "<p>The text of the section, long enough to win.</p><p>And more of it here, as long.</p>"
+    got = main_text(PAGE % f"<div id=text><div class='section-header'><h2>Heading</h2></div>{text}<div class='header'>no</div></div>")
+    assert got == "Heading\n\nThe text of the section, long enough to win.\n\nAnd more of it here, as long."
+
+
 def test_main_text_of_odd_pages(spark):
     pages = ["", None, "plain text", "<p>a", "<" * 3000, "<div>" * 20_000 + "deep", "<a href=x>only a link</a>", "<script>x", "</p></div>x", "<p>" + "word " * 100_000,
              "<p title='a>b'>q</p>", "<!-- open"]
