@@ -171,6 +171,21 @@ def _(v):
     return v.spark.createDataFrame(rows, "region string, kind string, accepted boolean, tables_read string, explained boolean")
 
 
+@query("sql_accepted", """
+    SELECT r_name AS region, 'filter' AS kind, count(status) AS n FROM region LEFT JOIN v_orders ON status <> r_name GROUP BY r_name
+    UNION ALL SELECT r_name, 'common_table', count(DISTINCT status) FROM region LEFT JOIN v_orders ON status > r_name GROUP BY r_name""")
+def _(v):
+    """Rows of each accepted statement, over all orders."""
+    v.orders.createOrReplaceTempView("guarded_orders")
+    counts = None
+    for r in v.raw("region").select("r_name").collect():  # the five regions
+        for kind in (k for k, (_, ok) in _STATEMENTS.items() if ok):
+            found = execute_safe_query(v.spark, _STATEMENTS[kind][0].format(r.r_name), ["guarded_orders"], max_rows=None)
+            one = found.rows.agg(F.lit(r.r_name).alias("region"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+            counts = one if counts is None else counts.unionAll(one)
+    return counts
+
+
 @query("sql_truncated", "SELECT count(*) AS all_rows, least(count(*), 500) AS shown, count(*) > 500 AS truncated FROM v_orders")
 def _(v):
     v.orders.createOrReplaceTempView("guarded_orders")
