@@ -68,3 +68,40 @@ kept AS (SELECT doc_id, sum(g) AS n_removed, string_agg(word, ' ' ORDER BY i) FI
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+OP12 = r"""
+WITH RECURSIVE
+steps AS (  -- crc32 by bytes: each byte's table entry is eight shifts of its value
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+bytes AS (
+    SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END)) AS b
+    FROM counted),
+hashed AS (
+    SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])),
+                     CAST(4294967295 AS BIGINT)) AS h FROM bytes, steps),
+varied AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM varied WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.d = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, max(m) AS m, min(other) FILTER (m = top) AS other
+    FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+    FROM words w LEFT JOIN best b USING (word)),
+follow(word, root, depth) AS (
+    SELECT word, word, 0 FROM formed
+    UNION ALL SELECT f.word, g.form, depth + 1 FROM follow f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(root, depth) FROM follow WHERE follow.word = f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near,
+       CAST(f.form_n AS BIGINT) AS form_n FROM formed f
+"""
