@@ -105,3 +105,22 @@ follow(word, root, depth) AS (
 SELECT f.word, f.form, (SELECT arg_max(root, depth) FROM follow WHERE follow.word = f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near,
        CAST(f.form_n AS BIGINT) AS form_n FROM formed f
 """
+
+OP11 = r"""
+WITH t AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w),
+len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len),
+m AS (SELECT doc_id, CAST(100 - 25 + ((25 * CAST(n AS BIGINT) * nd) // l) AS BIGINT) AS m FROM len, total),
+weight AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS wt FROM tf, total GROUP BY w, nd),
+q AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+score AS (
+    SELECT item_id, doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM q JOIN tf USING (w) JOIN weight USING (w) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

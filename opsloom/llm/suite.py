@@ -14,6 +14,7 @@ from opsloom.llm.cover_dedup import remove_repeated_windows
 from opsloom.llm.decontaminate import contaminated
 from opsloom.llm.language import identify
 from opsloom.llm.longest_match import token_counts
+from opsloom.llm.max_sketch import ranked_documents
 from opsloom.llm.near_vectors import near_vectors
 from opsloom.llm.neighbours import quality_scores
 from opsloom.llm.ngram_join import jaccard_components
@@ -76,6 +77,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, every=199)
 
@@ -83,9 +88,10 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op5_suffix_dedup, op6_substring_dedup,
-        op7_bpe, op8_quality, op9_decontamination, op10_token_counts, op12_spelling_groups)}
+        op7_bpe, op8_quality, op9_decontamination, op10_token_counts, op11_ranked_search, op12_spelling_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_near_vectors": oracles.OP2, "op4_ngram_jaccard_join": oracles.OP4, "op5_suffix_dedup": oracles.OP5,
-            "op6_substring_dedup": oracles.OP6, "op12_spelling_groups": oracles.OP12}
+            "op6_substring_dedup": oracles.OP6, "op11_ranked_search": oracles.OP11,
+            "op12_spelling_groups": oracles.OP12}

@@ -106,9 +106,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, apart: np.ndarray = IS_SPACE) -> Words:
+    """Words between bytes that ``apart`` marks."""
     data, bounds = text_bytes(texts)
-    inside = ~IS_SPACE[data]
+    inside = ~apart[data]
     before = np.zeros(len(data), bool)  # the byte before belongs to the same text and to a word
     after = np.zeros(len(data), bool)
     if len(data):
