@@ -18,6 +18,7 @@ from opsloom.llm.max_sketch import ranked_documents
 from opsloom.llm.near_vectors import near_vectors
 from opsloom.llm.neighbours import quality_scores
 from opsloom.llm.ngram_join import jaccard_components
+from opsloom.llm.skip_chain import KINDS, personal_spans, span_text
 from opsloom.llm.spelling import spelling_groups
 from opsloom.llm.tables import table
 from opsloom.llm.text_density import extract_main_text
@@ -85,10 +86,18 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, every=199)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    base = found.withColumn("base", F.filter("spans", lambda s: ~s["added"]))
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return base.select("doc_id", *counts, F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_near_vectors, op3_html_extraction, op4_ngram_jaccard_join, op5_suffix_dedup, op6_substring_dedup,
-        op7_bpe, op8_quality, op9_decontamination, op10_token_counts, op11_ranked_search, op12_spelling_groups)}
+        op7_bpe, op8_quality, op9_decontamination, op10_token_counts, op11_ranked_search, op12_spelling_groups,
+        op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
