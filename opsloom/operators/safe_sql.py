@@ -1,14 +1,17 @@
 """Guarded read-only SQL on top of ``spark.sql``.
 
-Spark's own parser does the reading: ``EXPLAIN EXTENDED`` parses without running
-anything, and the parsed plan tells which nodes and tables a statement uses.
+Spark's own parser and analyser do the reading; nothing is run. What is judged are the trees that they return, with every
+expression, subquery and common table in them, not the plans' printed text, which leaves out what is long.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,22 +31,22 @@ QUERY_NODES = frozenset(
     "UnresolvedWith LocalRelation OneRowRelation UnresolvedInlineTable WithWindowDefinition Offset OrderBy Join LateralJoin "
     "AsOfJoin Generate Pivot Unpivot Expand Window Sample UnresolvedHint UnresolvedRelation UnresolvedSubqueryColumnAliases "
     "UnresolvedTableValuedFunction Deduplicate Tail".split())
+# Expressions of a parsed plan that the analyser has still to look up.
+OPEN_EXPRESSIONS = frozenset(
+    "UnresolvedFunction UnresolvedAttribute UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedStarWithColumns UnresolvedAlias "
+    "UnresolvedOrdinal UnresolvedExtractValue UnresolvedGenerator UnresolvedRegex MultiAlias UnresolvedFieldName "
+    "UnresolvedInlineTable".split())
 # Table functions that make rows from their arguments alone.
 TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 # Leaves of an analysed plan that read nothing but given tables.
 HARMLESS_LEAVES = frozenset("OneRowRelation LocalRelation Range CTERelationRef UnionLoopRef".split())
-TABLE_FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
-LATE_IDENTIFIER = re.compile(r"(?i)withunresolvedidentifier")
-# SQL functions that run arbitrary JVM code.
-UNSAFE_FUNCTION = re.compile(r"'?\b(reflect|try_reflect|java_method)\(", re.IGNORECASE)
-NODE = re.compile(r"(Command|Statement|Into\w*|Drop\w*|Create\w*|Replace\w*|Alter\w*|Show\w*|Cache\w*|Uncache\w*|"
-                          r"Describe\w*|Truncate\w*|Merge\w*|Delete\w*|Update\w*|Insert\w*|Refresh\w*|Repair\w*|"
-                          r"Analyze\w*|Load\w*|Set\w*|Add\w*|Call|OverwriteByExpression|AppendData)$")
-# SQL functions that run arbitrary JVM code.
-UNSAFE_FUNCTION = re.compile(r"'?\b(reflect|try_reflect|java_method)\(", re.IGNORECASE)
-NODE = re.compile(r"^[\s:+\-]*'?([A-Za-z]\w*)")
-RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-CTE_NAMES = re.compile(r"\bCTE \[([^\]]*)\]")
+# Built-in functions that run any JVM code, and the expressions that run code which is not Spark's own.
+UNSAFE_FUNCTIONS = frozenset("reflect try_reflect java_method".split())
+FOREIGN_CODE = frozenset(
+    "CallMethodViaReflection TryReflect ScalaUDF PythonUDF PythonUDAF PythonUDTF ScalaUDAF ScalaAggregator TypedAggregateExpression "
+    "HiveSimpleUDF HiveGenericUDF HiveGenericUDTF HiveUDAFFunction V2ScalarFunction ApplyFunctionExpression V2Aggregator".split())
+EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+LINE = re.compile(r"^[\s:+\-]*'?([A-Za-z]\w*)")
 
 
 class UnsafeSqlError(ValueError):
@@ -80,60 +83,98 @@ class QueryResult:
         return self.uncapped.limit(self.max_rows + 1).count() > self.max_rows
 
 
-def _parsed_plan(spark: SparkSession, sql: str) -> list[str]:
+Node = dict  # of a plan: its class, the number of its children, and its fields
+
+
+def _name(node: Node) -> str:
+    return node["class"].rsplit(".", 1)[-1].rstrip("$")
+
+
+def _words(text: str) -> list[str]:
+    """The parts of a name as the tree shows them."""
+    return [part.strip().lower() for part in text.strip("[]").split(",")]
+
+
+def plan_nodes(tree, hides: Callable[[Node], bool] = lambda node: False) -> Iterator[Node]:
+    """All nodes and expressions of a plan, those in its fields, subqueries and common tables too. What stands below a node that
+    ``hides`` is left out."""
+    waiting = [tree]
+    while waiting:
+        part = waiting.pop()
+        if isinstance(part, dict):
+            waiting.extend(part.values())
+        elif isinstance(part, list) and part and isinstance(part[0], dict) and "class" in part[0]:
+            at = 0
+            while at < len(part):  # parents come before their children
+                node = part[at]
+                yield node
+                waiting.extend(value for value in node.values() if isinstance(value, (dict, list)))
+                at += 1
+                if hides(node):
+                    left = node["num-children"]
+                    while left:
+                        left += part[at]["num-children"] - 1
+                        at += 1
+        elif isinstance(part, list):
+            waiting.extend(part)
+
+
+def _parsed_plan(spark: SparkSession, sql: str) -> tuple[list, str]:
+    """The tree that Spark's parser makes of a statement, and its text."""
     try:
-        text = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return json.loads(plan.toJSON()), plan.toString()
     except PySparkException as error:
         raise UnsafeSqlError(f"SQL syntax error: {error}") from error
-    heading = "== Parsed Logical Plan =="
-    if not text.startswith(heading):
-        raise UnsafeSqlError("only SELECT queries can be run in read-only mode")
-    body = text[len(heading):].split("\n== Analyzed Logical Plan ==")[0]
-    return [line for line in body.splitlines() if line.strip()]
+    except RecursionError as error:
+        raise UnsafeSqlError("the statement is nested too deeply") from error
+
+
+@lru_cache
+def _own_functions(application: str) -> frozenset[str]:
+    spark = SparkSession.getActiveSession()
+    return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()) - UNSAFE_FUNCTIONS
+
+
+def _refuse_unknown(spark: SparkSession, nodes: list[Node]) -> None:
+    functions = _own_functions(spark.sparkContext.applicationId)
+    for node in nodes:
+        name = _name(node)
+        if not node["class"].startswith(EXPRESSIONS) and name not in QUERY_NODES and name not in OPEN_EXPRESSIONS:
+            if "UnresolvedIdentifier" in name:
+                raise UnsafeSqlError("names must be written out; IDENTIFIER(...) is not permitted")
+            raise UnsafeSqlError(f"{name} is not permitted in read-only mode")
+        if name == "UnresolvedFunction" and (called := _words(node["nameParts"])[-1]) not in functions:
+            raise UnsafeSqlError(f"function {called!r} is not permitted: it is not one of Spark's own, or it calls JVM code")
+        if name == "UnresolvedTableValuedFunction" and (called := _words(node["name"])[-1]) not in TABLE_FUNCTIONS:
+            raise UnsafeSqlError(f"table function {called!r} is not permitted")
+        if name in FOREIGN_CODE:
+            raise UnsafeSqlError("functions that call JVM code are not permitted")
 
 
-def _node_name(line: str) -> str:
-    match = NODE.match(line)
-    return match.group(1) if match else ""
+def _table_of(node: Node) -> str | None:
+    """The catalog's name for a view, or for a table that is read."""
+    entry = node.get("desc") or node.get("catalogTable") or node.get("tableMeta")
+    return entry["identifier"]["table"].lower() if isinstance(entry, dict) and "identifier" in entry else None
 
 
-def _refuse_unknown(lines: list[str]) -> None:
-    for line in lines:
-        node = _node_name(line)
-        if node not in QUERY_NODES:
-            raise UnsafeSqlError(f"{node or line.strip()} is not permitted in read-only mode")
-        if LATE_IDENTIFIER.search(line):
-            raise UnsafeSqlError("names must be written out; IDENTIFIER(...) is not permitted")
-        if UNSAFE_FUNCTION.search(line):
+def _check_analysed(df: DataFrame, available: set[str]) -> None:
+    """Everything that the analysed plan reads must stand below a permitted view, and everything that it calls outside of
+    them must be Spark's own. Functions are known here however they were named."""
+    tree = json.loads(df._jdf.queryExecution().analyzed().toJSON())
+    for node in plan_nodes(tree, lambda node: _name(node) == "View" and _table_of(node) in available):
+        name, table = _name(node), _table_of(node)
+        if name in FOREIGN_CODE:
             raise UnsafeSqlError("functions that call JVM code are not permitted")
-        for name in TABLE_FUNCTION.findall(line):
-            if name.strip().lower() not in TABLE_FUNCTIONS:
-                raise UnsafeSqlError(f"table function {name!r} is not permitted")
-
-
-def _check_leaves(df: DataFrame, available: set[str]) -> None:
-    """Everything that the analysed plan reads must stand below a permitted view."""
-    lines = [line for line in df._jdf.queryExecution().analyzed().treeString().splitlines() if line.strip()]
-    hidden = None  # indentation of the permitted view that the lines below belong to
-    for i, line in enumerate(lines):
-        depth = len(line) - len(line.lstrip(" :+-"))
-        if hidden is not None and depth > hidden:
-            continue
-        hidden = None
-        node = _node_name(line)
-        view = re.search(r"View \(`([^`]*)`", line)
-        if node == "SubqueryAlias" and i + 1 < len(lines):
-            alias = re.search(r"SubqueryAlias ([\w.`]+)", line).group(1).replace("`", "").split(".")[-1].lower()
-            below = re.search(r"View \(`([^`]*)`|^[\s:+\-]*Relation ([\w.]+)\[", lines[i + 1])
-            if below and alias in available:
-                hidden = depth
-            continue
-        if view:
-            if view.group(1).split(".")[-1].lower() not in available:
-                raise UnsafeSqlError(f"referenced table {view.group(1)!r} does not exist in the active data sources")
-            hidden = depth
-        elif not (i + 1 < len(lines) and len(lines[i + 1]) - len(lines[i + 1].lstrip(" :+-")) > depth) and node not in HARMLESS_LEAVES:
-            raise UnsafeSqlError(f"{node} is read, which is none of the active data sources")
+        if name == "View" and table not in available:
+            raise UnsafeSqlError(f"referenced table {table!r} does not exist in the active data sources")
+        if not node["num-children"] and not node["class"].startswith(EXPRESSIONS) and name not in HARMLESS_LEAVES and table not in available:
+            raise UnsafeSqlError(f"{name} is read, which is none of the active data sources")
+
+
+def _line_node(line: str) -> str:
+    match = LINE.match(line)
+    return match.group(1) if match else ""
 
 
 def _explain(lines: list[str], tables: list[str], max_rows: int | None) -> str:
@@ -143,7 +184,7 @@ def _explain(lines: list[str], tables: list[str], max_rows: int | None) -> str:
     phrases = {"Filter": "filters rows by {}", "Aggregate": "aggregates records by {}", "Sort": "orders results by {}"}
     seen: set[str] = set()
     for line in lines:
-        node = _node_name(line)
+        node = _line_node(line)
         rest = re.sub(r"^[\s:+\-]*'?\w+\s*", "", line).replace("'", "")
         if node == "GlobalLimit":
             wanted = re.match(r"\d+", rest)
@@ -174,24 +215,25 @@ def validate_sql(spark: SparkSession, sql: str, allowed_tables: list[str] | None
         if re.search(rf"(^|;)\s*{word}\s", text, re.IGNORECASE):
             raise UnsafeSqlError(f"prohibited operation {word!r} in read-only mode")
     text = re.sub(r"(?i)^explain(\s+(extended|formatted|codegen|cost))?\s+", "", text)
-    lines = _parsed_plan(spark, text)
-    if _node_name(lines[0]) not in QUERY_NODES:
-        raise UnsafeSqlError(f"only SELECT queries can be run in read-only mode, not {_node_name(lines[0])}")
-    _refuse_unknown(lines)
-    plan = "\n".join(lines)
+    tree, shown = _parsed_plan(spark, text)
+    if _name(tree[0]) not in QUERY_NODES:
+        raise UnsafeSqlError(f"only SELECT queries can be run in read-only mode, not {_name(tree[0])}")
+    nodes = list(plan_nodes(tree))
+    _refuse_unknown(spark, nodes)
     known = [t.name.lower() for t in spark.catalog.listTables()]
     available = {t.lower() for t in allowed_tables} if allowed_tables is not None else set(known)
-    ctes = {n.strip().lower() for names in CTE_NAMES.findall(plan) for n in names.split(",")}
+    ctes = {part["_1"].lower() for node in nodes for part in node.get("cteRelations") or []}
     # a CTE that hides a table outside the allow-list could still read it in its own body
     ctes -= {t for t in known if t not in available}
-    tables = sorted({".".join(p.strip().lower() for p in name.split(",")) for name in RELATION.findall(plan)} - ctes)
+    tables = sorted({".".join(_words(node["multipartIdentifier"])) for node in nodes if _name(node) == "UnresolvedRelation"} - ctes)
     for table in tables:
         if table not in available:
             raise UnsafeSqlError(f"referenced table {table!r} does not exist in the active data sources")
     try:
-        _check_leaves(spark.sql(text), available)  # a query is only analysed here
+        _check_analysed(spark.sql(text), available)  # a query is only analysed here
     except PySparkException:
         pass  # it reads nothing then; execution reports the error
+    lines = [line for line in shown.splitlines() if line.strip()]
     return ValidatedQuery(text, tables, _explain(lines, tables, max_rows), max_rows)
 
 
@@ -222,10 +264,13 @@ def validate_only(spark: SparkSession, sql: str, allowed_tables: list[str] | Non
 
 def validate_formula(spark: SparkSession, formula: str) -> str:
     """A metric formula must be a plain expression: no subquery, no statement."""
-    lines = _parsed_plan(spark, f"SELECT {formula} AS v")
-    if _node_name(lines[0]) not in ("Project", "Aggregate"):
+    tree, _ = _parsed_plan(spark, f"SELECT {formula} AS v")
+    if _name(tree[0]) not in ("Project", "Aggregate"):
         raise UnsafeSqlError("a formula must be a single expression")
-    _refuse_unknown(lines)
-    if any(RELATION.search(line) or _node_name(line) not in ("Project", "Aggregate", "OneRowRelation") for line in lines):
+    nodes = list(plan_nodes(tree))
+    _refuse_unknown(spark, nodes)
+    if any(_name(node) in QUERY_NODES and _name(node) not in ("Project", "Aggregate", "OneRowRelation") for node in nodes):
         raise UnsafeSqlError("a formula may not read tables")
+    if sum(_name(node) in QUERY_NODES for node in nodes) != len(tree):
+        raise UnsafeSqlError("a formula may not hold a query")
     return formula

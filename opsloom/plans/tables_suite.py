@@ -140,6 +140,7 @@ def _(v):
     return one.unionAll(two)
 
 
+_MANY = ", ".join(f"{i} AS c{i}" for i in range(40))
 # Statements about each region, and whether the guard lets them pass.
 _STATEMENTS = {
     "filter": ("SELECT order_id FROM guarded_orders WHERE status <> '{}' ORDER BY order_id", True),
@@ -153,7 +154,24 @@ _STATEMENTS = {
     "late_name_in_common_table": ("WITH c AS (SELECT * FROM IDENTIFIER('guarded_secret')) SELECT '{}' AS a FROM c", False),
     "file": ("SELECT '{}' AS a FROM parquet.`/tmp/none.parquet`", False),
     "java": ("SELECT java_method('java.lang.String', 'valueOf', '{}')", False),
+    "many_columns": (f"SELECT {_MANY}, '{{}}' AS z FROM guarded_orders", True),
+    "java_late_name": ("SELECT IDENTIFIER('java_method')('java.lang.String', 'valueOf', '{}') AS z FROM guarded_orders", False),
 }
+_JAVA = "java_method('java.lang.String', 'valueOf', '{}')"
+_STATEMENTS |= {kind: (text, False) for kind, text in {
+    "behind_columns": f"SELECT {_MANY}, {_JAVA} AS z FROM guarded_orders",
+    "behind_columns_late": f"SELECT {_MANY}, IDENTIFIER('reflect')('java.lang.String', 'valueOf', '{{}}') AS z FROM guarded_orders",
+    "behind_columns_file": f"SELECT {_MANY}, '{{}}' AS z FROM parquet.`/tmp/none.parquet`",
+    "behind_columns_table": f"SELECT {_MANY}, (SELECT max(r_name) FROM guarded_secret WHERE r_name = '{{}}') AS z FROM guarded_orders",
+    "java_in_subquery": f"SELECT status FROM guarded_orders WHERE status IN (SELECT {_JAVA} FROM guarded_orders)",
+    "java_in_scalar": f"SELECT {_MANY}, (SELECT max({_JAVA}) FROM guarded_orders) AS z FROM guarded_orders",
+    "java_in_common_table": f"WITH c AS (SELECT {_MANY}, {_JAVA} AS z FROM guarded_orders) SELECT c0 FROM c",
+    "java_in_order": f"SELECT {_MANY} FROM guarded_orders ORDER BY {', '.join(f'c{i}' for i in range(40))}, {_JAVA}",
+    "java_in_window": f"SELECT {_MANY}, sum(1) OVER (PARTITION BY {_JAVA}) AS z FROM guarded_orders",
+    "java_in_lateral": f"SELECT * FROM guarded_orders, LATERAL explode(array({_JAVA}))",
+    "java_qualified": "SELECT system.builtin.reflect('java.lang.String', 'valueOf', '{}') AS z FROM guarded_orders",
+    "unknown_function": "SELECT no_function_of_spark('{}') AS z FROM guarded_orders",
+}.items()}
 
 
 @query("sql_refusals", "SELECT r_name AS region, kind, accepted, CASE WHEN accepted THEN 'guarded_orders' END AS tables_read, accepted AS explained FROM region, (VALUES "
@@ -173,7 +191,8 @@ def _(v):
 
 @query("sql_accepted", """
     SELECT r_name AS region, 'filter' AS kind, count(status) AS n FROM region LEFT JOIN v_orders ON status <> r_name GROUP BY r_name
-    UNION ALL SELECT r_name, 'common_table', count(DISTINCT status) FROM region LEFT JOIN v_orders ON status > r_name GROUP BY r_name""")
+    UNION ALL SELECT r_name, 'common_table', count(DISTINCT status) FROM region LEFT JOIN v_orders ON status > r_name GROUP BY r_name
+    UNION ALL SELECT r_name, 'many_columns', (SELECT count(*) FROM v_orders) FROM region""")
 def _(v):
     """Rows of each accepted statement, over all orders."""
     v.orders.createOrReplaceTempView("guarded_orders")

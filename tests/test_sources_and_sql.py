@@ -194,3 +194,42 @@ def test_names_known_late_are_refused(spark, sql):
         validate_sql(spark, sql, ["late_ok"])
     with pytest.raises(UnsafeSqlError):
         validate_formula(spark, "(SELECT max(id) FROM IDENTIFIER('late_ok'))")
+
+
+MANY = ", ".join(f"{i} AS c{i}" for i in range(40))
+CALL = "java_method('java.lang.System', 'getProperty', 'user.name')"
+
+
+@pytest.mark.parametrize("sql", [
+    f"SELECT {MANY}, {CALL} AS z FROM orders",
+    f"SELECT {MANY}, IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.name') AS z FROM orders",
+    f"SELECT {MANY}, try_reflect('java.lang.System', 'getProperty', 'user.name') AS z FROM orders",
+    f"SELECT * FROM orders WHERE amount IN (SELECT {CALL} FROM orders)",
+    f"WITH c AS (SELECT {MANY}, {CALL} AS z FROM orders) SELECT c0 FROM c",
+    f"SELECT {MANY} FROM orders ORDER BY {CALL}",
+    f"SELECT {MANY}, transform(array(1), x -> {CALL}) AS z FROM orders",
+    f"SELECT {MANY}, CASE WHEN amount > 0 THEN {CALL} END AS z FROM orders GROUP BY ALL HAVING max(amount) > 0",
+    f"SELECT {MANY}, own_code(1) AS z FROM orders",
+])
+def test_refusals_behind_many_columns(spark, sql):
+    spark.createDataFrame([(1, 500.0)], "order_id int, amount double").createOrReplaceTempView("orders")
+    spark.udf.register("own_code", lambda x: x, "int")
+    with pytest.raises(UnsafeSqlError):
+        validate_sql(spark, sql, ["orders"])
+    assert validate_sql(spark, f"SELECT {MANY}, upper('a') AS z FROM orders", ["orders"]).referenced_tables == ["orders"]
+
+
+def test_view_of_foreign_code_may_be_read(spark):
+    """What the owner of a view computes in it is theirs to choose; the statement itself may not call it."""
+    spark.udf.register("own_code", lambda x: x, "int")
+    spark.range(3).selectExpr("own_code(CAST(id AS INT)) AS v").createOrReplaceTempView("with_code")
+    assert validate_only(spark, "SELECT sum(v) AS s FROM with_code", ["with_code"])["valid"]
+    assert not validate_only(spark, "SELECT own_code(v) AS s FROM with_code", ["with_code"])["valid"]
+
+
+def test_formula_refusals_behind_many_terms(spark):
+    long = " + ".join(f"amount * {i}" for i in range(60))
+    assert validate_formula(spark, f"sum({long})")
+    for bad in (f"sum({long}) + length({CALL})", f"sum({long}) + (SELECT 1)", "IDENTIFIER('java_method')('a', 'b')"):
+        with pytest.raises(UnsafeSqlError):
+            validate_formula(spark, bad)
