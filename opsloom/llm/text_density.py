@@ -2,12 +2,13 @@
 
 For every node of the page's tree: characters per tag, weighted by how few of the characters stand in links compared with
 the node and with the whole body. The densities of a node's children are summed; the node with the largest sum leads the
-main text. The least density on the path from it to the body is the threshold: below the body, every node at or above it
-gives its own largest-sum subtree. If the leading node lies in an article element, that article is the main text.
+main text. The least density on the path from it to the body is the threshold. It judges what stands around that path: below
+the main element, beside the outermost article, or else below the body. Text without links stays, other blocks where they
+reach the threshold; all articles there stay, and what is in them but lists of links below the threshold.
 
 Elements that by name or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
 comments take no part. A class, id or role says so by its head word alone ("site-nav", not "with-nav" or "nav-history"),
-and never of an element that holds a main, an h1 or an article. Words that also stand on wrappers of text ("widget") count
+and never of an element that holds a main, an h1 or the page's articles. Words that also stand on wrappers of text ("widget") count
 for nothing on a page where they mark the largest density sum, unless an article or main with text stands beside it.
 """
 
@@ -47,11 +48,11 @@ BARRIER = frozenset("html body div article section main table ul ol dl blockquot
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead topbar "
-    "toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments respond replies disqus "
+    "toolbar cookie cookies consent gdpr notice notices alert disclaimer comment comments respond responses replies feedback disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login search form contentinfo "
     "complementary".split())
 #: Of these, what an element named article may be.
-UNWANTED_ARTICLES = frozenset("ad ads advert sponsored promo comment comments respond replies related recommended".split())
+UNWANTED_ARTICLES = frozenset("ad ads advert sponsored promo comment comments respond responses replies feedback related recommended".split())
 #: A header by class is a page's, unless it is the header of one of these.
 OWN_HEADERS = frozenset("article entry post content title story".split())
 #: Of the unwanted words, those that also stand on wrappers of main text.
@@ -201,7 +202,12 @@ class Page:
 
     def _cut_marked(self) -> None:
         """Takes out what is marked, first by words that are sure; the others are judged by the largest density sum."""
-        leads = [tag in ("main", "h1") or m == {"main"} or tag == "article" and not m for tag, m in zip(self.tag, self.marks)]
+        under = [bool(m) and m != {"main"} for m in self.marks]
+        for i in range(1, len(under)):
+            under[i] = under[i] or under[self.parent[i]]
+        beside = any(tag in ("article", "main") and not u and c for tag, u, c in zip(self.tag, under, self._chars([False] * len(under))))
+        # an article saves the elements around it from their marks where no other stands outside of marked ones
+        leads = [tag in ("main", "h1") or m == {"main"} or tag == "article" and not m and not beside for tag, m in zip(self.tag, self.marks)]
         holds = [False] * len(self.tag)
         for i in range(len(self.tag) - 1, 0, -1):
             if leads[i] or holds[i]:
@@ -309,38 +315,59 @@ class Page:
             sums[self.parent[i]] += of[i]
         return of, [s if chars[i] > link_chars[i] else 0.0 for i, s in enumerate(sums)]
 
-    def main_nodes(self) -> list[int]:
-        """Roots of the subtrees that are the main text, in page order; none holds another."""
+    def _links(self) -> tuple[list[int], list[int], list[int]]:
+        """Of each node: characters of text, characters in links, and links."""
+        n = len(self.tag)
+        chars = [sum(len(" ".join(x.split())) for x in items if isinstance(x, str)) for items in self.items]
+        linked, links = [0] * n, [int(tag == "a") for tag in self.tag]
+        for i in range(n - 1, 0, -1):
+            if self.tag[i] == "a":
+                linked[i] = chars[i]
+            for of in (chars, linked, links):
+                of[self.parent[i]] += of[i]
+        return chars, linked, links
+
+    def main_nodes(self) -> list[bool]:
+        """Which nodes are main text, below the node that holds all of it.
+
+        The path from the node of the largest density sum to the body gives the threshold, its least density. The nodes that
+        are judged stand below the main element on that path, else beside the outermost article on it, else below the body.
+        What the path holds stays. What stands beside it stays where it has no links, or reaches the threshold, or is an
+        article; inside a main or an article that holds for all but lists of links below the threshold.
+        """
         of, sums = self.densities()
+        keep = [False] * len(sums)
         body = self.tag.index("body") if "body" in self.tag else 0
         best = max(range(body, len(sums)), key=lambda i: (sums[i], -i))
         if sums[best] <= 0:
-            return []
+            return keep
         path = [best]
         while path[-1] != body and self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
-        articles = [i for i in path if self.tag[i] == "article"]
-        if articles:
-            return [articles[-1]]
         threshold = min(of[i] for i in path)
-        # the largest-sum node of each subtree; children come after their parents
-        top = list(range(len(sums)))
-        for i in range(len(sums) - 1, 0, -1):
-            up = self.parent[i]
-            if sums[top[i]] > sums[top[up]]:
-                top[up] = top[i]
-        chosen, stack = set(), [body]
+        mains = [i for i in path if self._is_main(i)]
+        articles = [i for i in path if self.tag[i] == "article"]
+        region = mains[-1] if mains else self.parent[articles[-1]] if articles else body
+        chars, linked, links = self._links()
+        on_path, stack = set(path), [(region, bool(mains))]
         while stack:
-            i = stack.pop()
-            if of[i] >= threshold and sums[top[i]] > 0:
-                chosen.add(top[i])
-                stack.extend(x for x in self.items[i] if not isinstance(x, str))
-        covered = [False] * len(sums)
-        for i in range(1, len(sums)):
-            covered[i] = covered[self.parent[i]] or self.parent[i] in chosen
-        return sorted(i for i in chosen if not covered[i])
-
-    def blocks(self, roots: list[int]) -> list[str]:
+            i, inside = stack.pop()
+            keep[i] = True
+            inside = inside or self.tag[i] == "article"
+            for x in self.items[i]:
+                if isinstance(x, str):
+                    continue
+                listed = links[x] > 1 and 2 * linked[x] > chars[x] and of[x] < threshold
+                if x in on_path or not links[x] or self.tag[x] not in BLOCKS or not listed and (
+                        inside or of[x] >= threshold or self.tag[x] == "article" or self._is_main(x)):
+                    stack.append((x, inside))
+        return keep
+
+    def _is_main(self, i: int) -> bool:
+        return self.tag[i] == "main" or self.marks[i] == {"main"}
+
+    def blocks(self, keep: list[bool]) -> list[str]:
+        """Text of the kept nodes, in blocks."""
         found: list[str] = []
         held: list[str] = []
 
@@ -350,21 +377,20 @@ class Page:
             if block:
                 found.append(block)
 
-        for root in roots:
-            stack: list = [root]
-            while stack:
-                item = stack.pop()
-                if item is None:
+        stack: list = [keep.index(True)] if True in keep else []
+        while stack:
+            item = stack.pop()
+            if item is None:
+                flush()
+            elif isinstance(item, str):
+                held.append(html.unescape(item) if "&" in item else item)
+            else:
+                if self.tag[item] in BLOCKS or self.tag[item] == "#cut":
                     flush()
-                elif isinstance(item, str):
-                    held.append(html.unescape(item) if "&" in item else item)
-                else:
-                    breaks = self.tag[item] in BLOCKS or self.tag[item] == "#cut"
-                    if breaks:
-                        flush()
-                        stack.append(None)
+                    stack.append(None)
+                if keep[item]:
                     stack.extend(reversed(self.items[item]))
-            flush()
+        flush()
         return found
 
 

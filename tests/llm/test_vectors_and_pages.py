@@ -10,7 +10,7 @@ import pytest
 from opsloom.llm import near_vectors as vectors
 from opsloom.llm.decontaminate import MultiIndex, contaminated, drop_contaminated
 from opsloom.llm.near_vectors import linked, near_vectors, quantise
-from opsloom.llm.text_density import extract_main_text, main_text
+from opsloom.llm.text_density import Page, extract_main_text, main_text
 
 from conftest import sentence
 from test_text_dedup import roots
@@ -95,7 +95,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
      "<p hidden>no</p><p style='color:red; display: none'>no</p><div class=sideBar>no</div><article class='comment'><p>no, a reader</p></article></article>",
      "Kept text."),
     ("<div class='entry-header'><h1>Name</h1></div><div class=entry><p>The text of the entry, long enough to win.</p><p>And more of it here.</p></div>",
-     "The text of the entry, long enough to win.\n\nAnd more of it here."),
+     "Name\n\nThe text of the entry, long enough to win.\n\nAnd more of it here."),
     ("<p>unclosed <i>markup <b>text</i> here</p> tail", "unclosed markup text here\n\ntail"),
     ("", "")])
 def test_main_text(body, want):
@@ -141,6 +141,76 @@ def test_headings_by_class():
     assert got == "Heading\n\nThe text of the section, long enough to win.\n\nAnd more of it here, as long."
 
 
+LONG = "This sentence is one of a hundred characters and it stands for any sentence of a text on a web page. "
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<main><article><p>One. {LONG * 6}</p></article><article><p>Two. {LONG * 2}</p></article></main>", ["One.", "Two."]),
+    (f"<article><p>One. {LONG * 3}</p></article><article class='teaser'><p>Two. {LONG * 5}</p></article>", ["One.", "Two."]),
+    (f"<main><p class=lead>Lead. {LONG}</p><article><p>One. {LONG * 4}</p></article></main>", ["Lead.", "One."]),
+    (f"<main><h1>Title.</h1><article><p>One. {LONG * 4}</p></article></main>", ["Title.", "One."]),
+    (f"<article><p>One. {LONG * 3}</p></article><div class='reader-responses'><article><p>Two. {LONG * 9}</p></article></div>", ["One."]),
+    (f"<article><p>One. {LONG * 3}</p></article><div class='reader-responses'><p>Two. {LONG * 9}</p></div>", ["One."]),
+    (f"<article><p>One. {LONG * 3}</p></article><section class='user-feedback'><article><p>Two. {LONG * 9}</p></article></section>", ["One."]),
+    (f"<div class=a><p>One. {LONG * 5}</p><p>Two. {LONG * 5}</p></div><div class=b><p>Short.</p></div>", ["One.", "Two.", "Short."]),
+    (f"<article><p>One. {LONG * 3}</p><p>Two. {LONG} <a href=x>a link</a></p><p><a href=x>Three.</a></p></article>", ["One.", "Two.", "Three."]),
+    (f"<article><p>One. {LONG * 3}</p></article><div><a href=x>Two.</a> <a href=y>Three.</a> <a href=z>Four.</a></div>", ["One."]),
+    (f"<div><p>One. {LONG * 3}</p></div><div><ul><li><a href=x>Two.</a><li><a href=y>Three.</a></ul></div>", ["One."]),
+])
+def test_what_stands_beside_the_leading_text(body, want):
+    assert [block.split()[0] for block in main_text(PAGE % body).split("\n\n")] == want
+
+
+def test_densities_against_their_definition():
+    """Each node's density and density sum, worked out from its subtree alone, on all pages; and the leading node's threshold."""
+    import math
+
+    import pyarrow.parquet as pq
+
+    pages = [x for x in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist() if x]
+    pages += [PAGE % f"<main><p class=lead>{LONG}</p><article><p>{LONG * 4} <a href=x>a link in it</a></p></article></main><ul><li><a>x</a><li><a>y</a></ul>"]
+    for page in pages:
+        tree = Page(page)
+        of, sums = tree.densities()
+
+        def parts(i):
+            """All runs of text (with whether they stand in a link) and all elements below a node."""
+            texts, tags = [], []
+            for x in tree.items[i]:
+                if isinstance(x, str):
+                    texts.append((len(" ".join(x.split())), tree.tag[i] == "a"))
+                else:
+                    below, inner = parts(x)
+                    texts += [(n, link or tree.tag[i] == "a") for n, link in below]
+                    tags += [tree.tag[x], *inner]
+            return texts, tags
+
+        def density(i):
+            texts, tags = parts(i)
+            chars, linked = sum(n for n, _ in texts), sum(n for n, link in texts if link)
+            links = tags.count("a") + (tree.tag[i] == "a")
+            if not chars:
+                return 0.0
+            outside = max(chars - linked, 1)
+            base = math.log(max(chars / outside * linked + share * chars, 1) + math.e)
+            ratio = max(chars / max(linked, 1) * max(len(tags), 1) / max(links, 1), 1 if linked else 2)
+            return chars / max(len(tags), 1) * math.log(ratio) / math.log(base)
+
+        share = 0.0
+        whole, _ = parts(tree.tag.index("body"))
+        share = sum(n for n, link in whole if link) / max(sum(n for n, _ in whole), 1)
+        for i in range(len(tree.tag)):
+            assert of[i] == pytest.approx(density(i))
+            texts, _ = parts(i)
+            up = i
+            while up >= 0 and tree.tag[up] != "a":
+                up = tree.parent[up]
+            runs = 0.0 if up >= 0 else sum(n * math.log(max(n, 2)) / math.log(math.log(max(share * n, 1) + math.e))
+                                           for n in (len(" ".join(x.split())) for x in tree.items[i] if isinstance(x, str)) if n)
+            want = runs + sum(density(x) for x in tree.items[i] if not isinstance(x, str))
+            assert sums[i] == pytest.approx(want if any(n and not link for n, link in texts) else 0.0)
+
+
 def test_main_text_of_odd_pages(spark):
     pages = ["", None, "plain text", "<p>a", "<" * 3000, "<div>" * 20_000 + "deep", "<a href=x>only a link</a>", "<script>x", "</p></div>x", "<p>" + "word " * 100_000,
              "<p title='a>b'>q</p>", "<!-- open"]
