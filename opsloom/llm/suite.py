@@ -89,7 +89,7 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(table(spark, sf_dir, "documents"))
     base = found.withColumn("base", F.filter("spans", lambda s: ~s["added"]))
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return base.select("doc_id", *counts, F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
