@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.text import ENGLISH_STOP_WORDS, kept_terms, with_pairs
@@ -17,30 +17,42 @@ TOP_K = 4
 # A term is "frequent" when it holds at least this share of all postings, so there
 # are at most FREQUENT_SHARES of them.
 FREQUENT_SHARES = 1000
+# Bands of chunks for each doubling of their norm.
+BANDS_PER_DOUBLING = 2
+# Postings of a query's rarest terms that its threshold is taken from.
+LEAD_POSTINGS = 2000
+# Scores nearer than this to a bound count as reaching it.
+SLACK = 1e-7
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """counts: key, term, tf; vocabulary: term, df, idf; postings: key, term, weight (tf * idf); norms: key, norm.
+    """counts: key, term, h (the term's hash), tf; vocabulary: h, df, idf; norms: key, norm, or None.
 
-    Counts and vocabulary are written out. A query brings the idf of its own terms, so it reads
-    the counts alone; weights of all terms are only made for the norms.
+    Joins on terms run on their 64-bit hashes. The tables are written out. Without norms a search works out those of the chunks that it meets; with them
+    (:func:`with_norms`) it looks them up, which pays where most chunks are met or many searches follow.
     """
 
     counts: DataFrame
-    postings: DataFrame
-    norms: DataFrame
     vocabulary: DataFrame
+    norms: DataFrame | None = None
     key: str = "chunk_id"
 
+    def terms(self) -> DataFrame:
+        """term, df, idf."""
+        known = self.counts.groupBy("term", "h").agg(F.count(F.lit(1)).alias("df"))
+        return known.join(self.vocabulary.select("h", "idf"), "h").select("term", "df", "idf")
+
     def unit_postings(self) -> DataFrame:
-        """key, term and weight scaled to unit length per chunk."""
-        return self.postings.join(self.norms, self.key).select(
-            self.key, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+        """key, term and weight, of unit length per chunk."""
+        idf = self.vocabulary.select("h", "idf")
+        norms = self.norms or _norms(self.counts, self.vocabulary, self.key)
+        return self.counts.join(idf, "h").join(norms, self.key).select(
+            self.key, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
 def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """(key, term, tf) of single terms and neighbour pairs; each text is tokenised once.
+    """(key, term, tf, h) of single terms and neighbour pairs, h a hash of the term; each text is tokenised once.
 
     The texts are partitioned by key before they are taken apart: the count per
     (key, term) then needs no shuffle of the many more terms. The partition number is
@@ -49,58 +61,116 @@ def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ..
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokenised = texts.select(key, text).repartition(parts, key).select(key, kept_terms(F.col(text), stop_words).alias("_kept"))
     exploded = tokenised.select(key, F.explode(with_pairs(F.col("_kept"))).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("h", F.xxhash64("term"))
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
                 stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> SearchIndex:
-    """TF-IDF index; its counts and vocabulary are written out, as every search reads them again.
+    """TF-IDF index over all chunks, written to the shared folder. ``key`` is unique."""
+    counts = cut_lineage(term_counts(chunks, key, text, stop_words))
+    n = chunks.select(F.count(F.lit(1)).alias("n")).scalar()
+    vocabulary = counts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn(
+        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+    return SearchIndex(counts, cut_lineage(vocabulary), None, key)
+
 
-    Postings meet the vocabulary in two joins: the at most 1,000 terms that hold a
-    large share of all postings are broadcast, so no shuffle partition gets a hot
-    term, and the rest is an ordinary join.
+def _norms(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """key, norm of each chunk in ``counts``, from its counts and the vocabulary in one join.
+
+    The at most 1,000 terms that hold a large share of all postings are broadcast, and their rows go through the join under
+    a hash of their chunk's key, so no shuffle partition gets a hot term.
     """
-    tf = cut_lineage(term_counts(chunks, key, text, stop_words))
-    n = chunks.select(F.count(F.lit(1)).alias("n")).scalar()
-    frequencies = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = cut_lineage(frequencies.withColumn(
-        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
     total = vocabulary.agg(F.sum("df").alias("t")).scalar()
-    marked = vocabulary.withColumn("_hot", F.col("df") * FREQUENT_SHARES >= total)
-    hot = marked.filter("_hot").select("term", F.col("idf").alias("_hot_idf"))
-    cold = marked.filter("NOT _hot").select("term", "idf")
-    with_hot = tf.join(F.broadcast(hot), "term", "left")
-    frequent = with_hot.filter(F.col("_hot_idf").isNotNull()).select(
-        key, "term", (F.col("tf") * F.col("_hot_idf")).alias("weight"))
-    rest = with_hot.filter(F.col("_hot_idf").isNull()).join(cold, "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    postings = frequent.unionByName(rest)
-    norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return SearchIndex(tf, postings, norms, vocabulary, key)
+    hot = vocabulary.filter(F.col("df") * FREQUENT_SHARES >= total).select("h", F.col("idf").alias("_hot_idf"))
+    marked = counts.select("h", key, "tf").join(F.broadcast(hot), "h", "left")
+    rare = vocabulary.filter(F.col("df") * FREQUENT_SHARES < total).select(F.col("h").alias("_rare"), "idf")
+    joined = marked.join(rare, F.when(F.col("_hot_idf").isNull(), F.col("h")).otherwise(F.xxhash64(key)) == F.col("_rare"), "left")
+    weight = F.col("tf") * F.coalesce("_hot_idf", "idf")
+    return joined.groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+
+
+def with_norms(index: SearchIndex) -> SearchIndex:
+    """The index with the norms of all chunks written out."""
+    return replace(index, norms=cut_lineage(_norms(index.counts, index.vocabulary, index.key)))
 
 
 def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str = "query_id", text: str = "query",
                   stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Unit-length term weights of each query; terms outside the vocabulary do not count."""
+    """Unit-length term weights of each query, with the term's df and idf; terms outside the vocabulary do not count."""
     tf = term_counts(queries, query_id, text, stop_words)
     # queries hold few of the terms, so their side is small whatever the vocabulary
-    raw = tf.join(vocabulary, "term").select(query_id, "term", "idf", (F.col("tf") * F.col("idf")).alias("_w"))
+    raw = tf.join(vocabulary, "h").select(query_id, "h", "df", "idf", (F.col("tf") * F.col("idf")).alias("_w"))
     norms = raw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, query_id).select(query_id, "term", "idf", (F.col("_w") / F.col("_norm")).alias("query_weight"))
+    return raw.join(norms, query_id).select(query_id, "h", "df", "idf", (F.col("_w") / F.col("_norm")).alias("query_weight"))
+
+
+def _postings(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """h, key, weight (of unit length per chunk) and band of the postings of ``terms`` (h, idf). A band holds the chunks of
+    about one norm, so of about one length."""
+    key = index.key
+    met = index.counts.select("h", key, "tf").join(terms, "h")
+    if index.norms is None:
+        met = cut_lineage(met)
+        inside = index.counts.select("h", key, "tf").join(met.select(key).distinct(), key, "left_semi")
+        weight = F.col("tf") * F.col("idf")
+        norms = inside.join(index.vocabulary.select("h", "idf"), "h").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    else:
+        norms = index.norms
+    band = F.floor(F.log2("norm") * BANDS_PER_DOUBLING).cast("int")
+    return cut_lineage(met.join(norms, key).select("h", key, (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"), band.alias("band")))
+
+
+def _thresholds(weights: DataFrame, mine: DataFrame, key: str, k: int, min_score: float) -> DataFrame:
+    """query_id, reach: a score that the k-th best chunk of a query has at least, from its rarest terms alone.
+
+    They are taken while their postings are few; the k-th best sum over them can only grow with the rest.
+    """
+    rarest = Window.partitionBy("query_id").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    leads = weights.withColumn("_seen", F.sum("df").over(rarest)).filter(F.coalesce("_seen", F.lit(0)) < LEAD_POSTINGS)
+    sums = mine.join(leads.select("query_id", "h", "query_weight"), "h").groupBy("query_id", key).agg(
+        F.sum(F.col("weight") * F.col("query_weight")).alias("_sum"))
+    kth = first_per_group(sums, ["query_id"], [F.desc("_sum"), F.col(key)], k, "_rank").filter(F.col("_rank") == k)
+    known = weights.select("query_id").distinct().join(kth.select("query_id", "_sum"), "query_id", "left")
+    return known.select("query_id", F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(min_score)).alias("reach"))
+
+
+def candidates(index: SearchIndex, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
+               stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_id, band, key and the sum over essential terms of each pair that is to be scored; the queries' terms in each
+    band with their bounds; the postings of these terms)."""
+    key = index.key
+    weights = cut_lineage(query_weights(queries, index.vocabulary, stop_words=stop_words))
+    mine = _postings(index, weights.select("h", "idf").distinct())
+    reach = _thresholds(weights, mine, key, k, min_score)
+    tops = mine.groupBy("h", "band").agg(F.max("weight").alias("_top"))
+    bounded = weights.select("query_id", "h", "query_weight").join(tops, "h").withColumn("bound", F.col("query_weight") * F.col("_top"))
+    weakest = Window.partitionBy("query_id", "band").orderBy("bound", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = cut_lineage(bounded.join(reach, "query_id").withColumn(
+        "essential", F.sum("bound").over(weakest) >= F.col("reach") - SLACK).drop("_top"))
+    rest = marked.groupBy("query_id", "band").agg(
+        F.max("reach").alias("reach"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).alias("_rest"))
+    found = mine.join(marked.filter("essential").select("query_id", "h", "band", "query_weight"), ["h", "band"]).groupBy(
+        "query_id", "band", key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("_sum"))
+    hopeful = found.join(rest, ["query_id", "band"]).filter(F.col("_sum") + F.col("_rest") >= F.col("reach") - SLACK)
+    return cut_lineage(hopeful.select("query_id", "band", key, "_sum")), marked, mine
 
 
 def search(index: SearchIndex, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
            stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """The ``k`` best chunks per query with score and rank; ties by chunk key.
+    """The ``k`` best chunks per query with score and rank; ties by chunk key. Exact, for the whole batch of queries at once.
 
-    The whole batch of queries is one join on terms and one map-side combined sum.
+    A term's weight in a chunk is at most its largest in the chunk's band, so a query's weakest terms together cannot lift a
+    chunk of a band to the score that its k-th best has for sure (or to ``min_score``). Only chunks that hold one of the
+    other, essential terms are looked at, and of these only those whose sum with the bounds of the rest gets there are scored
+    in full.
     """
     key = index.key
-    weights = query_weights(queries, index.vocabulary, stop_words=stop_words)
-    dots = index.counts.join(weights, "term").groupBy("query_id", key).agg(
-        F.sum(F.col("tf") * F.col("idf") * F.col("query_weight")).alias("_dot"))
-    scored = dots.join(index.norms, key).withColumn("_score", F.col("_dot") / F.col("norm")).filter(
-        F.col("_score") > min_score)
+    hopeful, marked, mine = candidates(index, queries, k, min_score, stop_words)
+    others = hopeful.select("query_id", "band", key).join(
+        marked.filter("NOT essential").select("query_id", "band", "h", "query_weight"), ["query_id", "band"])
+    more = others.join(mine.drop("band"), ["h", key]).select("query_id", key, (F.col("weight") * F.col("query_weight")).alias("_sum"))
+    scored = hopeful.select("query_id", key, "_sum").unionByName(more).groupBy("query_id", key).agg(
+        F.sum("_sum").alias("_score")).filter(F.col("_score") > min_score)
     # rank by the score at nine digits, so noise of the summation order cannot swap equal chunks
     ranked = first_per_group(scored, ["query_id"], [F.desc(F.round("_score", 9)), F.col(key)], k, "rank")
     return ranked.select("query_id", key, "rank", F.round("_score", 3).alias("score"))

@@ -10,7 +10,7 @@ from opsloom.operators import documents as doc
 from opsloom.operators import search as se
 from opsloom.plans.policies import HYBRID_QUESTIONS, POLICIES, QUESTIONS
 from opsloom.plans.registry import VIEW_SQL, query
-from opsloom.session import cut_lineage
+from opsloom.session import cut_lineage, shared
 from opsloom.sources.tables import spread_scan
 
 
@@ -147,8 +147,17 @@ def _search_sql(questions: str, k: int) -> str:
 
 
 def corpus_index(v):
-    chunks = cut_lineage(doc.chunk_documents(corpus(v)))
-    return chunks, se.build_index(chunks)
+    """The corpus in chunks and their index, made once a session and folder and shared by all searches."""
+    def build():
+        chunks = cut_lineage(doc.chunk_documents(corpus(v)))
+        return chunks, se.build_index(chunks)
+    return shared(v.spark, "corpus_index", f"{v.directory}/documents.parquet", build)
+
+
+def normed_index(v):
+    """The same index with all norms, for searches that meet most chunks."""
+    _, index = corpus_index(v)
+    return shared(v.spark, "normed_index", f"{v.directory}/documents.parquet", lambda: se.with_norms(index))
 
 
 def questions(v, asked):
@@ -157,12 +166,12 @@ def questions(v, asked):
 
 @query("search_vocabulary", "SELECT term, df, round(idf, 6) AS idf FROM v_corpus_idf")
 def _(v):
-    return corpus_index(v)[1].vocabulary.withColumn("idf", F.round("idf", 6))
+    return corpus_index(v)[1].terms().withColumn("idf", F.round("idf", 6))
 
 
 @query("search_index_weights", "SELECT chunk_id, count(*) AS terms, round(sum(weight), 4) AS total_weight, round(max(weight), 6) AS top_weight FROM v_corpus_postings GROUP BY 1")
 def _(v):
-    return corpus_index(v)[1].unit_postings().groupBy("chunk_id").agg(
+    return normed_index(v).unit_postings().groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total_weight"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
@@ -184,7 +193,7 @@ def _(v):
 
 @query("search_benchmark_passages", _search_sql("SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark", 4))
 def _(v):
-    _, index = corpus_index(v)
+    index = normed_index(v)
     asked = v.raw("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     return se.search(index, asked, k=4)
 

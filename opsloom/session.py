@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _open_scopes: list[list[str]] = []
+_shared: dict[tuple, object] = {}
 
 
 def build_session(app_name: str = "opsloom", master: str | None = None,
@@ -85,6 +89,21 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared(spark: SparkSession, name: str, source: str, build: Callable[[], T]) -> T:
+    """What ``build`` makes of the files at ``source``: made once a session and state of the files, and kept until the driver
+    ends, also where an :func:`intermediate_tables` scope is open."""
+    target, files = _file_system(spark, source)
+    state = tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(target))
+    key = (spark.sparkContext.applicationId, name, source, state)
+    if key not in _shared:
+        scopes, _open_scopes[:] = _open_scopes[:], []
+        try:
+            _shared[key] = build()
+        finally:
+            _open_scopes[:] = scopes
+    return _shared[key]
+
+
 @contextmanager
 def intermediate_tables(spark: SparkSession):
     """Intermediate tables written inside are deleted at the end, so results must be collected or stored before."""
