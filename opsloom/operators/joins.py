@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.operators.ordering import join_groups
+from opsloom.operators.ordering import PART_ROWS, deal_parts, join_groups, range_sorted
+from opsloom.session import cut_lineage
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str, unit: str = "month") -> DataFrame:
@@ -24,17 +27,108 @@ def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str,
     return joined.filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_bucket")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with ``low <= value < high`` of numeric columns, as an equi-join on buckets of ``width``.
+def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float | None = None,
+               part_rows: int = PART_ROWS) -> DataFrame:
+    """Pairs with ``low <= value < high`` of numeric or timestamp columns, as an equi-join on buckets.
+
+    With ``width`` there is one size of bucket; choose it near the usual length of a range, as a range is copied to each
+    bucket that it covers. Without, every range goes to the buckets of its own length's power of two, of which it covers at
+    most two or three; a point looks into one bucket of each size that occurs. However mixed the lengths are, a range then
+    covers a good part of its buckets, so the pairs tested are few beside the pairs found.
+
+    Buckets with more than ``part_rows`` points or ranges are split on that side, and the other side is copied to the parts,
+    so that no task meets a hot bucket whole. Null, NaN and empty ranges, and null and NaN points, match nothing.
+    """
+    axis = lambda df, c: _axis(F.col(c), df.schema[c].dataType)
+    some = lambda c: c.isNotNull() & ~F.isnan(c)
+    at, start, end = axis(points, value), axis(ranges, low), axis(ranges, high)
+    filled = ranges.filter(some(start) & some(end) & (start < end))
+    given = points.filter(some(at))
+    if width is not None:
+        size = F.lit(float(width))
+        sized = filled.withColumn("_size", size)
+        looked = given.withColumn("_size", size)
+    else:
+        # an infinite length has one bucket, the whole axis
+        length = F.when(end - start < float("inf"), F.pow(F.lit(2.0), F.ceil(F.log2(end - start)))).otherwise(float("inf"))
+        sized = cut_lineage(filled.withColumn("_size", length))
+        # one row per power of two that occurs among doubles: 2,100 at most
+        sizes = sorted(r[0] for r in sized.select("_size").distinct().collect())
+        looked = given.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<double>")))
+    bucket = lambda c: F.when(F.col("_size") < float("inf"), F.floor(c / F.col("_size")).cast("long")).otherwise(F.lit(0).cast("long"))
+    copies = sized.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    looked = looked.withColumn("_bucket", bucket(at))
+    keys = ["_size", "_bucket"]
+    left, right = (F.broadcast(deal_parts(df, keys, part_rows).withColumnRenamed("_parts", name)) for df, name in ((looked, "_p"), (copies, "_r")))
+    parts = lambda name: F.coalesce(name, F.lit(1).cast("long"))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), parts(name) - 1))
+    looked = (looked.join(left, keys, "left").join(right, keys, "left")
+              .withColumn("_i", F.pmod(_row_hash(points), parts("_p"))).withColumn("_j", every("_r")).drop("_p", "_r"))
+    copies = (copies.join(left, keys, "left").join(right, keys, "left")
+              .withColumn("_j", F.pmod(_row_hash(ranges), parts("_r"))).withColumn("_i", every("_p")).drop("_p", "_r"))
+    joined = looked.join(copies, [*keys, "_i", "_j"])
+    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(*keys, "_i", "_j")
+
+
+def _axis(column, kind: T.DataType):
+    """A number to measure lengths by: timestamps and dates in microseconds."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    return column.cast("double")
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie: Sequence[str] = (),
+               prefix: str = "", within: str | None = None) -> DataFrame:
+    """Every row of ``left`` with the last row of ``right`` of the same keys whose time is not after its own, or nulls.
+
+    Of right rows with one time the last by ``tie`` counts (by content where that leaves several). ``within`` is the longest
+    time back, as an interval ("7 days"). Columns of ``right`` but its keys follow, with ``prefix`` before their names. Null
+    keys and times match nothing.
 
-    Choose ``width`` near the usual length of a range: a range is copied to each bucket it covers.
-    Null and empty ranges match nothing.
+    Both sides are sorted together by key and time over range partitions, so a hot key is spread over many. Inside a partition
+    the last right row is carried forward; over the borders it goes by one row per partition.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    filled = ranges.filter(F.col(low) < F.col(high))
-    copies = filled.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    joined = join_groups(points.withColumn("_bucket", bucket(value)), copies, ["_bucket"], _row_hash(points))
-    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
+    names = {f.name: prefix + f.name for f in right.schema.fields if f.name not in keys}
+    if clash := set(names.values()) & set(left.columns):
+        raise ValueError(f"columns of both sides are named {sorted(clash)}; give a prefix")
+    row = lambda df, names: F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    whole = {c: c for c in left.columns}
+    usable = F.lit(True)
+    for c in [*keys, left_time]:
+        usable = usable & F.col(f"`{c}`").isNotNull()
+    key = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keys)]
+    by = [f"_k{i}" for i in range(len(keys))]
+    kind = left.schema[left_time].dataType
+    order_of = F.struct(*[F.col(f"`{c}`") for c in tie]) if tie else F.lit(0)
+    ours = left.filter(usable).select(*key, F.col(left_time).alias("_t"), row(left, whole).alias("_l"))
+    theirs = right.select(*key, F.col(right_time).cast(kind).alias("_t"), order_of.alias("_tie"), row(right, names).alias("_r"))
+    for c in [*by, "_t"]:
+        theirs = theirs.filter(F.col(c).isNotNull())
+    both = theirs.withColumn("_side", F.lit(0)).unionByName(ours.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    # equal times: right rows first; the content spreads rows that are equal in all else
+    both = both.withColumn("_spread", F.xxhash64(F.coalesce(F.to_json("_l"), F.to_json("_r"))))
+    order = [F.col(c) for c in (*by, "_t", "_side", "_tie", "_spread")]
+    sorted_rows = range_sorted(both, order)
+    seen = Window.partitionBy("_part", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = sorted_rows.withColumn("_found", F.last("_r", ignorenulls=True).over(seen))
+    # of each partition: the last right row of its last key, for the partitions that go on with that key
+    ends = sorted_rows.groupBy("_part").agg(
+        F.min_by(F.struct(*by), "_mid").alias("_first"), F.max_by(F.struct(*by), "_mid").alias("_key"))
+    tails = sorted_rows.filter("_side = 0").join(F.broadcast(ends.select("_part", "_key")), "_part").filter(F.struct(*by) == F.col("_key")).groupBy(
+        "_part").agg(F.max_by("_r", "_mid").alias("_tail"))
+    steps = ends.join(tails, "_part", "left")
+    marks = steps.select("_part", "_key", "_tail", F.lit(1).alias("_at")).unionByName(
+        steps.select("_part", F.col("_first").alias("_key"), F.lit(None).cast(steps.schema["_tail"].dataType).alias("_tail"), F.lit(0).alias("_at")))
+    before = Window.partitionBy("_key").orderBy("_part", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    brought = marks.withColumn("_brought", F.last("_tail", ignorenulls=True).over(before)).filter("_at = 0").select("_part", "_key", "_brought")
+    # one row per range partition, so the broadcast is bounded
+    joined = carried.filter("_side = 1").withColumn("_key", F.struct(*by)).join(F.broadcast(brought), ["_part", "_key"], "left")
+    found = F.coalesce("_found", "_brought")
+    if within is not None:
+        found = F.when(found.getField(names[right_time]).cast(kind) >= F.col("_t") - F.expr(f"interval {within}"), found)
+    matched = joined.select("_l.*", found.alias("_m"))
+    rest = left.filter(~usable).withColumn("_m", F.lit(None).cast(matched.schema["_m"].dataType))
+    return matched.unionByName(rest).select(*whole, *[F.col("_m").getField(n).alias(n) for n in names.values()])
 
 
 def _row_hash(df: DataFrame):

@@ -16,18 +16,32 @@ from opsloom.session import cut_lineage
 
 # Rows per window task in rolling_rows.
 BLOCK_ROWS = 1_000_000
-# Parts into which the rows of a group are dealt for a join with one row per group.
-SALTS = 16
+# Rows of a group that meet its one row in one task; larger groups are dealt to parts of about so many rows.
+PART_ROWS = 1_000_000
 
 
-def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner") -> DataFrame:
-    """Join rows with one row per group, each group dealt to ``SALTS`` parts by ``salt`` (repeatable, varied within a group)."""
-    parts = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    dealt = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("long"))
+def deal_parts(rows: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """keys and ``_parts`` of the groups beyond ``part_rows`` rows: at most one row for each ``part_rows`` rows."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dealt"))
+    return sizes.filter(F.col("_dealt") > part_rows).select(*keys, F.ceil(F.col("_dealt") / part_rows).cast("long").alias("_parts"))
+
+
+def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner",
+                part_rows: int = PART_ROWS) -> DataFrame:
+    """Join rows with few rows per group. Only the rows of groups beyond ``part_rows`` are dealt to parts, in proportion to
+    their number, by ``salt`` (repeatable, varied within a group); only the rows of ``per_group`` that meet them are copied.
+
+    The hot groups are found by a count that is combined before the shuffle, and broadcast: one row for each ``part_rows``
+    rows at most.
+    """
+    hot = F.broadcast(deal_parts(rows, keys, part_rows))
+    last = F.coalesce("_parts", F.lit(1).cast("long")) - 1
+    parts = per_group.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_parts")
+    dealt = rows.join(hot, list(keys), "left").withColumn("_salt", F.pmod(salt, last + 1).cast("long")).drop("_parts")
     return dealt.join(parts, [*keys, "_salt"], how).drop("_salt")
 
 
-def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Globally sorted, with ``_part`` = range partition number, written out.
 
     The checkpoint pins the partition layout: the per-partition totals and the
@@ -45,7 +59,7 @@ def with_position(df: DataFrame, order: Sequence[str | Column], position: str =
     per-partition counts are windowed on one task: one row per range partition.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    pinned = _range_sorted(df, cols)
+    pinned = range_sorted(df, cols)
     counts = pinned.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -122,7 +136,7 @@ def exact_quantiles(
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    pinned = _range_sorted(counted, [F.col(k) for k in keys] + [F.col("_v")]).drop("_mid")
+    pinned = range_sorted(counted, [F.col(k) for k in keys] + [F.col("_v")]).drop("_mid")
     per_part = pinned.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in_part"))
     # one row per (group, partition it spans): a hot group has at most #partitions rows
     spans = Window.partitionBy(*keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import as_of_literal, money_sum
-from opsloom.operators.joins import anti_join_keys, case_insensitive_join, interval_join, range_join
+from opsloom.operators.joins import anti_join_keys, as_of_join, case_insensitive_join, interval_join, range_join
 from opsloom.operators.ordering import rolling_rows, row_numbers
 from opsloom.operators.safe_sql import execute_safe_query
 from opsloom.plans.registry import query
@@ -195,6 +195,53 @@ def _(v):
     return joined.groupBy("band").agg(F.count(F.lit(1)).alias("orders"), F.min("total_amount").alias("least"), F.max("total_amount").alias("most"))
 
 
+# Ranges around orders' amounts, with lengths over four decades.
+_SPANS = "SELECT o_orderkey AS span_id, o_totalprice AS low, o_totalprice + power(10, o_orderkey % 5) * (1 + o_orderkey % 7) / 10 AS high FROM orders WHERE o_orderstatus = 'F'"
+
+
+@query("rel_range_join_mixed_lengths", f"""
+    SELECT CAST(span_id % 5 AS INTEGER) AS decade, count(*) AS pairs, count(DISTINCT span_id) AS spans, CAST(sum(o_orderkey % 1000) AS BIGINT) AS digest
+    FROM ({_SPANS}) JOIN orders ON o_totalprice >= low AND o_totalprice < high GROUP BY 1""")
+def _(v):
+    key = F.col("o_orderkey")
+    length = F.pow(F.lit(10.0), key % 5) * (1 + key % 7) / 10
+    spans = v.raw("orders").filter("o_orderstatus = 'F'").select(key.alias("span_id"), F.col("o_totalprice").alias("low"), (F.col("o_totalprice") + length).alias("high"))
+    pairs = range_join(v.raw("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "low", "high")
+    return pairs.groupBy((F.col("span_id") % 5).cast("int").alias("decade")).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("span_id").alias("spans"), F.sum(key % 1000).alias("digest"))
+
+
+# Orders moved to the month of the events, so that both lie in one time.
+_MOVED = "TIMESTAMP '2024-01-01' + to_days(CAST(date_diff('day', DATE '1995-01-01', o_orderdate) % 30 AS INTEGER))"
+
+
+def _moved():
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 30
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days)
+
+
+@query("rel_as_of_join", f"""
+    SELECT o.o_orderkey AS order_id, e.event_id, e.event_type FROM (SELECT *, {_MOVED} AS at FROM orders) o
+    ASOF LEFT JOIN events e ON o.o_custkey = e.user_id AND o.at >= e.ts""")
+def _(v):
+    """The last event of each order's customer before the order."""
+    orders = v.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
+                                    _moved().alias("at"))
+    events = v.raw("events").select("user_id", "ts", "event_id", "event_type")
+    return as_of_join(orders, events, ["user_id"], "at", "ts", ["event_id"]).select("order_id", "event_id", "event_type")
+
+
+@query("rel_as_of_join_within", f"""
+    SELECT o.o_orderkey AS order_id, CASE WHEN e.ts >= o.at - INTERVAL 2 DAY THEN e.event_id END AS event_id FROM (SELECT *, {_MOVED} AS at FROM orders) o
+    ASOF LEFT JOIN events e ON o.o_custkey % 10 = e.user_id % 10 AND o.at >= e.ts""")
+def _(v):
+    """The same by ten hot keys, at most two days back."""
+    orders = v.raw("orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") % 10).alias("group"),
+                                    _moved().alias("at"))
+    events = v.raw("events").select((F.col("user_id") % 10).alias("group"), "ts", "event_id")
+    return as_of_join(orders, events, ["group"], "at", "ts", ["event_id"], within="2 days").select("order_id", "event_id")
+
+
 @query("rel_group_by", """
     SELECT status, shipping_method, count(*) AS n, count(DISTINCT customer_id) AS customers,
       CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total, min(total_amount) AS low, max(total_amount) AS high

@@ -139,3 +139,97 @@ def test_approval_gate_equals_a_state_machine(spark):
     judged = ac.judge_events(actions, log)
     assert {r.event_id for r in ac.rejected_transitions(judged).collect()} == refused
     assert {r.action_id: r.status for r in ac.apply_decisions(actions, judged).collect()} == status
+
+
+def test_join_groups_copies_hot_groups_only(spark, skewed):
+    """Rows of the groups beyond ``part_rows`` are dealt in proportion to their number; all others meet one copy."""
+    from opsloom.operators.ordering import deal_parts, join_groups
+
+    df = spark.createDataFrame(skewed)
+    hot = {r.k: r._parts for r in deal_parts(df, ["k"], 100).collect()}
+    sizes = skewed["k"].value_counts()
+    assert hot == {k: -(-n // 100) for k, n in sizes.items() if n > 100} and 0 in hot and len(hot) < 5
+    means = df.groupBy("k").agg(F.avg("v").alias("m"))
+    for how in ("inner", "left"):
+        got = join_groups(df, means.filter("k <> 3"), ["k"], F.col("i"), how, part_rows=100).toPandas().sort_values("i")
+        want = skewed if how == "left" else skewed[skewed["k"] != 3]
+        assert got["i"].tolist() == sorted(want["i"])
+        assert got["m"].isna().sum() == (0 if how == "inner" else (skewed["k"] == 3).sum())
+
+
+def _pairs(points, ranges):
+    return sorted((p, r) for p, x in points for r, a, b in ranges
+                  if x is not None and a is not None and b is not None and x == x and a <= x < b)
+
+
+@pytest.mark.parametrize("part_rows", [5, 1_000_000])
+def test_range_join_without_width(spark, part_rows):
+    """The pairs of a theta join with lengths over many decades, a hot point and a hot range, and odd ends."""
+    from opsloom.operators.joins import range_join
+
+    rng = np.random.default_rng(9)
+    points = [(i, float(x)) for i, x in enumerate(np.concatenate([rng.normal(0, 1000, 150), np.full(60, 7.25), [0.0, -1e300, 1e300, 2.0**70]]))]
+    points += [(900, None), (901, float("nan")), (902, float("inf"))]
+    lows = np.concatenate([rng.normal(0, 1000, 80), np.full(40, 7.0)])
+    ranges = [(i, float(a), float(a + 10 ** rng.uniform(-3, 4))) for i, a in enumerate(lows)]
+    ranges += [(800, 5.0, 5.0), (801, 6.0, 5.0), (802, None, 5.0), (803, 1.0, None), (804, float("-inf"), 3.0), (805, 3.0, float("inf")),
+               (806, -1e308, 1e308), (807, 7.25, 7.5), (808, 0.0, 5e-324)]
+    got = range_join(spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(ranges, "r int, a double, b double"), "x", "a", "b", part_rows=part_rows)
+    assert sorted((r.p, r.r) for r in got.collect()) == _pairs(points, ranges)
+    assert set(got.columns) == {"p", "x", "r", "a", "b"}
+    none = range_join(spark.createDataFrame([], "p int, x double"), spark.createDataFrame([], "r int, a double, b double"), "x", "a", "b")
+    assert none.count() == 0
+
+
+def test_range_join_splits_hot_buckets(spark):
+    """All points and ranges in one place: no part of a bucket has more than about part_rows of either side."""
+    from opsloom.operators.joins import range_join
+
+    points = spark.range(400).select(F.col("id").alias("p"), (F.lit(10.0) + F.col("id") / 1e6).alias("x"))
+    ranges = spark.range(300).select(F.col("id").alias("r"), (F.lit(9.0) - F.col("id") / 1e6).alias("a"), F.lit(11.0).alias("b"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        tasks = range_join(points, ranges, "x", "a", "b", part_rows=50).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(r["count"] for r in tasks) == 400 * 300
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 0.5 * 400 * 300
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_as_of_join_equals_pandas(spark, partitions):
+    from opsloom.operators.joins import as_of_join
+
+    rng = np.random.default_rng(10)
+    key = lambda n: np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 40, n))
+    left = pd.DataFrame({"i": np.arange(1500), "k": key(1500), "t": np.sort(rng.integers(0, 3000, 1500))})
+    right = pd.DataFrame({"k": key(900), "u": np.sort(rng.integers(0, 3000, 900)), "v": np.arange(900)})
+    want = pd.merge_asof(left, right.sort_values(["u", "v"]), left_on="t", right_on="u", by="k")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = as_of_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "u", ["v"]).toPandas().sort_values("i")
+        near = as_of_join(spark.createDataFrame(left).withColumn("t", F.timestamp_seconds("t")),
+                          spark.createDataFrame(right).withColumn("u", F.timestamp_seconds("u")), ["k"], "t", "u", ["v"], within="40 seconds").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    pd.testing.assert_series_equal(got["v"].reset_index(drop=True).astype(float), want["v"].astype(float), check_names=False)
+    close = want["v"].where(want["t"] - want["u"] <= 40)
+    assert near.sort_values("i")["v"].isna().tolist() == close.isna().tolist()
+
+
+def test_as_of_join_of_odd_rows(spark):
+    from opsloom.operators.joins import as_of_join
+
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None), (4, "b", 1), (5, "a", 5), (5, "a", 5)], "i int, k string, t int")
+    right = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 6, 3), (None, 1, 4), ("b", None, 5), ("b", 2, 6)], "k string, t int, v int")
+    got = as_of_join(left, right, ["k"], "t", "t", ["v"], prefix="r_")
+    assert got.columns == ["i", "k", "t", "r_t", "r_v"]
+    assert sorted((r.i, r.r_v) for r in got.collect() if r.r_v) == [(1, 2), (5, 2), (5, 2)] and got.count() == 6
+    assert as_of_join(left.limit(0), right, ["k"], "t", "t", prefix="r_").count() == 0
+    assert as_of_join(left, right.limit(0), ["k"], "t", "t", prefix="r_").filter("r_v IS NULL").count() == 6
+    with pytest.raises(ValueError):
+        as_of_join(left, right, ["k"], "t", "t")
