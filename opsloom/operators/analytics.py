@@ -93,12 +93,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     return values.select(F.inline(rows))
 
 
-def rolling_average(df: DataFrame, date_col: str, value_col: str, window: int = 7,
-                    order_by: Sequence[str] = (), partition_cols: Sequence[str] = ()) -> DataFrame:
+def rolling_average(df: DataFrame, date_col: str, value_col: str, window: int = 7, *,
+                    order_by: Sequence[str], partition_cols: Sequence[str] = ()) -> DataFrame:
     """Mean of the current and the previous ``window - 1`` rows in date order.
 
-    ``order_by`` breaks ties between equal dates and should end in a unique column.
+    ``order_by`` breaks ties between equal dates and must end in a unique column; without one the rows of a day would have
+    no order, and the result none that can be repeated.
     """
+    if not order_by:
+        raise ValueError("order_by must name the columns that order rows of one date")
     require_columns(df, [date_col, value_col, *order_by, *partition_cols])
     types = {f.name: f.dataType for f in df.schema.fields}
     name = f"{value_col}_rolling_avg_{window}"
@@ -112,6 +115,27 @@ def rolling_average(df: DataFrame, date_col: str, value_col: str, window: int =
     return rolled.select(*partition_cols, *order_by, F.date_format("_ts", "yyyy-MM-dd").alias(date_col), value_col, name)
 
 
+def subtotals(df: DataFrame, columns: Sequence[str], aggregates: dict[str, Column], sets: str | Sequence[Sequence[str]] = "rollup") -> DataFrame:
+    """Aggregates for several groupings of ``columns`` in one pass: a rollup, a cube, or the grouping sets given.
+
+    ``level`` is Spark's grouping id: a bit for each column, the first the highest, set where the row is a total over it. A
+    column is null there; ``level`` tells it from a null value. Rows are expanded before the map-side aggregation.
+    """
+    require_columns(df, columns)
+    cols = [F.col(f"`{c}`") for c in columns]
+    if sets == "rollup":
+        grouped = df.rollup(*cols)
+    elif sets == "cube":
+        grouped = df.cube(*cols)
+    elif isinstance(sets, str):
+        raise ValueError(f"sets must be rollup, cube or lists of columns, not {sets!r}")
+    else:
+        if unknown := {c for one in sets for c in one} - set(columns):
+            raise ValueError(f"grouping sets use {sorted(unknown)}, which are not among the columns")
+        grouped = df.groupingSets([[F.col(f"`{c}`") for c in one] for one in sets], *cols)
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), *[a.alias(n) for n, a in aggregates.items()])
+
+
 def period_end(ts: Column, frequency: str) -> Column:
     """Last day of the period: the day itself, the week's Sunday, the month's last day."""
     day = F.to_date(ts)

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from opsloom.operators.ordering import first_per_group
 from opsloom.operators.profile import catalog_of
+from opsloom.session import cut_lineage
 
 EDGE = ["source_table", "source_column", "target_table", "target_column"]
+Edge = namedtuple("Edge", EDGE)
+# Hashes of a column's sketch, and hashes that must be comparable before a pair is ruled out.
+SKETCH = 1024
+EVIDENCE = 16
 # Confidence of the naming rules and of the overlap classes.
 SAME_ID_CONFIDENCE = 0.90
 NAMED_KEY_CONFIDENCE = 0.85
@@ -86,6 +94,76 @@ def discover_relationships(spark: SparkSession, tables: dict[str, DataFrame]) ->
         "is_verified", F.col("confidence") >= VERIFIED_CONFIDENCE)
 
 
+def _kind(data_type: T.DataType) -> str | None:
+    """Columns of one kind can hold the same keys."""
+    if isinstance(data_type, T.IntegralType):
+        return "number"
+    if isinstance(data_type, T.StringType):
+        return "text"
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "time"
+    return None
+
+
+def value_sketches(tables: dict[str, DataFrame], size: int = SKETCH) -> DataFrame:
+    """table_name, column_name, kind, hash: of each key-like column the ``size`` smallest hashes of its distinct values, with
+    the numbers of its distinct values and of its non-null rows.
+
+    Sketches of parts of a table merge: the smallest hashes of both, again cut to ``size``. One scan a table.
+    """
+    scans = []
+    for table, df in sorted(tables.items()):
+        columns = [(f.name, kind) for f in df.schema.fields if (kind := _kind(f.dataType))]
+        if columns:
+            cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.xxhash64(F.col(f"`{c}`").cast("string")).alias("hash"),
+                                       F.col(f"`{c}`").isNotNull().alias("_filled")) for c, kind in columns])
+            scans.append(df.select(F.inline(cells)).filter("_filled").drop("_filled").groupBy("column_name", "kind", "hash").agg(
+                F.count(F.lit(1)).alias("_rows")).withColumn("table_name", F.lit(table)))
+    if not scans:
+        raise ValueError("no table has a column of whole numbers, texts or times")
+    values = cut_lineage(reduce(DataFrame.unionByName, scans))
+    column = ["table_name", "column_name"]
+    sizes = values.groupBy(*column).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("_rows").alias("filled_rows"))
+    least = first_per_group(values, column, [F.col("hash")], size, "_rank")
+    return least.drop("_rank", "_rows").join(sizes, column)
+
+
+def discover_by_values(spark: SparkSession, tables: dict[str, DataFrame], least_overlap: float = FULL_OVERLAP, least_values: int = 2,
+                       size: int = SKETCH) -> DataFrame:
+    """Edges whose source values lie in a unique target column of another table, whatever the columns are called.
+
+    Columns: the edge, source_distinct, overlap and confidence (their ratio, at least ``least_overlap``). Sketches rule pairs
+    out: of the source's hashes up to the largest of the target's sketch, at least half must be in it. Pairs with too few such
+    hashes to tell are not ruled out. What is left is checked exactly, each table read once more. Sources need
+    ``least_values`` different values.
+    """
+    sketches = cut_lineage(value_sketches(tables, size))
+    reach = sketches.groupBy("table_name", "column_name", "kind", "distinct_values", "filled_rows").agg(F.max("hash").alias("_last"))
+    # catalog metadata: one row per column
+    columns = [r.asDict() for r in reach.collect()]
+    targets = [c for c in columns if c["distinct_values"] == c["filled_rows"]]
+    sources = [c for c in columns if c["distinct_values"] >= least_values]
+    pairs = [(i, s, t) for i, (s, t) in enumerate((s, t) for s in sources for t in targets if s["table_name"] != t["table_name"] and s["kind"] == t["kind"])]
+    empty = "source_table string, source_column string, target_table string, target_column string, source_distinct long, overlap long, confidence double"
+    if not pairs:
+        return spark.createDataFrame([], empty)
+    asked = spark.createDataFrame(
+        [(i, s["table_name"], s["column_name"], t["table_name"], t["column_name"], t["_last"] if t["distinct_values"] > size else (1 << 63) - 1) for i, s, t in pairs],
+        "_edge int, table_name string, column_name string, _table string, _column string, _limit long")
+    hashes = sketches.select("table_name", "column_name", "hash")
+    theirs = hashes.select(F.col("table_name").alias("_table"), F.col("column_name").alias("_column"), "hash", F.lit(1).alias("_there"))
+    compared = hashes.join(F.broadcast(asked), ["table_name", "column_name"]).filter("hash <= _limit").join(theirs, ["_table", "_column", "hash"], "left")
+    told = {r[0]: (r.seen, r.there) for r in compared.groupBy("_edge").agg(F.count(F.lit(1)).alias("seen"), F.count("_there").alias("there")).collect()}
+    hopeful = [(i, s, t) for i, s, t in pairs if told.get(i, (0, 0))[0] < EVIDENCE or 2 * told[i][1] >= told[i][0]]
+    if not hopeful:
+        return spark.createDataFrame([], empty)
+    edges = [Edge(s["table_name"], s["column_name"], t["table_name"], t["column_name"]) for _, s, t in hopeful]
+    numbered = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "_edge int, " + ", ".join(f"{c} string" for c in EDGE))
+    ratio = F.col("overlap") / F.col("source_distinct")
+    return numbered.join(_overlaps(spark, tables, edges), "_edge").filter(ratio >= least_overlap).select(
+        *EDGE, "source_distinct", "overlap", F.round(ratio, 4).alias("confidence"))
+
+
 def upsert_relationships(existing: DataFrame, found: DataFrame) -> DataFrame:
     """New confidence for known edges (their verified flag stays), new edges added."""
     old = existing.select(*EDGE, F.col("confidence").alias("_c"), F.col("is_verified").alias("_v"))

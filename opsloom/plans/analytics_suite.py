@@ -113,3 +113,41 @@ def _(v):
     SELECT count(DISTINCT customer_id) AS groups_count, 'customer_id' AS grouped_by FROM v_orders""")
 def _(v):
     return an.group_stats(an.group_by_analysis(v.orders, ["customer_id"], {"total_amount": ["count"]}), ["customer_id"])
+
+
+_SOLD = """(SELECT c.tier, p.category, date_trunc('year', o.order_date) AS year, CAST(i.line_total AS DECIMAL(18,2)) AS total, o.customer_id
+    FROM v_order_items i JOIN v_orders o ON o.order_id = i.order_id JOIN v_customers c ON c.customer_id = o.customer_id
+    JOIN v_products p ON p.product_id = i.product_id)"""
+
+
+def _sold(v):
+    items = v.order_items.select("order_id", "product_id", "line_total").join(v.orders.select("order_id", "customer_id", "order_date"), "order_id")
+    found = items.join(v.customers.select("customer_id", "tier"), "customer_id").join(v.products.select("product_id", "category"), "product_id")
+    return found.select("tier", "category", F.year("order_date").alias("year"), F.col("line_total").cast("decimal(18,2)").alias("total"), "customer_id")
+
+
+_TOTALS = "CAST(sum(total) AS DOUBLE) AS revenue, count(*) AS lines, count(DISTINCT customer_id) AS customers"
+
+
+@query("analytics_cube_totals", f"""
+    SELECT tier, category, CAST(extract('year' FROM year) AS INTEGER) AS year, CAST(grouping(tier, category, year) AS INTEGER) AS level, {_TOTALS}
+    FROM {_SOLD} GROUP BY CUBE (tier, category, year)""")
+def _(v):
+    """Revenue by tier, category and year with all subtotals."""
+    return an.subtotals(_sold(v), ["tier", "category", "year"], {
+        "revenue": F.sum("total").cast("double"), "lines": F.count(F.lit(1)), "customers": F.count_distinct("customer_id")}, "cube")
+
+
+@query("analytics_rollup_totals", f"""
+    SELECT tier, category, CAST(grouping(tier, category) AS INTEGER) AS level, {_TOTALS} FROM {_SOLD} GROUP BY ROLLUP (tier, category)""")
+def _(v):
+    return an.subtotals(_sold(v), ["tier", "category"], {
+        "revenue": F.sum("total").cast("double"), "lines": F.count(F.lit(1)), "customers": F.count_distinct("customer_id")})
+
+
+@query("analytics_grouping_sets", f"""
+    SELECT tier, category, CAST(grouping(tier, category) AS INTEGER) AS level, {_TOTALS} FROM {_SOLD} GROUP BY GROUPING SETS ((tier), (category), ())""")
+def _(v):
+    return an.subtotals(_sold(v), ["tier", "category"], {
+        "revenue": F.sum("total").cast("double"), "lines": F.count(F.lit(1)), "customers": F.count_distinct("customer_id")},
+        [["tier"], ["category"], []])

@@ -17,7 +17,7 @@ from opsloom.operators import review as rv
 from opsloom.operators import rules
 from opsloom.plans import anomalies_suite, kpis_suite, quality_suite, rules_suite
 from opsloom.plans.documents_suite import _top_hit, corpus_index, questions
-from opsloom.plans.registry import VIEW_SQL, query
+from opsloom.plans.registry import VIEW_SQL, query, sround
 from opsloom.operators import search as se
 from opsloom.session import cut_lineage
 
@@ -406,3 +406,30 @@ def _(v):
 def _(v):
     sections = rv.report_sections(v.spark, "Current", AS_OF, exceptions=_exceptions(v))
     return sections["exceptions"].drop("exception_id")
+
+
+# The last and the first year of complete orders, and what each combination of dimensions adds to the change between them.
+_CHANGE = """
+    WITH rows AS (
+      SELECT coalesce(o.status, '(none)') AS status, coalesce(shipping_method, '(none)') AS shipping_method, coalesce(tier, '(none)') AS tier,
+        CASE extract('year' FROM order_date) WHEN 1996 THEN 'before' WHEN 1997 THEN 'after' END AS period, CAST(total_amount AS DECIMAL(18,2)) AS metric
+      FROM v_orders o LEFT JOIN v_customers c ON c.customer_id = o.customer_id),
+    cube AS (
+      SELECT status, shipping_method, tier, CAST(grouping(status, shipping_method, tier) AS INTEGER) AS level,
+        coalesce(sum(metric) FILTER (period = 'before'), 0) AS before, coalesce(sum(metric) FILTER (period = 'after'), 0) AS after
+      FROM rows WHERE period IS NOT NULL GROUP BY CUBE (status, shipping_method, tier)),
+    kept AS (
+      SELECT * FROM cube c WHERE NOT EXISTS (SELECT 1 FROM cube p WHERE p.before = c.before AND p.after = c.after AND (
+        (c.status IS NOT NULL AND p.status IS NULL AND p.shipping_method IS NOT DISTINCT FROM c.shipping_method AND p.tier IS NOT DISTINCT FROM c.tier)
+        OR (c.shipping_method IS NOT NULL AND p.shipping_method IS NULL AND p.status IS NOT DISTINCT FROM c.status AND p.tier IS NOT DISTINCT FROM c.tier)
+        OR (c.tier IS NOT NULL AND p.tier IS NULL AND p.status IS NOT DISTINCT FROM c.status AND p.shipping_method IS NOT DISTINCT FROM c.shipping_method))))
+    SELECT status, shipping_method, tier, level, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after, CAST(after - before AS DOUBLE) AS change,
+      """ + sround("CAST(after - before AS DOUBLE) / (SELECT CAST(after - before AS DOUBLE) FROM cube WHERE level = 7) * 100", 1) + """ AS share_percentage FROM kept"""
+
+
+@query("drivers_change", _CHANGE)
+def _(v):
+    rows = v.orders.join(v.customers.select("customer_id", "tier"), "customer_id", "left")
+    year = F.year("order_date")
+    period = F.when(year == 1996, "before").when(year == 1997, "after")
+    return dr.attribute_change(rows, period, ["status", "shipping_method", "tier"], F.col("total_amount"))

@@ -200,3 +200,27 @@ def _(v):
     found = pr.approximate_profile(df, "dirty_orders").join(exact, "column_name")
     return found.select("column_name", "row_count", "null_count",
                         (F.abs(F.col("unique_count") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
+
+
+# Key-like columns of the raw tables: whole numbers, texts and times.
+_KEYS = {
+    "region": [("r_regionkey", "number"), ("r_name", "text")],
+    "nation": [("n_nationkey", "number"), ("n_name", "text"), ("n_regionkey", "number")],
+    "supplier": [("s_suppkey", "number"), ("s_name", "text"), ("s_nationkey", "number")],
+    "customer": [("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_mktsegment", "text")],
+    "part": [("p_partkey", "number"), ("p_name", "text"), ("p_brand", "text"), ("p_type", "text"), ("p_size", "number")],
+    "orders": [("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "text"), ("o_orderdate", "time"), ("o_orderpriority", "text")],
+    "lineitem": [("l_orderkey", "number"), ("l_partkey", "number"), ("l_suppkey", "number"), ("l_linenumber", "number"),
+                 ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")]}
+
+
+@query("profile_relationships_by_values", "WITH cells AS (" + _union(
+    f"SELECT '{t}' AS tab, '{c}' AS col, '{kind}' AS kind, CAST({c} AS VARCHAR) AS v FROM {t}" for t, columns in _KEYS.items() for c, kind in columns) + """),
+    vals AS (SELECT tab, col, kind, v, count(*) AS n FROM cells WHERE v IS NOT NULL GROUP BY ALL),
+    sizes AS (SELECT tab, col, count(*) AS d, sum(n) AS r FROM vals GROUP BY ALL),
+    hits AS (SELECT s.tab AS st, s.col AS sc, t.tab AS tt, t.col AS tc, count(*) AS overlap FROM vals s
+      JOIN vals t ON s.v = t.v AND s.kind = t.kind AND s.tab <> t.tab JOIN sizes u ON u.tab = t.tab AND u.col = t.col AND u.d = u.r GROUP BY ALL)
+    SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, d AS source_distinct, overlap,
+      round(CAST(overlap AS DOUBLE) / d, 4) AS confidence FROM hits JOIN sizes ON tab = st AND col = sc WHERE d >= 2 AND CAST(overlap AS DOUBLE) / d >= 0.95""")
+def _(v):
+    return rel.discover_by_values(v.spark, {t: v.raw(t) for t in _KEYS})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators import quality as dq
+from opsloom.operators import variants as va
 from opsloom.plans.registry import VIEW_SQL, query
 from opsloom.session import cut_lineage
 
@@ -179,3 +180,44 @@ def _(v):
       CAST(round(CAST(avg(overall_score) AS DECIMAL(20,6)), 1) AS DOUBLE) AS overall_data_health_score FROM v_health""")
 def _(v):
     return dq.quality_audit(*audit_parts(v))
+
+
+# Statuses with planted slips: a letter lost, doubled or replaced, other case, blanks; and free texts that differ.
+VIEW_SQL["v_misspelt"] = """SELECT order_id, CASE WHEN order_id % 50 = 1 THEN replace(status, 'e', '') WHEN order_id % 50 = 2 THEN status || right(status, 1)
+      WHEN order_id % 50 = 3 THEN 'X' || substr(status, 2) WHEN order_id % 50 = 4 THEN upper(status) || ' ' WHEN order_id % 997 = 5 THEN NULL ELSE status END AS status,
+    CASE WHEN order_id % 40 = 7 THEN substr(shipping_method, 1, 6) || substr(shipping_method, 8) ELSE shipping_method END AS shipping_method FROM v_orders"""
+
+
+def _misspelt(v):
+    key, status, method = F.col("order_id") % 50, F.col("status"), F.col("shipping_method")
+    return v.orders.select(
+        "order_id",
+        F.when(key == 1, F.replace(status, F.lit("e"), F.lit(""))).when(key == 2, F.concat(status, F.right(status, F.lit(1))))
+        .when(key == 3, F.concat(F.lit("X"), F.expr("substring(status, 2)"))).when(key == 4, F.concat(F.upper(status), F.lit(" ")))
+        .when(F.col("order_id") % 997 == 5, F.lit(None)).otherwise(status).alias("status"),
+        F.when(F.col("order_id") % 40 == 7, F.concat(F.substring(method, 1, 6), F.expr("substring(shipping_method, 8)"))).otherwise(method).alias("shipping_method"))
+
+
+def _variants_sql(edits: int) -> str:
+    return f"""
+    WITH RECURSIVE c AS (
+      SELECT column_name, value, count(*) AS n, lower(trim(value)) AS norm FROM (
+        SELECT 'status' AS column_name, status AS value FROM v_misspelt UNION ALL SELECT 'shipping_method', shipping_method FROM v_misspelt) WHERE value IS NOT NULL GROUP BY ALL),
+    links AS (SELECT DISTINCT a.column_name, a.norm AS x, b.norm AS y FROM c a JOIN c b ON a.column_name = b.column_name AND a.norm <> b.norm
+      WHERE length(a.norm) >= 4 AND length(b.norm) >= 4 AND levenshtein(a.norm, b.norm) <= {edits}),
+    reach(column_name, x, y) AS (SELECT DISTINCT column_name, norm, norm FROM c UNION SELECT r.column_name, r.x, l.y FROM reach r JOIN links l ON l.column_name = r.column_name AND l.x = r.y),
+    grouped AS (SELECT r.column_name, r.x AS norm, min(r.y) AS g FROM reach r GROUP BY ALL),
+    full_rows AS (SELECT c.*, g FROM c JOIN grouped USING (column_name, norm))
+    SELECT column_name, value, n, first_value(value) OVER (PARTITION BY column_name, g ORDER BY n DESC, value) AS canonical,
+      count(*) OVER (PARTITION BY column_name, g) AS group_values, CAST(sum(n) OVER (PARTITION BY column_name, g) AS BIGINT) AS group_rows
+    FROM full_rows QUALIFY count(*) OVER (PARTITION BY column_name, g) > 1"""
+
+
+@query("quality_fuzzy_categories", _variants_sql(1))
+def _(v):
+    return va.category_variants(_misspelt(v), ["status", "shipping_method"])
+
+
+@query("quality_fuzzy_categories_two_edits", _variants_sql(2))
+def _(v):
+    return va.category_variants(_misspelt(v), ["status", "shipping_method"], edits=2)

@@ -96,8 +96,10 @@ def with_views(sql: str) -> str:
     views = ",\n".join(f"{name} AS ({VIEW_SQL[name]})" for name in _needed_views(body))
     if not views:
         return body
-    own_ctes = re.match(r"(?i)with\s+(?!recursive)", body)
-    return f"WITH {views},\n{body[own_ctes.end():]}" if own_ctes else f"WITH {views}\n{body}"
+    own_ctes = re.match(r"(?i)with\s+(recursive\s)?", body)
+    if not own_ctes:
+        return f"WITH {views}\n{body}"
+    return f"WITH {own_ctes[1] or ''}{views},\n{body[own_ctes.end():]}"
 
 
 def sround(x: str, digits: int) -> str:

@@ -81,3 +81,49 @@ def _(v):
     run = flows.continuous_rules(orders, [rule], AS_OF, store, f"{folder}/checkpoint")
     run.awaitTermination()
     return store.read(flows.last_batch(run) + 1).select("entity_id", "priority_score", "status")
+
+
+_AGE = f"greatest(0, date_sub('day', o_orderdate, TIMESTAMP '{AS_OF}'))"
+
+
+@query("stream_exception_state", f"""
+    WITH p AS (SELECT o_orderkey AS k, {score_sql("30.0", "o_totalprice", _AGE, "0.0")} AS score,
+        {score_sql("30.0", "2 * o_totalprice", _AGE, "0.0")} AS again FROM orders WHERE o_orderstatus = 'P')
+    SELECT CAST(k AS VARCHAR) AS entity_id, CASE WHEN k % 2 = 0 AND k % 5 = 0 THEN 'RESOLVED' WHEN k % 7 = 0 THEN 'ACKNOWLEDGED' ELSE 'OPEN' END AS status,
+      CASE WHEN k % 3 = 0 AND NOT (k % 2 = 0 AND k % 5 = 0) THEN again ELSE score END AS priority_score FROM p
+    UNION ALL SELECT CAST(k AS VARCHAR), 'OPEN', again FROM p WHERE k % 2 = 0 AND k % 5 = 0 AND k % 3 = 0""")
+def _(v):
+    """Three arrivals and the decisions between them: exceptions are closed, acknowledged, updated and opened again."""
+    key = F.col("o_orderkey")
+    pending = v.raw("orders").filter("o_orderstatus = 'P'").select(
+        key.alias("order_id"), F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total_amount"))
+    arrivals = (pending.filter("order_id % 2 = 0"), pending.filter("order_id % 2 = 1"),
+                pending.filter("order_id % 3 = 0").withColumn("total_amount", F.col("total_amount") * 2))
+    rule = rules.Rule("Pending orders", "order", "orders", "HIGH", (rules.Condition("status", "equals", "p"),))
+    folder = flows.run_folder(v.spark, "state")
+    store = flows.ExceptionStore(v.spark, f"{folder}/exceptions", buckets=8)
+    for number, arrival in enumerate(arrivals):
+        arrival.write.mode("append").parquet(f"{folder}/landing")
+        run = flows.continuous_rules(flows.read_folder_stream(v.spark, f"{folder}/landing", pending.schema), [rule], AS_OF, store, f"{folder}/checkpoint")
+        run.awaitTermination()
+        if number < 2:
+            entity = F.col("entity_id").cast("long")
+            state = store.read(number + 1).select("rule_name", "entity_id", "exception_id", F.lit(AS_OF).cast("timestamp").alias("ts"))
+            chosen, status = ((entity % 2 == 0) & (entity % 5 == 0), "RESOLVED") if number == 0 else (
+                (entity % 7 == 0) & ~((entity % 2 == 0) & (entity % 5 == 0)), "ACKNOWLEDGED")
+            store.apply_status(state.filter(chosen).withColumn("status", F.lit(status)), number)
+    return store.read(3).select("entity_id", "status", "priority_score")
+
+
+@query("stream_late_corrections", """
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+    FROM events GROUP BY ALL""")
+def _(v):
+    """Arrivals that are shuffled over the whole month: the corrected windows equal those of all events at once."""
+    folder = flows.run_folder(v.spark, "late")
+    formulas = {"n": F.count(F.lit(1)), "total": F.sum(F.col("value").cast("decimal(18,2)")).cast("double")}
+    for part in (2, 0, 1):
+        v.raw("events").filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/landing")
+        source = flows.read_folder_stream(v.spark, f"{folder}/landing", v.raw("events").schema)
+        flows.windows_with_corrections(source, "ts", formulas, folder, keys=["event_type"]).awaitTermination()
+    return v.spark.read.parquet(f"{folder}/windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")

@@ -11,7 +11,7 @@ from opsloom.operators.safe_sql import execute_safe_query, validate_only
 from opsloom.plans import kpis_suite, operations_suite, rules_suite
 from opsloom.plans.registry import query
 from opsloom.session import cut_lineage
-from opsloom.sources import files, tables
+from opsloom.sources import changes, files, tables
 from opsloom.streaming.flows import run_folder
 
 _ORDERS = "SELECT order_id, customer_id, order_date, status, total_amount FROM v_orders"
@@ -242,3 +242,45 @@ def _(v):
         kpi.snapshot_metrics(board, folder, period, "2000-01-01 00:00:00")
     return v.spark.read.parquet(folder).groupBy("code", "current_value", "status").agg(
         F.count_distinct("period_label").cast("int").alias("snapshots"))
+
+
+# The orders of a day later: some gone, some new, amounts and states changed.
+_LATER = """(SELECT CASE WHEN order_id % 19 = 0 THEN order_id + 100000000 ELSE order_id END AS order_id, customer_id, order_date,
+    CASE WHEN order_id % 17 = 0 THEN NULL ELSE status END AS status, total_amount + CASE WHEN order_id % 13 = 0 THEN 1 ELSE 0 END AS total_amount
+    FROM v_orders WHERE order_id % 11 <> 0)"""
+
+
+def _later(v):
+    key = F.col("order_id")
+    return _orders(v).filter(key % 11 != 0).select(
+        F.when(key % 19 == 0, key + 100_000_000).otherwise(key).alias("order_id"), "customer_id", "order_date",
+        F.when(key % 17 != 0, F.col("status")).alias("status"), (F.col("total_amount") + F.when(key % 13 == 0, 1).otherwise(0)).alias("total_amount"))
+
+
+_CHANGES = f"""
+    SELECT coalesce(o.order_id, n.order_id) AS order_id, CASE WHEN o.order_id IS NULL THEN 'inserted' WHEN n.order_id IS NULL THEN 'deleted' ELSE 'changed' END AS change,
+      CASE WHEN o.order_id IS NULL OR n.order_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.status IS DISTINCT FROM n.status THEN 'status' END,
+        CASE WHEN o.total_amount IS DISTINCT FROM n.total_amount THEN 'total_amount' END) END AS columns
+    FROM ({_ORDERS}) o FULL JOIN {_LATER} n ON o.order_id = n.order_id
+    WHERE o.order_id IS NULL OR n.order_id IS NULL OR o.status IS DISTINCT FROM n.status OR o.total_amount IS DISTINCT FROM n.total_amount"""
+
+
+@query("source_row_changes", _CHANGES)
+def _(v):
+    found = changes.row_changes(_orders(v), _later(v), ["order_id"])
+    return found.select("order_id", "change", F.array_join("changed_columns", ",").alias("columns"))
+
+
+@query("source_change_summary", f"""SELECT count(*) FILTER (change = 'inserted') AS inserted, count(*) FILTER (change = 'deleted') AS deleted,
+    count(*) FILTER (change = 'changed') AS changed FROM ({_CHANGES})""")
+def _(v):
+    return changes.change_summary(changes.row_changes(_orders(v), _later(v), ["order_id"]))
+
+
+@query("source_refresh_keyed", f"SELECT * FROM {_LATER}")
+def _(v):
+    """A stored table that is brought to a later state, buckets without a change left as they are."""
+    folder = run_folder(v.spark, "keyed")
+    for state in (_orders(v), _later(v)):
+        changes.refresh_keyed(v.spark, folder, state, ["order_id"], buckets=16)
+    return changes.read_keyed(v.spark, folder)

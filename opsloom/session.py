@@ -77,14 +77,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder. The folder goes when the driver ends, or with the
     :func:`intermediate_tables` scope that it is made in."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    target, files = _file_system(spark, path)
+    target, files = file_system(spark, path)
     files.deleteOnExit(target)
     if _open_scopes:
         _open_scopes[-1].append(path)
     return path
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -92,7 +92,7 @@ def _file_system(spark: SparkSession, path: str):
 def shared(spark: SparkSession, name: str, source: str, build: Callable[[], T]) -> T:
     """What ``build`` makes of the files at ``source``: made once a session and state of the files, and kept until the driver
     ends, also where an :func:`intermediate_tables` scope is open."""
-    target, files = _file_system(spark, source)
+    target, files = file_system(spark, source)
     state = tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(target))
     key = (spark.sparkContext.applicationId, name, source, state)
     if key not in _shared:
@@ -114,5 +114,5 @@ def intermediate_tables(spark: SparkSession):
     finally:
         _open_scopes.remove(made)
         for path in made:
-            target, files = _file_system(spark, path)
+            target, files = file_system(spark, path)
             files.delete(target, True)
