@@ -103,81 +103,91 @@ def _flat_sparkline(current: Column) -> Column:
         for i in range(5)])
 
 
-def _trend_row(df: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """Previous values and sparklines of metrics that share a time axis, as one struct row."""
-    spark = df.sparkSession
-    axis = metrics[0]
-    points = (
-        df.filter(F.col(axis.time_column).isNotNull()).groupBy(_time(axis).alias("_t"))
-        .agg(*[_checked(spark, m).alias(m.code) for m in metrics])
-    )
-    # time points can be as many as rows (microsecond stamps): positions come from a range-partitioned sort
-    indexed = with_position(points, ["_t"], "_pos")
-    placed = indexed.withColumn("_n", indexed.agg(F.count(F.lit(1)).alias("n")).scalar())
-    in_first_half = F.col("_pos") < F.floor(F.col("_n") / 2)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / SPARKLINE_POINTS))
-    aggregates = [F.count(F.lit(1)).alias("points")]
-    for m in metrics:
-        half = F.when(in_first_half, F.col(m.code))
-        aggregates.append((F.sum(half) if "sum" in m.aggregation else F.avg(half)).alias(f"prev_{m.code}"))
-        # at most 15 points are kept, whatever the length of the series
-        aggregates.append(F.sort_array(F.collect_list(F.when(
-            F.col("_pos") % step == 0,
-            F.struct("_pos", F.substring(F.col("_t").cast("string"), 1, 10).alias("label"),
-                     F.coalesce(F.round(m.code, 2), F.lit(0.0)).alias("value"))))).alias(f"spark_{m.code}"))
-    return placed.agg(F.struct(*aggregates).alias("trend"))
+def _trends(axes: list[tuple[DataFrame, list[Metric]]]) -> DataFrame:
+    """_axis, _code, points, previous and spark of every metric; the metrics of an axis share a time column and its grain.
+
+    Every axis is one aggregation. The points of all axes are then sorted together: time points can be as many as rows
+    (microsecond stamps), so positions come from one range-partitioned sort.
+    """
+    points = []
+    for i, (df, metrics) in enumerate(axes):
+        values = F.array(*[_checked(df.sparkSession, m).alias(m.code) for m in metrics])
+        points.append(df.filter(F.col(metrics[0].time_column).isNotNull()).groupBy(_time(metrics[0]).alias("_t")).agg(values.alias("_values"))
+                      .withColumn("_axis", F.lit(i)))
+    by_type: dict[str, list[DataFrame]] = defaultdict(list)
+    for one in points:
+        by_type[one.schema["_t"].dataType.simpleString()].append(one)
+    placed = reduce(DataFrame.unionByName, [
+        with_position(reduce(DataFrame.unionByName, same), ["_axis", "_t"], "_pos").withColumn("_t", F.col("_t").cast("string")) for same in by_type.values()])
+    # one row per axis
+    spans = F.broadcast(placed.groupBy("_axis").agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("points")))
+    codes = [F.array(*map(F.lit, [m.code for m in metrics])) for _, metrics in axes]
+    code = reduce(lambda found, i: F.when(F.col("_axis") == i, codes[i]).otherwise(found), range(len(codes)), F.lit(None))
+    cells = placed.join(spans, "_axis").withColumn("_pos", F.col("_pos") - F.col("_start")).select(
+        "_axis", "_pos", "_t", "points", F.inline(F.arrays_zip(code.alias("_code"), F.col("_values").alias("_value"))).alias("_code", "_value"))
+    half = F.when(F.col("_pos") < F.floor(F.col("points") / 2), F.col("_value"))
+    step = F.greatest(F.lit(1), F.floor(F.col("points") / SPARKLINE_POINTS))
+    # at most 15 points are kept, whatever the length of the series
+    spark = F.sort_array(F.collect_list(F.when(F.col("_pos") % step == 0, F.struct(
+        "_pos", F.substring("_t", 1, 10).alias("label"), F.coalesce(F.round("_value", 2), F.lit(0.0)).alias("value")))))
+    return cells.groupBy("_axis", "_code", "points").agg(F.sum(half).alias("_sum"), F.avg(half).alias("_avg"), spark.alias("spark"))
 
 
 def kpi_board(tables: dict[str, DataFrame], metrics: list[Metric]) -> DataFrame:
     """All metrics, one row each.
 
-    Each source table is aggregated once for the current values of all its metrics;
-    the trends of a time axis come in as one scalar row, so nothing is joined.
+    Each source table is aggregated once for the current values of all its metrics and once for each of its time axes; the
+    trends of all axes go through one sort.
     """
     by_table: dict[str, list[Metric]] = defaultdict(list)
     for metric in metrics:
         if metric.source_table not in tables:
             raise ValueError(f"table {metric.source_table!r} not found")
         by_table[metric.source_table].append(metric)
-    parts = []
+    parts, axes = [], []
     for table, group in by_table.items():
         df = tables[table]
         wide = df.agg(*[F.round(F.coalesce(_checked(df.sparkSession, m), F.lit(0.0)), 2).alias(m.code) for m in group])
-        axes: dict[tuple, list[Metric]] = defaultdict(list)
+        axis_of: dict[tuple, int] = {}
         for m in group:
             if m.time_column is not None:
-                axes[(m.time_column, m.grain)].append(m)
-        trend_of = {}
-        for i, sharing in enumerate(axes.values()):
-            wide = wide.withColumn(f"_trend{i}", _trend_row(df, sharing).scalar())
-            trend_of.update({m.code: F.col(f"_trend{i}") for m in sharing})
-        parts.append(wide.select(F.inline(F.array(*[_board_row(m, trend_of.get(m.code)) for m in group]))))
+                key = (m.time_column, m.grain)
+                if key not in axis_of:
+                    axis_of[key] = len(axes)
+                    axes.append((df, []))
+                axes[axis_of[key]][1].append(m)
+        parts.append(wide.select(F.inline(F.array(*[_board_row(m, axis_of.get((m.time_column, m.grain))) for m in group]))))
     board = reduce(DataFrame.unionByName, parts)
-    now, previous = F.col("current_value"), F.col("previous_value")
+    if axes:
+        # one row per metric
+        trends = F.broadcast(_trends(axes))
+        board = board.join(trends, (F.col("_axis") == F.col("_of")) & (F.col("_code") == F.col("code")), "left")
+    else:
+        board = board.withColumns({"points": F.lit(0), "_sum": F.lit(0.0), "_avg": F.lit(0.0), "spark": F.lit(None).cast(
+            "array<struct<_pos:bigint,label:string,value:double>>")})
+    # a metric without a time axis is its own previous value; one with a single point has 0
+    enough = F.coalesce(F.col("points") > 1, F.lit(False))
+    now = F.col("current_value")
+    half = F.when(F.col("_summed"), F.col("_sum")).otherwise(F.col("_avg"))
+    previous = F.when(F.col("_of").isNull(), now).when(enough, F.coalesce(F.round(half, 2), F.lit(0.0))).otherwise(0.0)
+    board = board.withColumns({"previous_value": previous, "_shown": F.when(F.col("_of").isNotNull() & enough, F.col("spark"))})
+    before = F.col("previous_value")
     return board.select(
         "code", "name", "owner", "target_value", "current_value", "previous_value",
-        F.round(now - previous, 2).alias("abs_change"),
-        F.when(previous != 0, F.round(F.try_divide(now - previous, F.abs(previous)) * 100, 2)).otherwise(0.0).alias("pct_change"),
+        F.round(now - before, 2).alias("abs_change"),
+        F.when(before != 0, F.round(F.try_divide(now - before, F.abs(before)) * 100, 2)).otherwise(0.0).alias("pct_change"),
         "status",
-        F.coalesce(F.transform("points", lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"))),
+        F.coalesce(F.transform("_shown", lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"))),
                    _flat_sparkline(now)).alias("sparkline"),
     )
 
 
-def _board_row(m: Metric, trend: Column | None) -> Column:
-    """A metric without a time axis is its own previous value; one with a single point has 0."""
+def _board_row(m: Metric, axis: int | None) -> Column:
     current = F.col(m.code)
-    point_type = "array<struct<_pos:bigint,label:string,value:double>>"
-    if trend is None:
-        previous, points = current, F.lit(None).cast(point_type)
-    else:
-        enough = trend.getField("points") > 1
-        previous = F.when(enough, F.coalesce(F.round(trend.getField(f"prev_{m.code}"), 2), F.lit(0.0))).otherwise(0.0)
-        points = F.when(enough, trend.getField(f"spark_{m.code}")).cast(point_type)
     return F.struct(
         F.lit(m.code).alias("code"), F.lit(m.name).alias("name"), F.lit(m.owner).cast("string").alias("owner"),
         F.lit(m.target_value).cast("double").alias("target_value"), current.alias("current_value"),
-        previous.alias("previous_value"), status_of(m, current).alias("status"), points.alias("points"))
+        status_of(m, current).alias("status"), F.lit(axis).cast("int").alias("_of"), F.lit("sum" in m.aggregation).alias("_summed"))
 
 
 def calendar_compare(df: DataFrame, metric: Metric, as_of: str, period: str = "month") -> DataFrame:

@@ -222,15 +222,11 @@ def customers_by_tier(customers: DataFrame) -> DataFrame:
 def margin_by_tier(customers: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Revenue, cost and margin per customer tier.
 
-    Lines are first summed per (order, product); the product join then carries the
-    unit cost, and the rest of the joins run on per-order sums.
+    Lines get their product's unit cost and are summed per order; the rest of the joins run on per-order sums.
     """
-    per_pair = items.groupBy("order_id", "product_id").agg(
-        F.sum(money("line_total")).alias("_revenue"), F.sum(money("quantity")).alias("_quantity"))
-    with_cost = per_pair.join(products.select("product_id", "unit_cost"), "product_id").groupBy("order_id").agg(
-        F.sum("_revenue").alias("_revenue"),
-        F.sum((F.col("_quantity").cast("decimal(14,2)") * F.col("unit_cost").cast("decimal(14,2)"))
-              .cast("decimal(28,4)")).alias("_cost"))
+    cost = F.col("quantity").cast("decimal(14,2)") * F.col("unit_cost").cast("decimal(14,2)")
+    with_cost = items.select("order_id", "product_id", "line_total", "quantity").join(products.select("product_id", "unit_cost"), "product_id").groupBy(
+        "order_id").agg(F.sum(money("line_total")).alias("_revenue"), F.sum(cost.cast("decimal(28,4)")).alias("_cost"))
     per_customer = with_cost.join(orders.select("order_id", "customer_id"), "order_id").groupBy("customer_id").agg(
         F.sum("_revenue").alias("_revenue"), F.sum("_cost").alias("_cost"))
     return per_customer.join(customers.select("customer_id", "tier"), "customer_id").groupBy("tier").agg(
