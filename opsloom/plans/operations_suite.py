@@ -359,9 +359,13 @@ def _(v):
     return au.audit_stats(_audit(v))
 
 
-_REVIEW_Z = " UNION ALL ".join(
-    anomalies_suite._z_sql(t, f"v_{t}", c, key, None, 1.7) for t, c, key in (
-        ("orders", "total_amount", "order_id"), ("invoices", "amount", "invoice_id"), ("invoices", "unpaid_amount", "invoice_id")))
+# Numeric columns of all tables; which of them are keys follows from their names.
+_REVIEWED = {
+    "customers": ["credit_limit"], "products": ["unit_cost", "unit_price", "reorder_level"],
+    "inventory": ["quantity_on_hand", "reorder_level", "safety_stock", "unit_cost"], "orders": ["total_amount"],
+    "order_items": ["line_no", "quantity", "line_total"], "shipments": ["line_no", "delay_days"], "invoices": ["amount", "unpaid_amount"],
+    "payments": ["amount"], "support_tickets": ["satisfaction_score"], "employees": ["active_tasks", "resolved_tasks"]}
+_REVIEW_Z = " UNION ALL ".join(anomalies_suite._z_sql(t, f"v_{t}", c, "1", None, 1.7) for t, columns in _REVIEWED.items() for c in columns)
 _KPI_STATUS = " UNION ALL ".join(kpis_suite._metric_sql(m, False) for m in kpis_suite._METRICS)
 
 
@@ -383,7 +387,7 @@ def _review_parts(v):
     (SELECT count(*) AS anomalies_detected FROM ({_REVIEW_Z}))""")
 def _(v):
     anomalies = reduce(lambda a, b: a.unionByName(b), [
-        ad.scan_anomalies(v.table(t), t, method="z_score", threshold=1.7) for t in ("orders", "invoices")])
+        ad.scan_anomalies(v.table(t), t, method="z_score", threshold=1.7) for t in _REVIEWED])
     return rv.morning_review(*_review_parts(v), anomalies)
 
 
