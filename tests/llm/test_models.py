@@ -167,3 +167,43 @@ def test_quality_odd_rows(spark, frame, odd_rows):
     none = table.filter("quality = 7")
     assert {r.score for r in quality_scores(frame(odd_rows), none).collect()} == {0.5}
     assert quality_scores(frame([]), table).count() == 0 and keep_quality(frame([]), none).count() == 0
+
+
+def test_quality_scores_by_hand(spark):
+    """Features, nearest neighbours and votes worked out one by one."""
+    from opsloom.llm import neighbours as nb
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    features, known = nb.labelled_sample(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), labels, "quality", 5, 3000)
+    wanted = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(known) == sum(1 for d in wanted if texts.get(d) is not None)
+    assert known.sum() == sum(q for d, q in wanted.items() if texts.get(d) is not None)
+
+    def by_hand(text):
+        data, half = text.encode(), nb.FEATURES // 2
+        found = np.zeros(nb.FEATURES)
+        kinds = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b for b in data)
+        for at, width, values in ((0, half, data), (half, half - len(nb.REPEATS), kinds)):
+            for i in range(len(values) - 2):
+                gram = (values[i] << 16 | values[i + 1] << 8 | values[i + 2]) * 2654435761 % 2**32
+                found[at + (gram >> 8) % width] += 1
+        found = np.log1p(found)
+        words = text.encode().split()
+        if words:
+            share = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+            found[nb.FEATURES - len(nb.REPEATS) + min(int(np.searchsorted(nb.REPEATS, share)), len(nb.REPEATS) - 1)] = nb.REPEAT_WEIGHT
+        return found
+
+    space = nb.Space.fit(features, known)
+    vectors = space.vectors.astype(np.float64)
+    scores = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    for doc in sorted(texts)[:60]:
+        if not texts[doc]:
+            continue
+        x = by_hand(texts[doc]) * space.weights
+        x = x / np.linalg.norm(x) @ space.projection.astype(np.float64)
+        similar = vectors @ (x / np.linalg.norm(x))
+        nearest = sorted(range(len(known)), key=lambda i: -similar[i])[:nb.NEIGHBOURS]
+        votes = [max(similar[i], 0) ** 4 for i in nearest]
+        assert scores[doc] == pytest.approx(sum(v * known[i] for v, i in zip(votes, nearest)) / sum(votes), abs=0.02)

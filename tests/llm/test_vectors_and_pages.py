@@ -271,3 +271,27 @@ def test_decontamination_in_several_passes(spark, frame, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 300)
     assert {(r.doc_id, r.item_id) for r in contaminated(frame(rows), benchmark).collect()} == {(i, i) for i, _ in items}
     assert [r.doc_id for r in drop_contaminated(frame(rows), benchmark).collect()] == [100]
+
+
+def test_decontamination_by_all_windows(spark):
+    """Items with some of their words replaced: similarities from 0.5 to 1, every window compared with every item."""
+    from brute_windows import best_windows
+
+    rng = random.Random(41)
+    items = [(i, sentence(rng, rng.choice((12, 20, 40, 60)))) for i in range(25)] + [(90, sentence(rng, 3)), (91, ""), (92, None)]
+    docs = []
+    for i in range(240):
+        words = items[i % 25][1].split()
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        if rng.random() < 0.3:
+            words = words[rng.randrange(2):len(words) - rng.randrange(2)]
+        docs.append((i, f"{sentence(rng, rng.randrange(30))} {' '.join(words)} {sentence(rng, rng.randrange(30))}"))
+    docs += [(500, items[25][1]), (501, f"{items[25][1]} more"), (502, items[3][1][:40])]
+    found = best_windows(docs, items)
+    between = [s for s in found.values() if 0.7 <= s <= 0.9]
+    assert len(between) > 40
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold=0.8).collect()}
+    want = {pair: s for pair, s in found.items() if s >= 0.8}
+    assert got == pytest.approx(want)
