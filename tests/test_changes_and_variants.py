@@ -167,3 +167,27 @@ def test_subtotals_and_order(spark):
             subtotals(df, ["a", "b"], {"s": F.sum("v")}, bad)
     with pytest.raises(ValueError):
         rolling_average(df, "a", "v", 3, order_by=[])
+
+
+def test_board_reads_states_only(spark, tmp_path):
+    from opsloom.operators.kpi import Metric, kpi_board
+    from opsloom.operators.kpi_states import State, StateTable, board_from_states
+
+    facts = spark.range(90).select((F.lit("2024-01-01 06:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int") % 17)).alias("at"),
+                                   (F.col("id") * 1.5).alias("x"))
+    late = spark.createDataFrame([(None, 1e9)], "at timestamp_ntz, x double")
+    table = StateTable(spark, str(tmp_path / "facts"), "at", [State("s", "SUM(x)"), State("n", "COUNT(*)"), State("top", "MAX(x)", "max")])
+    for batch in (0, 1, 1, 2):
+        table.add(facts.filter(F.col("x") % 4.5 == batch * 1.5).unionByName(late), batch)
+    metrics = [Metric("S", "S", "facts", "SUM(s)", "day"), Metric("A", "A", "facts", "SUM(s) / SUM(n)", "day", "rate"), Metric("T", "T", "facts", "MAX(top)", "day", "rate")]
+    full = [Metric("S", "S", "facts", "SUM(x)", "at", grain="day"), Metric("A", "A", "facts", "AVG(x)", "at", "rate", grain="day"),
+            Metric("T", "T", "facts", "MAX(x)", "at", "rate", grain="day")]
+    shown = lambda df: sorted((r.code, r.current_value, r.previous_value, [tuple(p) for p in r.sparkline]) for r in df.collect())
+    want = shown(kpi_board({"facts": facts}, full))
+    board = board_from_states({"facts": table}, metrics)
+    assert shown(board) == want
+    assert all("/facts/" in f for f in table.read().inputFiles())
+    table.compact(1)
+    assert len(list((tmp_path / "facts").glob("batch=*"))) == 2 and shown(board_from_states({"facts": table}, metrics)) == want
+    with pytest.raises(ValueError):
+        StateTable(spark, "x", "at", [State("a", "AVG(x)", "avg")])
