@@ -65,7 +65,7 @@ class ExceptionStore:
     from: a repeated batch starts from it again and overwrites its own version, so a retry changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark = spark
         self.path = path
         self.buckets = buckets
