@@ -68,19 +68,21 @@ class MultiIndex:
             values = self._block(prints, block)
             order = np.argsort(values, kind="stable")
             self.tables.append((values[order], order))
+        self._present: list[np.ndarray] = []  # of each block: which of its values occur; made where it is used
 
     def _block(self, prints: np.ndarray, block: int) -> np.ndarray:
         return (prints >> U64(block * self.width)) & U64((1 << self.width) - 1)
 
     def within(self, one: np.uint64) -> np.ndarray:
         """Numbers of the fingerprints within the radius of ``one``."""
+        if not self._present:
+            for values, _ in self.tables:
+                self._present.append(np.zeros(1 << self.width, bool))
+                self._present[-1][values] = True
         found = []
         for block, (values, order) in enumerate(self.tables):
-            value = self._block(np.array([one], U64), block)[0]
-            if len(values) <= len(self.masks):  # fewer values than lookups: the same candidates by looking at each
-                found.append(order[np.bitwise_count(values ^ value) <= self.radius // BLOCKS])
-                continue
-            wanted = value ^ self.masks
+            wanted = self._block(np.array([one], U64), block)[0] ^ self.masks
+            wanted = wanted[self._present[block][wanted]]
             low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
             found.extend(order[a:b] for a, b in zip(low[high > low], high[high > low]))
         if not found:
