@@ -68,7 +68,7 @@ class MultiIndex:
             values = self._block(prints, block)
             order = np.argsort(values, kind="stable")
             self.tables.append((values[order], order))
-        self._present: list[np.ndarray] = []  # of each block: which of its values occur; made where it is used
+        self._present: list[np.ndarray] = []  # of each block: a bit for each of its values that occurs; made where it is used
 
     def _block(self, prints: np.ndarray, block: int) -> np.ndarray:
         return (prints >> U64(block * self.width)) & U64((1 << self.width) - 1)
@@ -77,12 +77,12 @@ class MultiIndex:
         """Numbers of the fingerprints within the radius of ``one``."""
         if not self._present:
             for values, _ in self.tables:
-                self._present.append(np.zeros(1 << self.width, bool))
-                self._present[-1][values] = True
+                self._present.append(np.zeros(1 << self.width - 3, np.uint8))
+                np.bitwise_or.at(self._present[-1], values >> U64(3), np.uint8(1) << (values & U64(7)).astype(np.uint8))
         found = []
         for block, (values, order) in enumerate(self.tables):
             wanted = self._block(np.array([one], U64), block)[0] ^ self.masks
-            wanted = wanted[self._present[block][wanted]]
+            wanted = wanted[self._present[block][wanted >> U64(3)] >> (wanted & U64(7)).astype(np.uint8) & 1 == 1]
             low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
             found.extend(order[a:b] for a, b in zip(low[high > low], high[high > low]))
         if not found:
