@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 _open_scopes: list[list[str]] = []
-_shared: dict[tuple, object] = {}
+_shared: dict[tuple, tuple] = {}
 
 
 def build_session(app_name: str = "opsloom", master: str | None = None,
@@ -91,17 +91,13 @@ def file_system(spark: SparkSession, path: str):
 
 def shared(spark: SparkSession, name: str, source: str, build: Callable[[], T]) -> T:
     """What ``build`` makes of the files at ``source``: made once a session and state of the files, and kept until the driver
-    ends, also where an :func:`intermediate_tables` scope is open."""
+    ends, or to the end of the :func:`intermediate_tables` scope that it is made in."""
     target, files = file_system(spark, source)
     state = tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(target))
     key = (spark.sparkContext.applicationId, name, source, state)
     if key not in _shared:
-        scopes, _open_scopes[:] = _open_scopes[:], []
-        try:
-            _shared[key] = build()
-        finally:
-            _open_scopes[:] = scopes
-    return _shared[key]
+        _shared[key] = build(), _open_scopes[-1] if _open_scopes else None
+    return _shared[key][0]
 
 
 @contextmanager
@@ -112,7 +108,9 @@ def intermediate_tables(spark: SparkSession):
     try:
         yield
     finally:
-        _open_scopes.remove(made)
+        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
+        for key in [key for key, (_, scope) in _shared.items() if scope is made]:
+            del _shared[key]
         for path in made:
             target, files = file_system(spark, path)
             files.delete(target, True)

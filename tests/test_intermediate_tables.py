@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import __spark_entry__ as entry
-from opsloom.session import cut_lineage, ensure_checkpoint_dir, intermediate_tables
+from opsloom.session import cut_lineage, ensure_checkpoint_dir, intermediate_tables, shared
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -28,3 +28,25 @@ def test_scopes_nest(spark):
         with intermediate_tables(spark):
             assert cut_lineage(df).count() == 10
         assert outer.count() == 10
+
+
+def test_shared_tables_go_with_their_scope(spark, tmp_path):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    source = str(tmp_path / "t")
+    spark.range(3).write.parquet(source)
+    made = []
+
+    def build():
+        made.append(1)
+        return cut_lineage(spark.read.parquet(source))
+
+    before = set(os.listdir(folder))
+    with intermediate_tables(spark):
+        assert shared(spark, "x", source, build) is shared(spark, "x", source, build) and len(made) == 1
+    assert set(os.listdir(folder)) == before
+    kept = shared(spark, "x", source, build)
+    with intermediate_tables(spark):
+        assert shared(spark, "x", source, build) is kept
+    assert kept.count() == 3 and len(made) == 2
+    spark.range(2).write.mode("append").parquet(source)
+    assert shared(spark, "x", source, build).count() == 5 and len(made) == 3
