@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str,
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float | None = None,
-               part_rows: int = PART_ROWS) -> DataFrame:
+               part_rows: int = PART_ROWS, totals: dict[str, Column] | None = None) -> DataFrame:
     """Pairs with ``low <= value < high`` of numeric or timestamp columns, as an equi-join on buckets.
 
     With ``width`` there is one size of bucket; choose it near the usual length of a range, as a range is copied to each
@@ -38,12 +38,17 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
 
     Buckets with more than ``part_rows`` points or ranges are split on that side, and the other side is copied to the parts,
     so that no task meets a hot bucket whole. Null, NaN and empty ranges, and null and NaN points, match nothing.
+
+    The pairs can be as many as points times ranges. With ``totals`` (name: whole number or decimal of a point) they are not
+    made: the result has one row per range that matches, with the sums of these over its points, see :func:`_range_totals`.
     """
     axis = lambda df, c: _axis(F.col(c), df.schema[c].dataType)
     some = lambda c: c.isNotNull() & ~F.isnan(c)
     at, start, end = axis(points, value), axis(ranges, low), axis(ranges, high)
     filled = ranges.filter(some(start) & some(end) & (start < end))
     given = points.filter(some(at))
+    if totals is not None:
+        return _range_totals(given, filled, value, low, high, totals)
     if width is not None:
         size = F.lit(float(width))
         sized = filled.withColumn("_size", size)
@@ -70,6 +75,36 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(*keys, "_i", "_j")
 
 
+def _range_totals(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, totals: dict[str, Column]) -> DataFrame:
+    """The columns of ``ranges`` and the sums of ``totals`` over each range's points, for ranges with a point.
+
+    Points and both ends of all ranges are sorted together; a range's sum is the running sum before its end less that before
+    its start. The work is that of a sort, however many pairs there are. Equal ranges go together until the end.
+    """
+    sums = {f"_sum{i}": c for i, c in enumerate(totals.values())}
+    weighed = points.select(F.col(value).alias("_at"), F.lit(1).alias("_side"), _row_hash(points).alias("_spread"),
+                            F.lit(1).cast("long").alias("_n"), *[c.alias(s) for s, c in sums.items()])
+    row = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
+    distinct = ranges.groupBy(row.alias("_range")).agg(F.count(F.lit(1)).alias("_copies"))
+    # an end stands before the points at its value, which are not below it
+    ends = [distinct.select(F.col("_range").getField(c).alias("_at"), F.lit(0).alias("_side"), F.xxhash64("_range").alias("_spread"),
+                            "_range", "_copies", F.lit(sign).alias("_sign")) for c, sign in ((low, -1), (high, 1))]
+    both = weighed.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
+    sorted_rows = range_sorted(both, [F.col("_at"), F.col("_side"), F.col("_spread")])
+    names = ["_n", *sums]
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_part = sorted_rows.groupBy("_part").agg(*[F.sum(c).alias(c) for c in names])
+    # one row per range partition, so the broadcast is bounded
+    offsets = per_part.select("_part", *[F.sum(c).over(before).alias(f"_before{c}") for c in names])
+    running = sorted_rows.select("_part", "_mid", "_range", "_copies", "_sign", *[F.sum(c).over(inside).alias(c) for c in names])
+    signed = lambda c: F.sum(F.col("_sign") * (F.coalesce(c, F.lit(0)) + F.coalesce(f"_before{c}", F.lit(0))))
+    found = running.filter("_sign IS NOT NULL").join(F.broadcast(offsets), "_part").groupBy("_range", "_copies").agg(
+        *[signed(c).alias(c) for c in names]).filter("_n > 0")
+    copied = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copied.select("_range.*", *[F.col(s).alias(name) for s, name in zip(sums, totals)])
+
+
 def _axis(column, kind: T.DataType):
     """A number to measure lengths by: timestamps and dates in microseconds."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):

@@ -206,9 +206,11 @@ def _(v):
     key = F.col("o_orderkey")
     length = F.pow(F.lit(10.0), key % 5) * (1 + key % 7) / 10
     spans = v.raw("orders").filter("o_orderstatus = 'F'").select(key.alias("span_id"), F.col("o_totalprice").alias("low"), (F.col("o_totalprice") + length).alias("high"))
-    pairs = range_join(v.raw("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "low", "high")
-    return pairs.groupBy((F.col("span_id") % 5).cast("int").alias("decade")).agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_distinct("span_id").alias("spans"), F.sum(key % 1000).alias("digest"))
+    # the pairs grow as the square of the orders, their sums by span do not
+    matched = range_join(v.raw("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "low", "high",
+                         totals={"pairs": F.lit(1).cast("long"), "digest": key % 1000})
+    return matched.groupBy((F.col("span_id") % 5).cast("int").alias("decade")).agg(
+        F.sum("pairs").alias("pairs"), F.count_distinct("span_id").alias("spans"), F.sum("digest").alias("digest"))
 
 
 # Orders moved to the month of the events, so that both lie in one time.
