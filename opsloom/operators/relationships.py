@@ -18,6 +18,8 @@ Edge = namedtuple("Edge", EDGE)
 # Hashes of a column's sketch, and hashes that must be comparable before a pair is ruled out.
 SKETCH = 1024
 EVIDENCE = 16
+# Columns told apart by the bits of one long.
+BITS = 63
 # Confidence of the naming rules and of the overlap classes.
 SAME_ID_CONFIDENCE = 0.90
 NAMED_KEY_CONFIDENCE = 0.85
@@ -49,27 +51,27 @@ def candidate_relationships(catalog: DataFrame) -> DataFrame:
 def _overlaps(spark: SparkSession, tables: dict[str, DataFrame], edges: list) -> DataFrame:
     """Distinct source keys of each edge and how many exist in the target.
 
-    Every table is scanned once for all its key columns, and the distinct keys of a
-    column are found once however many edges use it.
+    Every table is scanned once for all its key columns. A key goes through one shuffle, with one bit for each column that
+    holds it, so a task holds one row per key however many columns and edges there are. What is left is one row per set of
+    columns that occurs together.
     """
     columns: list[tuple[str, str]] = sorted(
         {(e.source_table, e.source_column) for e in edges} | {(e.target_table, e.target_column) for e in edges})
     number = {column: i for i, column in enumerate(columns)}
+    words = [f"_in{w}" for w in range(-(-len(columns) // BITS))]
+    bits = lambda i: [F.lit(1 << i % BITS if i // BITS == w else 0).cast("long").alias(name) for w, name in enumerate(words)]
     scans = []
     for table in sorted({t for t, _ in columns}):
-        cells = F.array(*[
-            F.struct(F.lit(number[(table, c)]).alias("_column"), F.col(f"`{c}`").cast("string").alias("_key"))
-            for t, c in columns if t == table])
+        cells = F.array(*[F.struct(F.col(f"`{c}`").cast("string").alias("_key"), *bits(number[(table, c)])) for t, c in columns if t == table])
         scans.append(tables[table].select(F.inline(cells)))
-    keys = reduce(DataFrame.unionByName, scans).filter(F.col("_key").isNotNull()).distinct()
-    uses = [(number[(e.source_table, e.source_column)], i, 1) for i, e in enumerate(edges)]
-    uses += [(number[(e.target_table, e.target_column)], i, 0) for i, e in enumerate(edges)]
-    # catalog metadata: two rows per edge
-    used = spark.createDataFrame(uses, "_column int, _edge int, _source int")
-    per_key = keys.join(F.broadcast(used), "_column").groupBy("_edge", "_key").agg(
-        F.max("_source").alias("_in_source"), F.max(1 - F.col("_source")).alias("_in_target"))
-    return per_key.filter(F.col("_in_source") == 1).groupBy("_edge").agg(
-        F.count(F.lit(1)).alias("source_distinct"), F.sum("_in_target").alias("overlap"))
+    per_key = reduce(DataFrame.unionByName, scans).filter(F.col("_key").isNotNull()).groupBy("_key").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = per_key.groupBy(*words).agg(F.count(F.lit(1)).alias("_keys"))
+    # catalog metadata: one row per edge
+    used = spark.createDataFrame([(i, number[(e.source_table, e.source_column)], number[(e.target_table, e.target_column)]) for i, e in enumerate(edges)],
+                                 "_edge int, _source int, _target int")
+    holds = lambda c: F.getbit(F.array(*words)[F.floor(F.col(c) / BITS).cast("int")], F.col(c) % BITS) == 1
+    return sets.join(F.broadcast(used), holds("_source")).groupBy("_edge").agg(
+        F.sum("_keys").alias("source_distinct"), F.sum(F.when(holds("_target"), F.col("_keys")).otherwise(0)).alias("overlap"))
 
 
 def discover_relationships(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -111,21 +113,23 @@ def value_sketches(tables: dict[str, DataFrame], size: int = SKETCH) -> DataFram
 
     Sketches of parts of a table merge: the smallest hashes of both, again cut to ``size``. One scan a table.
     """
-    scans = []
+    scans, known = [], []
     for table, df in sorted(tables.items()):
         columns = [(f.name, kind) for f in df.schema.fields if (kind := _kind(f.dataType))]
         if columns:
-            cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.xxhash64(F.col(f"`{c}`").cast("string")).alias("hash"),
-                                       F.col(f"`{c}`").isNotNull().alias("_filled")) for c, kind in columns])
-            scans.append(df.select(F.inline(cells)).filter("_filled").drop("_filled").groupBy("column_name", "kind", "hash").agg(
-                F.count(F.lit(1)).alias("_rows")).withColumn("table_name", F.lit(table)))
+            cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`").cast("string"))).alias("hash"))
+                              for i, (c, _) in enumerate(columns, len(known))])
+            known += [(i, table, c, kind) for i, (c, kind) in enumerate(columns, len(known))]
+            scans.append(df.select(F.inline(cells)).filter("hash IS NOT NULL"))
     if not scans:
         raise ValueError("no table has a column of whole numbers, texts or times")
-    values = cut_lineage(reduce(DataFrame.unionByName, scans))
-    column = ["table_name", "column_name"]
-    sizes = values.groupBy(*column).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("_rows").alias("filled_rows"))
-    least = first_per_group(values, column, [F.col("hash")], size, "_rank")
-    return least.drop("_rank", "_rows").join(sizes, column)
+    values = cut_lineage(reduce(DataFrame.unionByName, scans).groupBy("_column", "hash").agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = values.groupBy("_column").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("_rows").alias("filled_rows"))
+    least = first_per_group(values, ["_column"], [F.col("hash")], size, "_rank").drop("_rank", "_rows")
+    # catalog metadata: one row per column
+    names = tables[known[0][1]].sparkSession.createDataFrame(known, "_column int, table_name string, column_name string, kind string")
+    return least.join(sizes, "_column").join(F.broadcast(names), "_column").select(
+        "table_name", "column_name", "kind", "hash", "distinct_values", "filled_rows")
 
 
 def discover_by_values(spark: SparkSession, tables: dict[str, DataFrame], least_overlap: float = FULL_OVERLAP, least_values: int = 2,
