@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from opsloom.operators import kpi
 from opsloom.operators import kpi_states as ks
 from opsloom.plans.registry import query
+from opsloom.session import cut_lineage
 from opsloom.streaming.flows import run_folder
 
 AS_OF = "2000-01-01 00:00:00"
@@ -129,10 +131,12 @@ def _(v):
     stored, metrics = {}, []
     for name, (time, states, over) in ks.default_states(AS_OF).items():
         table = ks.StateTable(v.spark, f"{folder}/{name}", time, states)
-        rows = v.table(name)
-        part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+        facts = v.table(name)
+        asked = [c for c in facts.columns if any(re.search(rf"\b{c}\b", text) for text in (time, *(s.formula for s in states)))]
+        # the facts may be joins, so they are made once for the four times that a batch reads them
+        rows = cut_lineage(facts.withColumn("_batch", F.pmod(F.xxhash64(*facts.columns), F.lit(3))).select("_batch", *asked))
         for batch in (0, 1, 1, 2):
-            table.add(rows.filter(part == batch), batch)
+            table.add(rows.filter(F.col("_batch") == batch).drop("_batch"), batch)
         if name == "orders":
             table.compact(1)
         stored[name] = table
