@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The white space that separates words, beyond ASCII too.
 SPACE_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+# The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # A term is two or more letters, digits or underscores.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -23,12 +26,13 @@ same so than too very s t can will just don should now could cannot ought would
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Non-empty words in order."""
-    return F.filter(F.split(text, rf"{SPACE_CLASS}+"), lambda w: w != "")
+    # only a text of nothing but spaces has an empty word after the ends are stripped
+    return F.array_remove(F.split(strip(text), rf"{SPACE_CLASS}+"), "")
 
 
 def kept_terms(text: Column, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> Column:

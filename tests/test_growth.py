@@ -49,3 +49,16 @@ def test_overlaps_shuffle_a_key_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_key" in plan and "Aggregate [_edge#" in plan and plan.count("Aggregate [") == 3
     assert {(r.source_distinct, r.overlap) for r in found.collect()} == {(1000, 1000)}
+
+
+def test_strip_and_words_scan_the_ends_only(spark):
+    """Every space character and its neighbours; no regular expression runs over a text to strip it."""
+    from opsloom.functions.text import SPACE_CLASS, strip, words
+
+    texts = [chr(c) + "a" + chr(c) + chr(c) + "b" + chr(c) + "\n" for c in [*range(1, 0x300), 0x1680, 0x180E, *range(0x1FFF, 0x2062), 0x3000, 0x3001, 0xFEFF]]
+    texts += ["", " ", " \n\t", "a", None, "a  ", "\r\n a\r\nb \r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old_strip = F.regexp_replace("t", rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    old_words = F.filter(F.split("t", rf"{SPACE_CLASS}+"), lambda w: w != "")
+    assert df.filter(~strip(F.col("t")).eqNullSafe(old_strip) | ~words(F.col("t")).eqNullSafe(old_words)).count() == 0
+    assert "regexp" not in df.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
