@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The white space that separates words, beyond ASCII too.
 SPACE_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+# A run of them for Java's matcher, which tells by one comparison that most other characters, those of ASCII, are none.
+_SPACE_RUN = rf"[\x00-\x20\x{{7F}}-\x{{10FFFF}}&&{SPACE_CLASS}]+"
+
 # The same characters one by one.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -32,7 +35,7 @@ def strip(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Non-empty words in order."""
     # only a text of nothing but spaces has an empty word after the ends are stripped
-    return F.array_remove(F.split(strip(text), rf"{SPACE_CLASS}+"), "")
+    return F.array_remove(F.split(strip(text), _SPACE_RUN), "")
 
 
 def kept_terms(text: Column, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> Column:

@@ -7,6 +7,8 @@ No shuffle, and page and chunk numbers are simply array positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +32,37 @@ def _sections(text: Column) -> Column:
     return F.transform(parts, titled)
 
 
-def _windows(text_words: Column, size: int, step: int) -> Column:
-    """Word windows of ``size`` every ``step`` words; the last ones may be shorter."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(text_words) - 1, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda i: F.slice(text_words, i + 1, size))
+def _starts(n: Column, step: int) -> Column:
+    """Where windows over ``n`` words begin; one at least."""
+    return F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+
+
+def _pages(sections: Column, page: Callable[[Column, Column, Column], Column]) -> Column:
+    """``page(title, words, start)`` of each page, in document order; ``words`` are those of its section."""
+    def of_section(section: Column) -> Column:
+        # an array of one binds the words once; a transform copies what it returns, so they do not leave it
+        return F.flatten(F.transform(F.array(words(section["text"])), lambda w: F.transform(
+            _starts(F.size(w), PAGE_WORDS), lambda start: page(section["title"], w, start))))
+
+    return F.flatten(F.transform(sections, of_section))
+
 
+def _joined(all_words: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(all_words, start + 1, n), " ")
 
-def _pages(sections: Column) -> Column:
-    """array<struct<title, words>>, in document order."""
-    # the inner transform binds each section's words once; the windows only refer to them
-    split = F.transform(sections, lambda s: F.struct(s["title"].alias("title"), words(s["text"]).alias("words")))
-    return F.flatten(F.transform(split, lambda s: F.transform(
-        _windows(s["words"], PAGE_WORDS, PAGE_WORDS),
-        lambda page: F.struct(s["title"].alias("title"), page.alias("words")))))
 
+def _chunks(sections: Column, size: int, overlap: int) -> Column:
+    """array<struct<page, title, content, tokens>>, in document order. Each is cut from its section at once."""
+    def page(title: Column, all_words: Column, start: Column) -> Column:
+        n = F.least(F.size(all_words) - start, F.lit(PAGE_WORDS))
+        starts = F.when(n <= size, F.array(F.lit(0))).otherwise(_starts(n, size - overlap))
+        return F.transform(starts, lambda at: piece(title, all_words, start + at, F.least(n - at, F.lit(size))))
 
-def _chunks(pages: Column, size: int, overlap: int) -> Column:
-    """array<struct<page, title, words>>, in document order."""
-    def pieces(page: Column) -> Column:
-        return F.when(F.size(page["words"]) <= size, F.array(page["words"])).otherwise(
-            _windows(page["words"], size, size - overlap))
+    def piece(title: Column, all_words: Column, start: Column, tokens: Column) -> Column:
+        return F.struct(title.alias("title"), _joined(all_words, start, tokens).alias("content"), tokens.alias("tokens"))
 
-    return F.flatten(F.transform(pages, lambda page, i: F.transform(pieces(page), lambda piece: F.struct(
-        (i + 1).alias("page"), page["title"].alias("title"), piece.alias("words")))))
+    return F.flatten(F.transform(_pages(sections, page), lambda pieces, i: F.transform(pieces, lambda c: F.struct(
+        (i + 1).alias("page"), c["title"].alias("title"), c["content"].alias("content"), c["tokens"].alias("tokens")))))
 
 
 def split_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,23 +74,23 @@ def split_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def paginate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Estimated pages of 400 words; page numbers run over the document."""
-    exploded = docs.withColumn("_sections", _sections(F.col(text))).select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(_pages(F.col("_sections"))).alias("_i", "_p"))
+    pages = _pages(_sections(F.col(text)), lambda title, all_words, start: F.struct(
+        title.alias("title"), _joined(all_words, start, F.lit(PAGE_WORDS)).alias("text")))
+    exploded = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(pages).alias("_i", "_p"))
     return exploded.select("doc_id", (F.col("_i") + 1).alias("page_number"), F.col("_p.title").alias("section_title"),
-                           F.array_join("_p.words", " ").alias("page_text"))
+                           F.col("_p.text").alias("page_text"))
 
 
 def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS,
                     overlap_words: int = OVERLAP_WORDS) -> DataFrame:
     """One chunk per short page, else windows of ``chunk_words`` overlapping by ``overlap_words``."""
-    staged = docs.select(F.col(doc_id).alias("doc_id"), _sections(F.col(text)).alias("_sections")).withColumn(
-        "_pages", _pages(F.col("_sections")))
-    exploded = staged.select("doc_id", F.posexplode(_chunks(F.col("_pages"), chunk_words, overlap_words))
-                             .alias("chunk_index", "_c"))
+    # one expression: columns of their own for sections and pages would copy every word
+    chunks = _chunks(_sections(F.col(text)), chunk_words, overlap_words)
+    exploded = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(chunks).alias("chunk_index", "_c"))
     return exploded.select(
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         "doc_id", "chunk_index", F.col("_c.page").alias("page_number"), F.col("_c.title").alias("section_title"),
-        F.array_join("_c.words", " ").alias("content"), F.size("_c.words").alias("token_count"))
+        F.col("_c.content").alias("content"), F.col("_c.tokens").alias("token_count"))
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
